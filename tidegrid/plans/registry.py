@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegrid.plans import problems, problems_sql
+from tidegrid.plans import problems, problems_sql, relational
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(problems.QUERIES)
+    return problems.QUERIES | relational.CATALOGUE.queries
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(problems_sql.ORACLES)
+    return problems_sql.ORACLES | relational.CATALOGUE.sql
