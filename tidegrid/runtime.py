@@ -48,12 +48,17 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
     """``df`` with a broadcast hint if it holds at most ``rows`` rows, else ``df`` as it is.
 
-    The count stops after ``rows + 1`` rows. Pass narrow frames only: the bound is on rows.
+    With ``weight``, the sum of the weights is bounded instead, as for rows that hold arrays.
+    Pass narrow frames only: a row or unit of weight should be a few dozen bytes.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    if weight is None:
+        held = df.limit(rows + 1).count()
+    else:
+        held = df.agg(F.coalesce(F.sum(weight), F.lit(0)) + F.count("*")).first()[0]
+    return F.broadcast(df) if held <= rows else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
