@@ -22,11 +22,20 @@ def daily_totals(df: DataFrame, entity: str, moment: str, value: str, distinct:
     return rows.groupBy("entity", "day").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
-def calendar(daily: DataFrame) -> DataFrame:
-    """(entity, day): the join of each entity with the calendar of its own span."""
-    # the count keeps this branch of the plan equal to the daily one, so that their shuffle is shared
-    spans = daily.groupBy("entity").agg(F.min("day").alias("first"), F.max("day").alias("last"), F.sum("n").alias("rows"))
-    return spans.where("rows > 0").select("entity", F.explode(F.sequence("first", "last")).alias("day"))
+def densify(daily: DataFrame) -> DataFrame:
+    """``daily`` joined with the calendar: one row per entity and day of its span, empty days as 0.
+
+    Each active day brings the calendar days up to the next active one, so the join of entity
+    and calendar needs neither a second scan for the spans nor a merge of two row sets.
+    """
+    following = F.lead("day").over(Window.partitionBy("entity").orderBy("day"))
+    spanned = daily.withColumn("until", F.coalesce(F.datediff(following, "day"), F.lit(1)) - 1)
+    days = spanned.select("entity", "day", "n", "total", F.explode(F.sequence(F.lit(0), F.col("until"))).alias("after"))
+    active = F.col("after") == 0
+    return days.select(
+        "entity", F.date_add("day", F.col("after")).alias("day"),
+        F.when(active, F.col("n")).otherwise(0).alias("n"), F.when(active, F.col("total")).otherwise(0.0).alias("total"),
+    )
 
 
 def trailing_totals(
@@ -39,15 +48,10 @@ def trailing_totals(
     is the total over N calendar days, empty ones counting as zero. Entities without usable
     value don't appear; an empty table gives an empty result; further columns are ignored.
 
-    The calendar is laid under the daily sums as zero rows, which needs one shuffle of
-    at most one row per entity and day; both the densifying aggregate and the windows use it.
+    Rows are shuffled on entity and day, daily sums then on entity; densifying and the windows
+    stay within that partitioning, which holds one row per entity and day.
     """
-    daily = daily_totals(df, entity, moment, value, distinct)
-    empty = calendar(daily).select("entity", "day", F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("total"))
-    dense = (
-        daily.unionByName(empty).repartition("entity").groupBy("entity", "day")
-        .agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-    )
+    dense = densify(daily_totals(df, entity, moment, value, distinct).repartition("entity"))
     by_day = Window.partitionBy("entity").orderBy("day")
     columns: list[Column] = []
     for length in days:
