@@ -23,6 +23,9 @@ GEAR = 32
 MIN_CHUNK = 128
 TAIL = 32
 
+#: The texts that share chunks are broadcast with those chunks if there are at most so many in all.
+LISTED = 2_000_000
+
 _BASES = (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93)
 _SLICE = 1 << 19
 
@@ -225,7 +228,7 @@ class SharedSpans:
         )
 
     def windows(self, places: bool) -> DataFrame:
-        joined = self.texts.join(bounded_broadcast(self.candidates, 50_000), "doc_id")
+        joined = self.texts.join(bounded_broadcast(self.candidates, LISTED, F.size("shared")), "doc_id")
         return _windows(joined.select("doc_id", "text", "shared"), self.span, places)
 
 
@@ -242,7 +245,8 @@ def shared_pairs(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     its pairs once and no group of texts is ever collected; the join's size is that of the result.
     """
     found = SharedSpans(documents, doc_id=doc_id, text=text, span=span)
-    windows = found.windows(False).repartition("h1")
+    # the filter drops nothing; the join would add it below one of the two uses of this shuffle
+    windows = found.windows(False).where("h1 IS NOT NULL AND h2 IS NOT NULL").repartition("h1")
     sets = windows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("members")).where("n > 1")
     chosen = sets.groupBy("n", "members").agg(F.min(F.struct("h1", "h2")).alias("h")).select("h.h1", "h.h2")
     holders = materialise(windows.join(chosen, ["h1", "h2"]).select("h1", "h2", "doc_id"), "holders")
