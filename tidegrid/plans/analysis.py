@@ -261,7 +261,7 @@ def spec06_summary(spark: SparkSession, d: str) -> DataFrame:
 # -- models --------------------------------------------------------------------------------------
 
 #: The registered runs fit fewer trees than the default configuration; all else is the default.
-RUN = EngineConfig(boost_rounds=60, boost_depth=4, forest_trees=30, forest_depth=8, bootstrap_rounds=50)
+RUN = EngineConfig(boost_rounds=40, boost_depth=3, boost_rate=0.1, forest_trees=15, forest_depth=6, bootstrap_rounds=50)
 
 
 @query(f"WITH {WEEKLY}, {_ANCHORS} SELECT site, test_date::VARCHAR AS test_date, {q6('median(da_raw)')} AS med, min(da_raw) AS lo, max(da_raw) AS hi FROM sized WHERE n >= 10 GROUP BY 1, 2")
@@ -281,7 +281,7 @@ def model10_naive_clip(spark: SparkSession, d: str) -> DataFrame:
 def model11_single_forecast(spark: SparkSession, d: str) -> DataFrame:
     from datetime import date
 
-    return backtest.single_forecast(raw(spark, d), cell_counts(spark, d), "copalis", date(2015, 6, 15), RUN)
+    return backtest.single_forecast(raw(spark, d), cell_counts(spark, d), "copalis", date(2023, 6, 12), RUN)
 
 
 @query()
