@@ -129,3 +129,15 @@ def test_single_forecast_and_configuration(spark, raw):
     assert SMALL.but(per_site=False).site("copalis").forest_weight == 0.44
     with pytest.raises(ValueError):
         EngineConfig(test_fraction=0)
+
+
+def test_tuning_and_experiments(spark, raw):
+    tiny = SMALL.but(boost_rounds=3, forest_trees=2, bootstrap_rounds=0, test_fraction=0.15)
+    anchors = backtest.calibration_anchors(backtest.test_anchors(raw, tiny.but(test_fraction=1.0)), tiny)
+    assert {r["count"] for r in anchors.groupBy("site").count().collect()} <= set(range(1, 21))
+    best = backtest.tune(anchors, backtest.feature_frame(raw, None, tiny), {"a": tiny, "b": tiny.but(boost_rate=0.2)}).collect()
+    assert {r["site"] for r in best} == {"copalis", "other"} and all(r["best"] in ("a", "b") for r in best)
+    runs = {n: c for n, c in backtest.ablations(tiny).items() if n in ("baseline", "no_lags")}
+    scores = backtest.run_experiments(raw, None, runs).collect()
+    assert {(r["experiment"], r["site"]) for r in scores} == {(e, s) for e in runs for s in (None, "copalis", "other")}
+    assert len(backtest.perturbations(tiny)) == 7 and len(backtest.seeded(tiny, (1, 2))) == 4

@@ -17,13 +17,14 @@ from tidegrid.operators import spectral as S
 from tidegrid.operators.windows import decay_fill, forward_fill, observation_lags, persistence, rolling_past
 from tidegrid.plans import backtest
 from tidegrid.plans.base import KEY, RAW, RESULTS, SERIES, WEEKLY, Catalogue, cell_counts, iso, q6, r6, raw, results, series, weekly
-from tidegrid.plans.relational import _training, _ANCHORS
+from tidegrid.plans.relational import _ANCHORS, _training
 from tidegrid.runtime import table
 from tidegrid.streaming.pipelines import alert_stream, persistence_stream, run_once, weekly_max_stream
 
 CATALOGUE = Catalogue()
 query = CATALOGUE.add
 
+
 # -- windows -------------------------------------------------------------------------------------
 
 _SO_FAR = "PARTITION BY site ORDER BY week ROWS UNBOUNDED PRECEDING"
