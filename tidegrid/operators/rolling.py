@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -53,12 +55,29 @@ def trailing_totals(
     """
     dense = densify(daily_totals(df, entity, moment, value, distinct).repartition("entity"))
     by_day = Window.partitionBy("entity").orderBy("day")
+    rolled, shorter = dense, 0
+    for length in sorted(days):
+        rolled = rolled.withColumns({
+            f"{c}_{length}d": _trailing(by_day, c, length, shorter) for c in ("n", "total")
+        })
+        shorter = length
     columns: list[Column] = []
     for length in days:
-        trailing = by_day.rowsBetween(1 - length, 0)
-        n, total = F.sum("n").over(trailing), F.sum("total").over(trailing)
-        columns += [
-            n.alias(f"n_{length}d"), total.alias(f"total_{length}d"),
-            F.when(n > 0, total / n).alias(f"avg_{length}d"), (total / length).alias(f"daily_avg_{length}d"),
-        ]
-    return dense.select("entity", "day", "n", "total", *columns)
+        n, total = F.col(f"n_{length}d"), F.col(f"total_{length}d")
+        columns += [n, total, F.when(n > 0, total / n).alias(f"avg_{length}d"), (total / length).alias(f"daily_avg_{length}d")]
+    return rolled.select("entity", "day", "n", "total", *columns)
+
+
+def _trailing(by_day: WindowSpec, column: str, length: int, shorter: int) -> Column:
+    """The sum over ``length`` rows, put together from sums over ``shorter`` rows where there are some.
+
+    A row is then read a few times and not once for each window it lies in. Nothing is
+    subtracted, so that large values leave no traces in later windows.
+    """
+    if not 1 < shorter < length:
+        return F.sum(column).over(by_day.rowsBetween(1 - length, 0))
+    whole, rest = divmod(length, shorter)
+    earlier = lambda c, k: F.coalesce(F.lag(c, k).over(by_day), F.lit(0))
+    parts = [F.col(f"{column}_{shorter}d")] + [earlier(f"{column}_{shorter}d", shorter * i) for i in range(1, whole)]
+    parts += [earlier(column, shorter * whole + i) for i in range(rest)]
+    return reduce(add, parts)
