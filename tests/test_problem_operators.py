@@ -127,3 +127,16 @@ def test_readings_and_sites(spark):
         assert row["v"] == texts[row["s"]] and row["u"] == (texts[row["s"]] is not None)
     names = spark.createDataFrame([(" Long-Beach\t",), ("long_beach",), ("LONG BEACH\r",)], "s string")
     assert names.select(site_key(F.col("s"))).distinct().count() == 1
+
+
+def test_time_zone_of_the_session_makes_no_difference(spark, sf):
+    from tidegrid.plans.problems import QUERIES
+
+    names = ("p2_trailing", "p3_grid", "p4_found")
+    run = lambda: [sorted(map(tuple, QUERIES[n](spark, sf).collect()), key=repr) for n in names]
+    expected = run()
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        assert run() == expected
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

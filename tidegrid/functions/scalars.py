@@ -50,3 +50,9 @@ def settled(value: Column, digits: int = 6) -> Column:
     """
     scale = 10.0**digits
     return F.rint(value * scale + 1e-3) / scale
+
+
+def wall_micros(moment: Column) -> Column:
+    """Microseconds of wall-clock time since 1970-01-01 00:00, whatever the session's time zone."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp")
+    return F.timestamp_diff("MICROSECOND", epoch, moment.cast("timestamp"))

@@ -12,11 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_DAY_US = 86_400_000_000
-
+from tidegrid.functions.scalars import wall_micros
 
-def _micros(moment: Column) -> Column:
-    return F.unix_micros(moment.cast("timestamp"))
+_DAY_US = 86_400_000_000
 
 
 def _week_start(micros: Column) -> Column:
@@ -58,7 +56,7 @@ def weekly_grid(
     limit = F.lit(None).cast("long") if max_gap_days is None else F.lit(int(max_gap_days * _DAY_US))
 
     readings = (
-        df.select(F.col(entity).alias("entity"), _micros(F.col(moment)).alias("t"), F.col(value).alias("x")).dropna()
+        df.select(F.col(entity).alias("entity"), wall_micros(F.col(moment)).alias("t"), F.col(value).alias("x")).dropna()
         .withColumn("week", _week_start(F.col("t")))
         .repartition("entity", "week")
         .groupBy("entity", "week", "t").agg(F.max("x").alias("x"))
@@ -112,7 +110,7 @@ def weekly_grid(
         F.sum("resets").alias("resets"), F.sum("covered").alias("covered"),
     )
     return gridded.select(
-        "entity", F.to_date(F.timestamp_micros("cell")).alias("week_start"), "readings", "increment", "resets",
+        "entity", F.date_from_unix_date((F.col("cell") / _DAY_US).cast("int")).alias("week_start"), "readings", "increment", "resets",
         (F.col("covered") / week_us).alias("covered_share"),
         F.when(F.col("covered") > 0, F.col("increment") / (F.col("covered") / _DAY_US)).alias("rate"),
         F.when(F.col("readings") > 0, "observed").when(F.col("covered") == week_us, "filled").otherwise("missing").alias("status"),

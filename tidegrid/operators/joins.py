@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_DAY_US = 86_400_000_000
-
+from tidegrid.functions.scalars import wall_micros
 
-def _micros(moment: Column) -> Column:
-    return F.unix_micros(moment.cast("timestamp"))
+_DAY_US = 86_400_000_000
 
 
 def asof_join(
@@ -30,10 +28,10 @@ def asof_join(
     starts with is handed on in one row per key and stretch. Payload names must not be in ``left``.
     """
     us = _DAY_US * stretch_days
-    cutoff = _micros(F.col(left_on)) - int(delay_days * _DAY_US)
+    cutoff = wall_micros(F.col(left_on)) - int(delay_days * _DAY_US)
     packed = F.struct(F.col("_t").alias("t"), F.col(right_on).alias("matched_on"), F.struct(*payload).alias("payload"))
     rights = (
-        right.withColumn("_t", _micros(F.col(right_on))).dropna(subset=[*by, right_on])
+        right.withColumn("_t", wall_micros(F.col(right_on))).dropna(subset=[*by, right_on])
         .select(*by, "_t", packed.alias("_right")).groupBy(*by, "_t").agg(F.max("_right").alias("_right"))
         .withColumn("_stretch", F.floor(F.col("_t") / us))
     )
