@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegrid.functions.scalars import wall_micros
+
 #: An entity's time line is cut into stretches of so many tolerances, but at least a day each.
 STRETCH_TOLERANCES = 28
 
@@ -105,7 +107,7 @@ def nearest_in_time(
     """
     tolerance = int(tolerance_seconds * 1_000_000)
     stretch = max(tolerance * STRETCH_TOLERANCES, 86_400_000_000)
-    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    micros = lambda c: wall_micros(F.col(c))
     cell = lambda t: F.floor(t / F.lit(float(stretch)))
     lefts = left.select(F.col(by).alias("entity"), micros(left_time).alias("t"), F.col(left_id).cast("long").alias("id")).dropna()
     rights = right.select(F.col(by).alias("entity"), micros(right_time).alias("t"), F.col(right_id).cast("long").alias("id")).dropna()
