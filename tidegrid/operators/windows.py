@@ -79,13 +79,23 @@ def forward_fill(df: DataFrame, value: str, day: str = "week") -> DataFrame:
 
 
 def hashed_sample(df: DataFrame, *, group: str, key: Sequence[str], fraction: float, seed: int) -> DataFrame:
-    """ceil(fraction x rows) rows of each group without replacement, in an order hashed from key and seed."""
+    """ceil(fraction x rows) rows of each group without replacement, in an order hashed from key and seed.
+
+    A group is ranked in 256 parts by the first byte of the hash, whose sizes give each part's
+    first rank; parts beyond the share are dropped before any row is ranked. Rows with equal keys
+    stand in any order; rows with a NULL group are a group of their own.
+    """
     digest = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in key], F.lit(str(seed))))
-    ranked = df.withColumns({
-        "_nth": F.row_number().over(Window.partitionBy(group).orderBy(digest, *key)),
-        "_take": F.ceil(F.count("*").over(Window.partitionBy(group)) * F.lit(fraction)),
-    })
-    return ranked.where("_nth <= _take").drop("_nth", "_take")
+    hashed = df.withColumns({"_digest": digest, "_part": F.substring(digest, 1, 2)})
+    sizes = hashed.groupBy(F.col(group).alias("_group"), "_part").agg(F.count("*").alias("_n"))
+    parts = Window.partitionBy("_group")
+    ranked = sizes.select(
+        "_group", F.col("_part").alias("_p"), (F.sum("_n").over(parts.orderBy("_part")) - F.col("_n")).alias("_before"),
+        F.ceil(F.sum("_n").over(parts) * F.lit(fraction)).alias("_take"),
+    ).where("_before < _take")
+    kept = hashed.join(ranked, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_part") == F.col("_p")))
+    nth = F.col("_before") + F.row_number().over(Window.partitionBy(group, "_part").orderBy("_digest", *key))
+    return kept.withColumn("_nth", nth).where("_nth <= _take").select(*df.columns)
 
 
 def history_counts(df: DataFrame, day: str = "date", lead_days: int = 7) -> DataFrame:
