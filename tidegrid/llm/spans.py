@@ -245,8 +245,8 @@ def shared_pairs(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     its pairs once and no group of texts is ever collected; the join's size is that of the result.
     """
     found = SharedSpans(documents, doc_id=doc_id, text=text, span=span)
-    # the filter drops nothing; the join would add it below one of the two uses of this shuffle
-    windows = found.windows(False).where("h1 IS NOT NULL AND h2 IS NOT NULL").repartition("h1")
+    # computed for each of its two uses: the candidates are few, and a written copy would be as large as the shuffle
+    windows = found.windows(False).repartition("h1")
     sets = windows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("members")).where("n > 1")
     chosen = sets.groupBy("n", "members").agg(F.min(F.struct("h1", "h2")).alias("h")).select("h.h1", "h.h2")
     holders = materialise(windows.join(chosen, ["h1", "h2"]).select("h1", "h2", "doc_id"), "holders")
