@@ -74,6 +74,11 @@ def delayed_month_join(left: DataFrame, index: DataFrame, *, day: str, month: st
     return joined.select(*left.columns, *[F.col(f"_p.{c}").alias(c) for c in payload])
 
 
+def training_rows(anchors: DataFrame, features: DataFrame, *, site: str = "site", anchor: str = "anchor", day: str = "week") -> DataFrame:
+    """Each anchor with all feature rows of its site up to the anchor, however few."""
+    return anchors.join(features, site).where(F.col(day) <= F.col(anchor))
+
+
 def training_windows(anchors: DataFrame, features: DataFrame, *, site: str = "site", anchor: str = "anchor", day: str = "week",
                      min_rows: int = 10) -> DataFrame:
     """Each anchor with all feature rows of its site up to the anchor, the anchor's day included.
@@ -82,18 +87,23 @@ def training_windows(anchors: DataFrame, features: DataFrame, *, site: str = "si
     rows by nature; both sides are hashed on the site and the anchor's history is bounded by the
     lattice. Anchors' columns must not clash with the features' (site aside).
     """
-    met = anchors.join(features, site).where(F.col(day) <= F.col(anchor))
+    met = training_rows(anchors, features, site=site, anchor=anchor, day=day)
     keys = [c for c in anchors.columns]
     sized = met.withColumn("_rows", F.count("*").over(Window.partitionBy(*keys)))
     return sized.where(F.col("_rows") >= min_rows).drop("_rows")
 
 
-def leakage_report(training: DataFrame, *, keys: Sequence[str], day: str = "week", anchor: str = "anchor", test: str = "test_date") -> DataFrame:
-    """(*keys, last_train, clean): clean if no training row is after the anchor and the test date is."""
+def leakage_report(training: DataFrame, *, keys: Sequence[str], day: str = "week", anchor: str = "anchor", test: str = "test_date",
+                   min_rows: int = 1) -> DataFrame:
+    """(*keys, last_train, clean): clean if no training row is after the anchor and the test date is.
+
+    Keys with fewer than ``min_rows`` training rows don't appear.
+    """
     last = F.max(day)
-    return training.groupBy(*keys).agg(
-        last.alias("last_train"), ((last <= F.max(anchor)) & (F.max(test) > F.max(anchor))).alias("clean")
+    checked = training.groupBy(*keys).agg(
+        last.alias("last_train"), ((last <= F.max(anchor)) & (F.max(test) > F.max(anchor))).alias("clean"), F.count("*").alias("_rows")
     )
+    return checked.where(F.col("_rows") >= min_rows).drop("_rows")
 
 
 class LeakageError(ValueError):

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,3 +109,40 @@ def history_counts(df: DataFrame, day: str = "date", lead_days: int = 7) -> Data
     before = Window.partitionBy("site").orderBy("_d").rangeBetween(Window.unboundedPreceding, -lead_days)
     counted = days.select("site", F.col("_day").alias(day), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("n_history"))
     return df.join(counted, ["site", day])
+
+
+_HISTORY = "site string, test_date date, n long, mean double, q99 double, med double, lo double, hi double, last_observed double, weeks_since_spike double"
+
+
+def _quantile(ordered: list[float], q: float) -> float:
+    place = q * (len(ordered) - 1)
+    low = int(place)
+    high = min(low + 1, len(ordered) - 1)
+    return (1 - (place - low)) * ordered[low] + (place - low) * ordered[high]
+
+
+def expanding_history(weekly: DataFrame, min_rows: int = 10, lead_days: int = 7, spike: float = 20.0) -> DataFrame:
+    """Each (site, week, da_raw) row as a test date, with statistics of the site's rows at least ``lead_days`` before it.
+
+    The same as an aggregate over ``training_windows`` with every row as an anchor, without its
+    anchors x history rows: one pass over a site's weeks, whose number the lattice bounds, keeps
+    the values so far in order. ``weeks_since_spike`` counts to the test date. Test dates with
+    fewer than ``min_rows`` rows before them don't appear.
+    """
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("week")
+        site, weeks, values = pdf["site"].iloc[0], pdf["week"].tolist(), pdf["da_raw"].tolist()
+        rows, ordered, total, last_spike, known = [], [], 0.0, None, 0
+        for week in weeks:
+            while known < len(weeks) and (week - weeks[known]).days >= lead_days:
+                insort(ordered, values[known])
+                total += values[known]
+                last_spike = weeks[known] if values[known] > spike else last_spike
+                known += 1
+            if known >= min_rows:
+                since = (week - last_spike).days / 7.0 if last_spike is not None else NO_SPIKE_WEEKS
+                rows.append((site, week, known, total / known, _quantile(ordered, 0.99), _quantile(ordered, 0.5), ordered[0], ordered[-1], values[known - 1], since))
+        return pd.DataFrame(rows, columns=[part.split(" ")[0] for part in _HISTORY.split(", ")])
+
+    return weekly.select("site", "week", "da_raw").where("da_raw IS NOT NULL").groupBy("site").applyInPandas(one, _HISTORY)

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from tidegrid.functions import classes as C
 from tidegrid.functions.scalars import monday, reading_value, site_key
 from tidegrid.operators import aggregates as A
-from tidegrid.operators.joins import asof_join, delayed_month_join, leakage_report, training_windows
+from tidegrid.operators.joins import asof_join, delayed_month_join, leakage_report, training_rows, training_windows
 from tidegrid.operators.series import lattice, month_shift, weekly_max
-from tidegrid.operators.windows import hashed_sample, history_counts
+from tidegrid.operators.windows import expanding_history, hashed_sample, history_counts
 from tidegrid.plans.base import KEY, PN, RAW, RESULTS, SERIES, WEEKLY, Catalogue, cell_counts, iso, q6, r6, raw, results, series, weekly
 from tidegrid.runtime import table
 from tidegrid.sources import cache, files
@@ -343,6 +343,10 @@ def _training(spark: SparkSession, d: str) -> DataFrame:
     return training_windows(anchors, rows)
 
 
+def _at_every_week(spark: SparkSession, d: str) -> DataFrame:
+    return expanding_history(weekly(spark, d))
+
+
 @query(f"WITH {WEEKLY}, {_ANCHORS} SELECT site, strftime(test_date, '%Y-%m-%d') AS test_date, count(*) AS n, {q6('avg(da_raw)')} AS mean, {q6('quantile_cont(da_raw, 0.99)')} AS q99, {q6('median(da_raw)')} AS med FROM sized WHERE n >= 10 GROUP BY 1, 2")
 def join14_training_windows(spark: SparkSession, d: str) -> DataFrame:
     return _training(spark, d).groupBy("site", iso("test_date").alias("test_date")).agg(
@@ -350,11 +354,28 @@ def join14_training_windows(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query()
+def join14_every_anchor(spark: SparkSession, d: str) -> DataFrame:
+    """join14 with every observed week as an anchor, not June's alone."""
+    return _at_every_week(spark, d).select("site", iso("test_date").alias("test_date"), "n", *[r6(c) for c in ("mean", "q99", "med")])
+
+
 @query(f"""WITH {WEEKLY}, {_ANCHORS}, dates AS (SELECT DISTINCT anchor FROM anchors), totals AS (SELECT week, count(*) AS n, sum((da_raw >= 20)::INT) AS s FROM weekly GROUP BY week)
 SELECT strftime(anchor, '%Y-%m-%d') AS anchor, CAST(sum(n) AS BIGINT) AS n, CAST(sum(s) AS BIGINT) AS spikes FROM dates JOIN totals ON week <= anchor GROUP BY 1""")
 def join15_pooled_range(spark: SparkSession, d: str) -> DataFrame:
     rows = weekly(spark, d)
-    dates = rows.where(F.month("week") == 6).select(F.date_sub("week", 7).alias("anchor")).distinct()
+    return _pooled(rows, rows.where(F.month("week") == 6))
+
+
+@query()
+def join15_every_anchor(spark: SparkSession, d: str) -> DataFrame:
+    """join15 with every observed week as an anchor."""
+    rows = weekly(spark, d)
+    return _pooled(rows, rows)
+
+
+def _pooled(rows: DataFrame, tested: DataFrame) -> DataFrame:
+    dates = tested.select(F.date_sub("week", 7).alias("anchor")).distinct()
     totals = rows.groupBy("week").agg(F.count("*").alias("n"), F.sum((F.col("da_raw") >= 20).cast("int")).alias("s"))
     return A.running_totals_at(dates, "anchor", totals, "week", ["n", "s"]).select(iso("anchor").alias("anchor"), "n", F.col("s").alias("spikes"))
 
@@ -365,6 +386,15 @@ def proj25_leakage_check(spark: SparkSession, d: str) -> DataFrame:
     return checked.select("site", iso("test_date").alias("test_date"), iso("last_train").alias("last_train"), "clean")
 
 
+@query()
+def proj25_every_anchor(spark: SparkSession, d: str) -> DataFrame:
+    """proj25 with every observed week as an anchor; the check sees the joined rows, summed up before any shuffle."""
+    rows = weekly(spark, d)
+    anchors = rows.select("site", F.col("week").alias("test_date"), F.date_sub("week", 7).alias("anchor"))
+    checked = leakage_report(training_rows(anchors, rows), keys=["site", "test_date"], min_rows=10)
+    return checked.select("site", iso("test_date").alias("test_date"), iso("last_train").alias("last_train"), "clean")
+
+
 @query(f"""WITH {WEEKLY}, first_site AS (SELECT lat, min(site) AS site FROM site_profiles WHERE lat IS NOT NULL GROUP BY lat)
 SELECT p.version_id, f.site AS lat_site FROM site_profiles p JOIN first_site f USING (lat)""")
 def join19_lat_lookup(spark: SparkSession, d: str) -> DataFrame:
