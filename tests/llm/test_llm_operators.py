@@ -155,6 +155,25 @@ def test_new_parameters(spark):
     assert loose[1, 1] == 0 and loose[2, 1] > 0 and (3, 1) not in loose
 
 
+def test_new_names_that_no_item_holds(spark):
+    item = "Decide whether the shore may open when the composite taken near Scour Beach was thawed for 104 hours before it was read"
+    starts = "Scour Harbour was closed when the composite that had been thawed for nine hours before it was read"
+    three = "The sample that was taken near Long Scour Beach was thawed for nine hours before"
+    swap = lambda text, old, new: text.replace(old, new)
+    docs = [
+        swap(item, "Scour Beach", "Harrow Narrows"), swap(item, "Scour Beach", "Ruckle Été"), swap(item, "Scour Beach", "Sample Closed"),
+        swap(starts, "Scour Harbour", "Ruckle Narrows"), "Before. " + swap(three, "Long Scour Beach", "Far Ruckle Narrows"),
+        swap(item, "Scour Beach", "muddy creeks").replace("Decide whether the shore may open when ", "").replace(" before it was read", ""), item.lower(), item.title(),
+    ]
+    items = spark.createDataFrame([(1, item), (2, starts), (3, three)], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r for r in leaks(documents(spark, docs), items, verbatim=False).collect()}
+    assert {(1, 1), (2, 1), (3, 1), (4, 2), (5, 3), (7, 1), (8, 1)} <= found.keys() and not any(d == 6 for d, _ in found)
+    n = len(words_of(item)) - 11
+    assert [found[d, 1]["windows"] for d in (1, 2, 3, 7, 8)] == [n] * 5 and [found[d, 1]["verbatim_windows"] for d in (7, 8)] == [n] * 2
+    assert found[4, 2]["windows"] == len(words_of(starts)) - 11
+    assert {(r[0], r[1]) for r in leaks(documents(spark, docs), items).select("doc_id", "item_id").collect()} >= {(7, 1), (8, 1)}
+
+
 # -- shared spans --------------------------------------------------------------------------------
 
 

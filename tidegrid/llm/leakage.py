@@ -1,7 +1,8 @@
 """Evaluation texts leaking into training text, by hash-joining windows of word templates.
 
 Every word becomes its template: numbers, names and units become typed placeholders, all other
-words stand for themselves. Windows of consecutive template words are hashed and joined; the
+words stand for themselves. Where new parameters are sought, a document's names are also decided by
+its own text: a capitalised word that no item holds, or that stands within a sentence. Windows of consecutive template words are hashed and joined; the
 words under the placeholders, the slots, then decide: equal slots are a verbatim leak, slots
 that map one to one onto others are a question with new parameters.
 """
@@ -39,6 +40,9 @@ _BASE = 0x9FB21C651E98DF25
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _WORD = re.compile(r"[^\W_]+")
 _SPACED = bytes(c if chr(c).isalnum() and c < 128 else 32 for c in range(256))
+_STOP = "."
+_MARKED = re.compile(r"[^\W_]+|[.!?:\n]")
+_MARKS = bytes(c if chr(c).isalnum() and c < 128 else ord(_STOP) if chr(c) in ".!?:\n" else 32 for c in range(256))
 _SLICE = 1 << 20
 
 
@@ -49,26 +53,40 @@ def _words(text: str) -> list[str]:
     return [word.lower() for word in _WORD.findall(text)]
 
 
+def _cased_words(text: str) -> list[str]:
+    """The same runs as they are written, with _STOP wherever a sentence may end and before the first."""
+    if text.isascii():
+        return [_STOP, *text.encode("ascii").translate(_MARKS).replace(b".", b" . ").decode("ascii").split()]
+    return [_STOP, *(word if word[0].isalnum() else _STOP for word in _MARKED.findall(text))]
+
+
 class _Lexicon(dict):
-    """word -> index of its codes; forgotten when it grows beyond a bound, so memory is bounded."""
+    """word -> index of its codes; forgotten when it grows beyond a bound, so memory is bounded.
 
-    def __init__(self, names: frozenset[str]):
+    With ``known``, the words of the other side, words come as they are written, and a capitalised
+    one that isn't known is a name: as itself it could meet nothing.
+    """
+
+    def __init__(self, names: frozenset[str], known: frozenset[str] | None = None):
         super().__init__()
-        self.names, self.template, self.value = names, [], []
+        self.names, self.known, self.template, self.value, self.capital = names, known, [], [], []
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, written: str) -> int:
+        word = written.lower() if self.known is not None else written
+        capital = self.known is not None and written[0].isupper()
         value = xxhash.xxh3_64_intdigest(word)
         if any(c.isdigit() for c in word):
             code = int(_NUMBER)
         elif word in UNITS:
             code = int(_UNIT)
-        elif word in self.names:
+        elif word in self.names or (capital and word not in self.known):
             code = int(_NAME)
         else:
             code = value
         self.template.append(code)
         self.value.append(value)
-        self[word] = index = len(self.value) - 1
+        self.capital.append(capital and code == value)
+        self[written] = index = len(self.value) - 1
         return index
 
     def bound(self) -> None:
@@ -76,6 +94,7 @@ class _Lexicon(dict):
             self.clear()
             self.template.clear()
             self.value.clear()
+            self.capital.clear()
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -104,8 +123,16 @@ def _scan(
 ) -> Iterator[tuple[int, int, int, int, str]]:
     """(id, template hash, slot hash, place, words) of the windows that are wanted."""
     lexicon.bound()
-    parts = [_words(text) for text in texts]
-    flat = [word for part in parts for word in part]
+    inner = None
+    if lexicon.known is None:
+        parts = [_words(text) for text in texts]
+        flat = [word for part in parts for word in part]
+    else:
+        marked = [_cased_words(text) for text in texts]
+        parts = [[word for word in part if word != _STOP] for part in marked]
+        flat = [word for part in parts for word in part]
+        stops = np.fromiter((word == _STOP for part in marked for word in part), bool)
+        inner = ~np.concatenate(([True], stops[:-1]))[~stops]
     if len(flat) < size:
         return
     index = np.fromiter(map(lexicon.__getitem__, flat), np.int64, len(flat))
@@ -113,19 +140,28 @@ def _scan(
     value = np.array(lexicon.value, np.uint64)
     slots = np.where(template != value, value, np.uint64(0))
     t, s = hasher.windows(template[index], size), hasher.windows(slots[index], size)
+    readings = [(t, s)]
+    if inner is not None:
+        # words of the items that are capitalised within a sentence may be literal or names: both are tried
+        doubtful = inner & np.array(lexicon.capital, bool)[index]
+        if doubtful.any():
+            as_names = np.where(doubtful, _NAME, template[index])
+            readings.append((hasher.windows(as_names, size), hasher.windows(np.where(doubtful, value[index], slots[index]), size)))
+        flat = [word.lower() for word in flat]
     lengths = np.array([len(part) for part in parts])
     ends = np.cumsum(lengths)
     inside = np.ones(len(flat), bool)
     for back in range(1, size):
         cut = ends - back
         inside[cut[(cut >= 0)]] = False
-    hits = np.flatnonzero(inside[: len(t)] & wanted(t, s))
-    owner = np.searchsorted(ends, hits, side="right")
     firsts = ends - lengths
-    for at, which in zip(hits.tolist(), owner.tolist()):
-        yield (
-            ids[which], int(t[at].astype(np.int64)), int(s[at].astype(np.int64)), at - int(firsts[which]), " ".join(flat[at : at + size])
-        )
+    for number, (a, b) in enumerate(readings):
+        hits = np.flatnonzero(inside[: len(t)] & wanted(a, b) & ((a != t) | (number == 0)))
+        owner = np.searchsorted(ends, hits, side="right")
+        for at, which in zip(hits.tolist(), owner.tolist()):
+            yield (
+                ids[which], int(a[at].astype(np.int64)), int(b[at].astype(np.int64)), at - int(firsts[which]), " ".join(flat[at : at + size])
+            )
 
 
 _SCHEMA = "id long, template long, slots long, place long, words string"
@@ -135,12 +171,12 @@ _ARROW = pa.schema(
 
 
 def template_windows(
-    texts: DataFrame, names: frozenset[str], size: int, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray]
+    texts: DataFrame, names: frozenset[str], size: int, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray], known: frozenset[str] | None = None
 ) -> DataFrame:
-    """(id, template, slots, place, words) of the wanted windows of (id, text)."""
+    """(id, template, slots, place, words) of the wanted windows of (id, text), in each reading that ``known`` allows."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, hasher = _Lexicon(names), _Hasher()
+        lexicon, hasher = _Lexicon(names, known), _Hasher()
         for batch in batches:
             ids, bodies, held = [], [], 0
             found: list[tuple[int, int, int, int, str]] = []
@@ -165,15 +201,31 @@ def _everything(t: np.ndarray, s: np.ndarray) -> np.ndarray:
 
 
 def name_words(texts: DataFrame, text: str = "text") -> frozenset[str]:
-    """Words that stand capitalised within sentences; the most frequent NAME_WORDS of them.
+    """Words that stand capitalised within sentences, or first in one and nowhere in lower case; the most frequent NAME_WORDS of them.
 
     Which words are names never decides whether a verbatim leak is found, as both sides use the
     same lexicon without regard to case; it decides which other parameters are recognised.
     """
-    capital = F.regexp_extract_all(text, F.lit(r"(?<=[a-z0-9,;] )(\p{Lu}\p{Ll}+)"), F.lit(1))
-    more = F.regexp_extract_all(text, F.lit(r"(?<=[a-z0-9,;] )\p{Lu}\p{Ll}+ (\p{Lu}\p{Ll}+)"), F.lit(1))
-    words = texts.select(F.explode(F.concat(capital, more)).alias("w")).groupBy(F.lower("w").alias("w")).count()
-    return frozenset(r[0] for r in words.orderBy(F.desc("count"), "w").limit(NAME_WORDS).collect())
+    runs = F.regexp_extract_all(text, F.lit(r"(?<=[a-z0-9,;] )(\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*)"), F.lit(1))
+    inner = texts.select(F.explode(F.split(F.array_join(runs, " "), " ")).alias("w"), F.lit(1).alias("inner"))
+    every = texts.select(F.explode(F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))).alias("w"), F.lit(0).alias("inner"))
+    words = inner.unionByName(every).where("w <> ''").groupBy(F.lower("w").alias("w")).agg(
+        F.sum("inner").alias("inner"), F.count_if(F.expr(r"inner = 0 AND w RLIKE '^\\p{Lu}\\p{Ll}+$'")).alias("capital"),
+        F.count_if(F.expr(r"inner = 0 AND w RLIKE '^\\p{Ll}'")).alias("lower"),
+    )
+    found = words.where((F.col("inner") > 0) | ((F.col("capital") > 0) & (F.col("lower") == 0)))
+    return frozenset(r[0] for r in found.orderBy(F.desc("capital"), "w").limit(NAME_WORDS).select("w").collect())
+
+
+def all_words(texts: DataFrame, text: str = "text") -> frozenset[str]:
+    """Every word of the texts in lower case."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {word for body in batch.column(0).to_pylist() if body is not None for word in _words(body)}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["w"])
+
+    return frozenset(texts.select(text).mapInArrow(split, "w string").distinct().toArrow().column(0).to_pylist())
 
 
 def _mix(t: np.ndarray, s: np.ndarray) -> np.ndarray:
@@ -195,7 +247,8 @@ def leaks(
     A pair shares ``windows`` windows of ``size`` consecutive words, compared as maximal runs of
     letters and digits without regard to case. With ``verbatim`` only equal words count, and every
     such pair is found; else windows also count whose slots map one to one onto the item's, which
-    catches re-parameterised passages.
+    catches re-parameterised passages. A replaced name need not occur in any item, but must be
+    capitalised where it stands.
 
     Rows with a NULL id or text and texts of fewer words hold nothing; repeated rows and windows
     count once per place; other columns are ignored; an empty side gives an empty result.
@@ -205,6 +258,7 @@ def leaks(
     The join is by broadcast only if a count bounds the items' windows, else both sides shuffle.
     """
     names = name_words(items, text)
+    known = None if verbatim else all_words(items, text)
     of_items = materialise(
         template_windows(items.select(F.col(item_id).cast("long").alias("id"), F.col(text).alias("text")), names, size, _everything),
         "item-windows",
@@ -229,7 +283,7 @@ def leaks(
         return (packed[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 > 0
 
     of_documents = template_windows(
-        documents.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")), names, size, wanted
+        documents.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")), names, size, wanted, known
     ).select(F.col("id").alias("doc_id"), "template", "slots", "place", F.col("words").alias("doc_words"))
     keys = ["template", "slots"] if verbatim else ["template"]
     item_side = of_items.select(F.col("id").alias("item_id"), *keys, F.col("words").alias("item_words")).distinct()
