@@ -141,3 +141,27 @@ def test_tuning_and_experiments(spark, raw):
     scores = backtest.run_experiments(raw, None, runs).collect()
     assert {(r["experiment"], r["site"]) for r in scores} == {(e, s) for e in runs for s in (None, "copalis", "other")}
     assert len(backtest.perturbations(tiny)) == 7 and len(backtest.seeded(tiny, (1, 2))) == 4
+
+
+def test_spikes_are_pooled_over_sites(spark):
+    rng = np.random.default_rng(5)
+    weeks = [date(2015, 1, 5) + timedelta(weeks=i) for i in range(80)]
+    calm = [("calm", w, float(rng.uniform(0, 10))) for w in weeks]
+    wild = [("wild", w, float(rng.uniform(21, 60) if i % 5 == 4 else rng.uniform(0, 10))) for i, w in enumerate(weeks)]
+    frame = lambda rows: spark.createDataFrame(rows, "site string, date date, da_raw double")
+    at = lambda rows: backtest.single_forecast(frame(rows), None, "calm", weeks[60], SMALL).first()
+    alone, pooled = at(calm), at(calm + wild)
+    assert alone["spike_probability"] is None and 0 < pooled["spike_probability"] < 1 and pooled["ensemble"] == alone["ensemble"]
+    later = [(s, d, 99.0 if d >= weeks[60] else v) for s, d, v in calm + wild]
+    assert at(later)["spike_probability"] == pooled["spike_probability"]
+    # the pool: measured weeks only, the features of the week before, safe where the last value was no spike
+    lattice = backtest.feature_frame(frame(calm + wild[:10] + wild[11:]), None, SMALL)
+    pool = backtest.pooled_rows(lattice, ["last_observed"], SMALL).where(F.col("week") < weeks[15]).collect()
+    value = {(s, d): v for s, d, v in calm + wild if (s, d) != ("wild", weeks[10])}
+    expected = []
+    for (s, d), v in value.items():
+        if d < weeks[15]:
+            past = [u for (t, e), u in value.items() if t == s and e < d]
+            expected.append((d, v >= 20, (past[-1] if past else 0) < 20, past[-1] if past else None))
+    assert sorted(map(str, expected)) == sorted(str((r["week"], r["spike"], r["safe"], r["features"][0])) for r in pool)
+    assert not set(backtest.SPIKE_LEAKS) - set(lattice.columns)
