@@ -165,3 +165,20 @@ def test_spikes_are_pooled_over_sites(spark):
             expected.append((d, v >= 20, (past[-1] if past else 0) < 20, past[-1] if past else None))
     assert sorted(map(str, expected)) == sorted(str((r["week"], r["spike"], r["safe"], r["features"][0])) for r in pool)
     assert not set(backtest.SPIKE_LEAKS) - set(lattice.columns)
+
+
+def test_intervals_are_those_of_the_blend(spark, raw):
+    config = SMALL.but(boost_rounds=4, forest_trees=3, bootstrap_rounds=7)
+    frame = backtest.feature_frame(raw, None, config)
+    for site, on in (("copalis", date(2016, 1, 4)), ("other", date(2016, 1, 11))):
+        row = backtest.single_forecast(raw, None, site, on, config).first()
+        anchor = on - timedelta(days=7)
+        train = frame.where((F.col("site") == site) & (F.col("week") <= anchor)).toPandas().assign(test_date=on, anchor=anchor, actual=None)
+        p = backtest._Prepared(train, backtest.feature_columns(frame, config), config)
+        draws = []
+        for k in range(7):
+            rows = np.random.default_rng([config.seed, k]).integers(0, len(p.y), len(p.y))
+            x, y = p.x[rows], p.y[rows]
+            parts = [float(np.clip(m.predict(p.at)[0], 0, p.cap)) for m in (p.boosted(x, y), p.forest(x, y))]
+            draws.append(np.dot(parts, (config.site(site).boosted_weight, config.site(site).forest_weight)))
+        assert np.allclose([row["p05"], row["p50"], row["p95"]], np.percentile(draws, [5, 50, 95])) and np.std(draws) > 0
