@@ -182,3 +182,14 @@ def test_intervals_are_those_of_the_blend(spark, raw):
             parts = [float(np.clip(m.predict(p.at)[0], 0, p.cap)) for m in (p.boosted(x, y), p.forest(x, y))]
             draws.append(np.dot(parts, (config.site(site).boosted_weight, config.site(site).forest_weight)))
         assert np.allclose([row["p05"], row["p50"], row["p95"]], np.percentile(draws, [5, 50, 95])) and np.std(draws) > 0
+
+
+def test_registered_models_run_the_default_configuration(spark, sf, monkeypatch):
+    from tidegrid.plans import registry
+
+    seen = []
+    monkeypatch.setattr(backtest, "single_forecast", lambda *args: seen.append(args[-1]))
+    monkeypatch.setattr(backtest, "retrospective", lambda *args: seen.append(args[-1]))
+    for name in ("model11_single_forecast", "model12_retrospective"):
+        registry.queries()[name](spark, sf)
+    assert seen == [EngineConfig(), EngineConfig()]
