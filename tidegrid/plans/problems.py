@@ -10,7 +10,7 @@ from tidegrid.operators.dirty_rows import failed_rows, parse_lines, valid_rows
 from tidegrid.operators.grid import weekly_grid
 from tidegrid.operators.known_attributes import join_known, validity_intervals
 from tidegrid.operators.rolling import trailing_totals
-from tidegrid.runtime import table
+from tidegrid.runtime import materialise, table
 
 
 def usable_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,18 +40,17 @@ def p2_trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _site_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return weekly_grid(usable_samples(spark, sf_dir), "site_key", "collect_date", "result", kind="level", max_gap_days=28)
-
-
-def _with_spelling(weeks: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The site as the table spells it (the first spelling in order, if there are several)."""
-    names = usable_samples(spark, sf_dir).groupBy("site_key").agg(F.min("site").alias("site"))
-    return weeks.join(names, weeks["entity"] == names["site_key"]).drop("entity", "site_key")
+    return weekly_grid(usable_samples(spark, sf_dir), "site_key", "collect_date", "result", kind="level", max_gap_days=28, label="site")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    silent = _site_weeks(spark, sf_dir).where("readings = 0")
-    return _with_spelling(silent, spark, sf_dir).select("site", F.col("week_start").cast("string").alias("week_start"))
+    """The weeks that the grid marks as without reading.
+
+    The grid is written whole, so that the marks come from its differences, resets and overlaps,
+    of which the optimiser would keep none if it saw that only the marks are read.
+    """
+    silent = materialise(_site_weeks(spark, sf_dir), "site-weeks").where("status <> 'observed'")
+    return silent.select("site", F.col("week_start").cast("string").alias("week_start"))
 
 
 def p3_grid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,14 +40,22 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
-    The result has no lineage to recompute: a lost executor costs a re-read of files.
+    The result has no lineage to recompute: a lost executor costs a re-read of files. The files
+    are deleted when the session's JVM ends, as lazy results may read them until then.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    discard_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard_at_end(spark: SparkSession, path: str) -> None:
+    """Have the file system delete ``path`` when the session's JVM ends."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
     """``df`` with a broadcast hint if it holds at most ``rows`` rows, else ``df`` as it is.
 
