@@ -1,3 +1,7 @@
+import csv
+import random
+import re
+
 import pytest
 
 from tidegrid.operators.dirty_rows import QuotingError, assemble, failed_rows, parse_lines, read_fields, valid_rows
@@ -57,5 +61,70 @@ def test_empty_and_long(spark):
 
 def test_assembly():
     assert read_fields('a , "b ""c"", d" ,e') == ["a", 'b "c", d', "e"]
-    with pytest.raises(QuotingError):
-        assemble('a"b,c')
+    assert assemble(' a , "b"\t,c\r') == 'a ,"b",c'
+    for line in ('a"b,c', '"a" b', '"a', '"a"b', 'a,"b""', 'a, "b'):
+        with pytest.raises(QuotingError):
+            read_fields(line)
+
+
+def by_characters(line):
+    """The fields of a line, or None for bad quotes, read character by character after the statement."""
+    fields, at, line = [], 0, line.strip(" \t\r")
+    while True:
+        begin = at
+        while begin < len(line) and line[begin] in " \t\r":
+            begin += 1
+        if begin < len(line) and line[begin] == '"':
+            text, at = "", begin + 1
+            while True:
+                if at >= len(line):
+                    return None
+                if line[at] == '"' and line[at + 1 : at + 2] == '"':
+                    text, at = text + '"', at + 2
+                elif line[at] == '"':
+                    at += 1
+                    break
+                else:
+                    text, at = text + line[at], at + 1
+            while at < len(line) and line[at] in " \t\r":
+                at += 1
+            if at < len(line) and line[at] != ",":
+                return None
+        else:
+            end = line.find(",", at)
+            text, at = line[at : end if end >= 0 else len(line)], end if end >= 0 else len(line)
+            if '"' in text:
+                return None
+        fields.append(text.strip(" \t\r"))
+        if at >= len(line):
+            return fields
+        at += 1
+
+
+def test_random_lines_are_decided_by_the_strict_reader():
+    rng = random.Random(3)
+    raised = afterwards = sound = 0
+    for _ in range(60_000):
+        line = "".join(rng.choice('"",, \t\rab1') for _ in range(rng.randrange(1, 14)))
+        expected = by_characters(line) if line.strip(" \t\r") else []
+        try:
+            got = read_fields(line)
+            sound += 1
+        except QuotingError as error:
+            got = None
+            raised += isinstance(error.__cause__, csv.Error)
+            afterwards += error.__cause__ is None
+        assert (got and [x.replace("\r", "\t") for x in got]) == (expected and [x.replace("\r", "\t") for x in expected]) or blanks_apart(got, expected), line
+    assert raised > afterwards > 0 and sound > 0
+
+
+def blanks_apart(got, expected):
+    """Blanks between a comma and a quote inside a quoted field may go."""
+    squeeze = lambda fields: [re.sub(r"[ \t\r]", "", x) for x in fields]
+    return got is not None and expected is not None and squeeze(got) == squeeze(expected)
+
+
+def test_more_deliveries_than_are_broadcast(spark):
+    lines, ids = frame(spark, [A, *CASES], ["no header", "1/1/2003,5"])
+    few, many = (sorted(map(tuple, parse_lines(lines, broadcast_deliveries=n).collect()), key=repr) for n in (1, 1000))
+    assert few == many and len(few) == len(CASES) + 1

@@ -1,8 +1,9 @@
 """Rows that fail to parse: typed records on one side, failures with their reason on the other.
 
-Each delivered line is assembled quote-aware into a canonical record, read by Python's csv
-reader in strict mode inside a partition-wise Arrow map, and only a record whose structure is
-sound reaches the typed field constructors. Structural exceptions are caught before those.
+Each delivered line is assembled into a record without blanks around its quoted fields, read by
+Python's csv reader in strict mode inside a partition-wise Arrow map, and only a record whose
+structure is sound reaches the typed field constructors. The reader's own exceptions decide on
+quotes that aren't closed or are followed by text; they are caught before any field is typed.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegrid.runtime import BROADCAST_ROWS, fits, materialise
+
 #: A delivery is cut into blocks of so many lines, so that one long delivery is no hot key.
 BLOCK_LINES = 50_000
 
@@ -26,7 +29,8 @@ MONTHS = (
 )
 
 _BLANKS = " \t\r"
-_QUOTED = re.compile(r'(^|,)[ \t\r]*("(?:[^"]|"")*")[ \t\r]*(?=,|$)')
+_BEFORE_QUOTE, _AFTER_QUOTE = re.compile(r',[ \t]+(?=")'), re.compile(r'"[ \t]+(?=,)')
+_QUOTED = re.compile(r'(^|,)"(?:[^"]|"")*"(?=,|$)')
 _SLASHED = re.compile(r"([0-9]{1,2})/([0-9]{1,2})/([0-9]{4}|[0-9]{2})")
 _DAY = re.compile(r"[0-9]{1,2}")
 _YEAR = re.compile(r"[0-9]{4}")
@@ -49,28 +53,33 @@ REASONS = {QuotingError: "quoting", ColumnsError: "columns", FieldError: "values
 
 
 def assemble(line: str) -> str:
-    """One line as a canonical record for the csv reader.
+    """One line as one record for the csv reader.
 
-    Blanks outside quoted fields go; a carriage return or line feed within the line becomes a
-    tab or vertical tab, so that it ends no record. Quotes in any place but around a field
-    raise QuotingError, as the strict reader would let a quote within an unquoted field pass.
+    A carriage return or line feed within the line becomes a tab or vertical tab, so that it ends
+    no record. Blanks at the ends and between a comma and a quote go, whichever way the quote
+    faces: that changes neither the order of quotes and commas nor which quotes are written twice.
     """
     record = line.strip(_BLANKS)
     if "\r" in record or "\n" in record:
         record = record.replace("\r", "\t").replace("\n", "\v")
     if '"' in record:
-        record = _QUOTED.sub(r"\1\2", record)
-        if '"' in _QUOTED.sub(r"\1", record):
-            raise QuotingError("a quote stands outside a quoted field or is not closed")
+        record = _AFTER_QUOTE.sub('"', _BEFORE_QUOTE.sub(",", record))
     return record
 
 
 def read_fields(line: str) -> list[str]:
-    """The fields of one line by the strict csv reader, without the blanks around them."""
+    """The fields of one line by the strict csv reader, without the blanks around them.
+
+    The reader raises for quotes that aren't closed and for text after a closing quote. A quote
+    within an unquoted field passes it and is looked for afterwards, in fields that hold quotes.
+    """
+    record = assemble(line)
     try:
-        fields = next(csv.reader((assemble(line),), strict=True), [])
+        fields = next(csv.reader((record,), strict=True), [])
     except csv.Error as error:
         raise QuotingError(str(error)) from error
+    if any('"' in field for field in fields) and '"' in _QUOTED.sub(r"\1", record):
+        raise QuotingError("a quote stands within an unquoted field")
     return [field.strip(_BLANKS) for field in fields]
 
 
@@ -126,14 +135,13 @@ MEASUREMENT_LAYOUTS = (
 )
 
 
-def _header(line: str | None, layouts: tuple[Layout, ...]) -> tuple[int, Layout | None]:
-    if line is None:
-        return 0, None
+def _layout_of(header: str | None, layouts: tuple[Layout, ...]) -> int | None:
+    """The number of the layout that a header line names, or None."""
     try:
-        fields = [f.lower() for f in read_fields(line.lstrip("﻿"))]
+        fields = tuple(f.lower() for f in read_fields((header or "").lstrip("\ufeff")))
     except QuotingError:
-        return 0, None
-    return len(fields), next((x for x in layouts if list(x.names) == fields), None)
+        return None
+    return next((n for n, layout in enumerate(layouts) if layout.names == fields), None)
 
 
 _OUT = "measured_on date, result double, below_limit boolean, reason string, detail string"
@@ -148,6 +156,7 @@ def parse_lines(
     raw: str = "raw_line",
     layouts: tuple[Layout, ...] = MEASUREMENT_LAYOUTS,
     block_lines: int = BLOCK_LINES,
+    broadcast_deliveries: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """(line_id, delivery, line_no, measured_on, result, below_limit, reason, detail), one row per data line.
 
@@ -158,43 +167,47 @@ def parse_lines(
     delivery get the reason ``header``. Repeated lines are all kept, each under its own id;
     further columns are ignored; an empty table gives an empty result.
 
-    Headers reach their lines by an equi-join on delivery and block of lines, so the largest
-    group is ``block_lines`` lines however long a delivery is.
+    Headers are read first, as one layout number per delivery. Up to ``broadcast_deliveries`` of
+    them are broadcast, and lines are then read once and not shuffled; more reach their lines by an
+    equi-join on delivery and block of lines, so that the largest group is ``block_lines`` lines
+    however long a delivery is.
     """
     block = F.floor(F.col(line_no) / block_lines)
     body = lines.where((F.col(line_no) > 1) | F.col(line_no).isNull()).select(
-        F.col(line_id).alias("line_id"), F.col(delivery).alias("delivery_id"),
-        F.col(line_no).alias("line_no"), F.col(raw).alias("raw_line"), block.alias("_block"),
+        F.col(line_id).alias("line_id"), F.col(delivery).alias("delivery_id"), F.col(line_no).alias("line_no"), F.col(raw).alias("raw_line"),
     ).where(F.length(F.trim("raw_line", F.lit(_BLANKS))) > 0)
-    headers = (
-        lines.where(F.col(line_no) == 1)
-        .groupBy(F.col(delivery).alias("delivery_id"))
-        .agg(F.min_by(raw, line_id).alias("header"))
-    )
-    blocks = body.select("delivery_id", "_block").distinct()
-    keyed = blocks.join(headers, "delivery_id")
-    joined = body.join(keyed, ["delivery_id", "_block"], "left").drop("_block")
-    kept = joined.select("line_id", "delivery_id", "line_no", "raw_line", "header")
+
+    def recognise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        csv.field_size_limit(sys.maxsize)
+        for batch in batches:
+            found = [_layout_of(head, layouts) for head in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int32())], ["delivery_id", "layout"])
+
+    kinds = dict(body.dtypes)
+    first = lines.where((F.col(line_no) == 1) & F.col(delivery).isNotNull()).groupBy(F.col(delivery).alias("delivery_id")).agg(F.min_by(raw, line_id).alias("header"))
+    headers = materialise(first.mapInArrow(recognise, f"delivery_id {kinds['delivery_id']}, layout int"), "headers")
+    if fits(headers, broadcast_deliveries):
+        joined = body.join(F.broadcast(headers), "delivery_id", "left")
+    else:
+        body = body.withColumn("_block", block)
+        keyed = body.select("delivery_id", "_block").distinct().join(headers, "delivery_id")
+        joined = body.join(keyed, ["delivery_id", "_block"], "left")
+    kept = joined.select("line_id", "delivery_id", "line_no", "raw_line", "layout")
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         csv.field_size_limit(sys.maxsize)
-        known: dict[str | None, tuple[int, Layout | None]] = {}
         for batch in batches:
             days, results, below, reasons, details = [], [], [], [], []
-            for line, head in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-                if head not in known:
-                    if len(known) > 10_000:
-                        known.clear()
-                    known[head] = _header(head, layouts)
-                width, layout = known[head]
+            for line, number in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
                 day = value = mark = reason = detail = None
-                if layout is None:
+                if number is None:
                     reason, detail = "header", "the delivery has no header of a known layout"
                 else:
+                    layout = layouts[number]
                     try:
                         fields = read_fields(line)
-                        if len(fields) != width:
-                            raise ColumnsError(f"{len(fields)} fields, the header has {width}")
+                        if len(fields) != len(layout.names):
+                            raise ColumnsError(f"{len(fields)} fields, the header has {len(layout.names)}")
                         day, value, mark = layout.construct(fields)
                     except (QuotingError, ColumnsError, FieldError) as error:
                         reason, detail = REASONS[type(error)], str(error)
@@ -212,7 +225,6 @@ def parse_lines(
                 ["line_id", "delivery_id", "line_no", "measured_on", "result", "below_limit", "reason", "detail"],
             )
 
-    kinds = dict(kept.dtypes)
     schema = f"line_id {kinds['line_id']}, delivery_id {kinds['delivery_id']}, line_no {kinds['line_no']}, {_OUT}"
     return kept.mapInArrow(parse, schema)
 

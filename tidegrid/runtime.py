@@ -63,12 +63,16 @@ def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, weight: Column
     Pass narrow frames only: a row or unit of weight should be a few dozen bytes.
     """
     if weight is None:
-        held = df.limit(rows + 1).count()
-    else:
-        held = df.agg(F.coalesce(F.sum(weight), F.lit(0)) + F.count("*")).first()[0]
+        return F.broadcast(df) if fits(df, rows) else df
+    held = df.agg(F.coalesce(F.sum(weight), F.lit(0)) + F.count("*")).first()[0]
     return F.broadcast(df) if held <= rows else df
 
 
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether ``df`` holds at most ``rows`` rows, found by counting no more than one beyond."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
