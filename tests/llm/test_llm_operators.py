@@ -1,5 +1,6 @@
 """The llm operators against brute force, with nulls, empty and long texts, ties, repeats and clashing columns."""
 
+import functools
 import os
 import random
 import re
@@ -9,6 +10,7 @@ from datetime import datetime, timedelta
 import numpy as np
 import pytest
 
+from tidegrid.llm import leakage
 from tidegrid.llm.leakage import leaks
 from tidegrid.llm.nearest_time import nearest_in_time
 from tidegrid.llm.packing import count_tokens, default_vocabulary, pack_histogram, pack_texts
@@ -144,34 +146,69 @@ def test_leaks(spark):
 
 
 def test_new_parameters(spark):
-    item = "Decide whether the beach may open when the composite taken near Scour Beach was thawed for 104 hours before it was read"
-    also = "The composite taken near Harrow Narrows was late"
-    changed = item.replace("104", "77").replace("Scour Beach", "Harrow Narrows")
-    other = item.replace("thawed", "frozen").replace("composite", "sample").replace("open", "close")
-    items = spark.createDataFrame([(1, item), (2, also)], "item_id long, text string")
-    docs = documents(spark, [changed, item, other])
-    assert {(r[0], r[1]) for r in leaks(docs, items).select("doc_id", "item_id").collect()} == {(2, 1)}
-    loose = {(r["doc_id"], r["item_id"]): r["verbatim_windows"] for r in leaks(docs, items, verbatim=False).collect()}
-    assert loose[1, 1] == 0 and loose[2, 1] > 0 and (3, 1) not in loose
-
-
-def test_new_names_that_no_item_holds(spark):
-    item = "Decide whether the shore may open when the composite taken near Scour Beach was thawed for 104 hours before it was read"
-    starts = "Scour Harbour was closed when the composite that had been thawed for nine hours before it was read"
-    three = "The sample that was taken near Long Scour Beach was thawed for nine hours before"
-    swap = lambda text, old, new: text.replace(old, new)
+    item = "Decide whether the beach may open when the composite taken near Scour Beach was thawed for 104 hours before it was read by form 12 or form 104"
+    swap = lambda *changes: functools.reduce(lambda t, c: t.replace(*c), changes, item)
     docs = [
-        swap(item, "Scour Beach", "Harrow Narrows"), swap(item, "Scour Beach", "Ruckle Été"), swap(item, "Scour Beach", "Sample Closed"),
-        swap(starts, "Scour Harbour", "Ruckle Narrows"), "Before. " + swap(three, "Long Scour Beach", "Far Ruckle Narrows"),
-        swap(item, "Scour Beach", "muddy creeks").replace("Decide whether the shore may open when ", "").replace(" before it was read", ""), item.lower(), item.title(),
+        swap(("104", "77"), ("Scour Beach", "Harrow Narrows")), item, swap(("thawed", "frozen"), ("composite", "sample"), ("open", "close"), ("before", "after")),
+        swap(("104", "1.5")), swap(("104", "1,200"), ("Scour Beach", "Ruckle")), swap(("Scour Beach", "Far Ruckle Été")), swap(("hours", "fortnights")),
+        swap(("Scour Beach", "Sample Closed")), swap(("Scour Beach", "muddy creeks")).replace("Decide whether the beach may open when ", ""),
+        item.lower(), item.title(), swap(("form 104", "form 12")), "Ruckle Narrows was closed when the composite that had been thawed for nine hours before it was read",
     ]
-    items = spark.createDataFrame([(1, item), (2, starts), (3, three)], "item_id long, text string")
-    found = {(r["doc_id"], r["item_id"]): r for r in leaks(documents(spark, docs), items, verbatim=False).collect()}
-    assert {(1, 1), (2, 1), (3, 1), (4, 2), (5, 3), (7, 1), (8, 1)} <= found.keys() and not any(d == 6 for d, _ in found)
+    starts = "Scour Harbour was closed when the composite that had been thawed for nine hours before it was read"
+    items = spark.createDataFrame([(1, item), (2, starts)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in leaks(documents(spark, docs), items, verbatim=False).collect()}
     n = len(words_of(item)) - 11
-    assert [found[d, 1]["windows"] for d in (1, 2, 3, 7, 8)] == [n] * 5 and [found[d, 1]["verbatim_windows"] for d in (7, 8)] == [n] * 2
-    assert found[4, 2]["windows"] == len(words_of(starts)) - 11
-    assert {(r[0], r[1]) for r in leaks(documents(spark, docs), items).select("doc_id", "item_id").collect()} >= {(7, 1), (8, 1)}
+    assert {d for d, i in got if i == 1} == {1, 2, 4, 5, 6, 7, 8, 10, 11, 12} | {d for d in (9,) if (9, 1) in got and got[9, 1]["verbatim_windows"]}
+    assert all(got[d, 1]["reworded_windows"] >= 8 for d in (1, 4, 5, 6, 7, 8))
+    assert [got[d, 1]["verbatim_windows"] for d in (2, 10, 11)] == [n] * 3 and got[1, 1]["verbatim_windows"] == 0
+    # a number that stands for two different ones is no consistent change where the window holds both
+    assert 0 < got[12, 1]["verbatim_windows"] < n and got[12, 1]["reworded_windows"] < got[4, 1]["reworded_windows"]
+    assert got[13, 2]["reworded_windows"] > 0
+    assert {(r[0], r[1]) for r in leaks(documents(spark, docs), items).select("doc_id", "item_id").collect()} >= {(2, 1), (10, 1), (11, 1)}
+
+
+def reparameterised(rng, text, items_words):
+    """The text with every number, name and unit after a number replaced, one for one, by others of any length."""
+    number = lambda: rng.choice([str(rng.randrange(2, 99_999)), f"{rng.uniform(0, 99):.2f}", f"{rng.randrange(1000, 9_999_999):,}"])
+    syllables = ["ra", "ven", "tor", "mel", "gos", "wick", "dun", "fell"]
+    part = lambda: rng.choice(items_words).capitalize() if rng.random() < 0.2 else "".join(rng.choices(syllables, k=2)).capitalize()
+    name = lambda: " ".join(part() for _ in range(rng.choice([1, 2, 2, 3])))
+    taken = {}
+
+    def other(found, make):
+        while found not in taken or list(taken.values()).count(taken[found]) > 1:
+            taken[found] = make()
+        return taken[found]
+
+    units = r"(?<=\d )(?:hours|days|pixels|rows|parts|vials)\b"
+    return re.sub(
+        r"\d+|(?<=[a-z] )[A-Z][a-z]+(?: [A-Z][a-z]+)*|" + units,
+        lambda m: other(m[0], number if m[0][0].isdigit() else name if m[0][0].isupper() else lambda: rng.choice(["fortnights", "furlongs", "mg/m³", "°C", "bushels"])), text,
+    )
+
+
+def test_recall_of_planted_new_parameters(spark, sf):
+    """Every item of the tables re-parameterised inside a document: recall of 0.95 and no other pair but of like items."""
+    rng = random.Random(11)
+    items = spark.read.parquet(f"{sf}/eval_items.parquet")
+    rows = items.select("item_id", "text").collect()
+    words = sorted({w for r in rows for w in words_of(r["text"]) if w.isalpha()})
+    around = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").where("length(text) > 200").limit(40).collect()]
+    planted = [(r["item_id"], rng.choice(around)[:150] + ". " + reparameterised(rng, r["text"], words) + " " + rng.choice(around)[:150]) for r in rows]
+    docs = spark.createDataFrame(planted, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in leaks(docs, items, verbatim=False).collect()}
+    found = sum((r["item_id"], r["item_id"]) in got for r in rows)
+    assert found >= 0.95 * len(rows)
+    # pairs of other items: only of those that are re-parameterisations of each other themselves, or share a long part
+    alike = {(r["doc_id"], r["item_id"]) for r in leaks(items.withColumnRenamed("item_id", "doc_id"), items, verbatim=False).collect()}
+    assert not {p for p in got if p[0] != p[1]} - alike
+
+
+def test_many_item_windows_join_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "BROADCAST_WINDOWS", 3)
+    item = " ".join(f"word{chr(97 + i)}" for i in range(20))
+    got = leaks(documents(spark, [item, "x " + item, "none of it"]), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["verbatim_windows"]) for r in got} == {(1, 9), (2, 9)}
 
 
 # -- shared spans --------------------------------------------------------------------------------

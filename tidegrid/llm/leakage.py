@@ -1,49 +1,60 @@
-"""Evaluation texts leaking into training text, by hash-joining windows of word templates.
-
-Every word becomes its template: numbers, names and units become typed placeholders, all other
-words stand for themselves. Where new parameters are sought, a document's names are also decided by
-its own text: a capitalised word that no item holds, or that stands within a sentence. Windows of consecutive template words are hashed and joined; the
-words under the placeholders, the slots, then decide: equal slots are a verbatim leak, slots
-that map one to one onto others are a question with new parameters.
+"""Evaluation texts leaking into training text, by hash-joining windows of text templates.
+
+A text is read as a row of terms. Numbers, names and units become typed placeholders in its
+template and keep their wording as slots; all other words stand for themselves. Windows of
+consecutive terms are hashed by template and hash-joined on that hash alone; the slots then decide.
+Two readings are taken. In the reading by words every word is a term, without regard to case, and
+equal slots make a verbatim leak. In the reading by terms a number with its points and commas, a run
+of capitalised words and the unit after a number are one term each, and slots that map one to one
+onto the item's make a question with new parameters.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.runtime import BROADCAST_ROWS, bounded_broadcast, materialise
+from tidegrid.runtime import fits, materialise
 
-#: Words of a window.
+#: Terms of a window.
 WINDOW = 12
+#: Words of a window of the reading by terms that must stand for themselves.
+LITERALS = 6
 
-#: Names of units, as lower-case words.
+#: Names of units that are placeholders wherever they stand, as lower-case words.
 UNITS = frozenset(
     "seconds minutes hours days weeks months years ppm ppb percent degrees mg ml ng kg km cm mm litres liters "
     "grams milligrams micrograms metres meters kilometres miles knots cells pixels".split()
 )
+#: Words that are no unit though they follow a number.
+NO_UNITS = frozenset(
+    "a an the and or but nor of in on at to for from by with without into over under than then as that which who when "
+    "while where if is are was were be been has had have will would can may must not no".split()
+)
 
-#: Windows are looked up in a map of 2**MAP_BITS bits before the join; its size is fixed.
-MAP_BITS = 23
+#: Windows are looked up in a map of MAP_LOAD bits a window of the items before the join. Beyond
+#: 2**MAP_MOST bits it grows no further: more windows pass it, and the join decides on them.
+MAP_LOAD, MAP_MOST = 16, 28
 
-#: The lexicon of names holds at most so many words, the most frequent ones.
-NAME_WORDS = 50_000
+#: Item windows are broadcast up to so many; beyond, documents' windows are spread by so many salts.
+BROADCAST_WINDOWS, SALTS = 200_000, 16
 
 _NUMBER, _NAME, _UNIT = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949D7C7509E6557), np.uint64(0xFF51AFD7ED558CCD)
 _BASE = 0x9FB21C651E98DF25
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _WORD = re.compile(r"[^\W_]+")
 _SPACED = bytes(c if chr(c).isalnum() and c < 128 else 32 for c in range(256))
-_STOP = "."
-_MARKED = re.compile(r"[^\W_]+|[.!?:\n]")
-_MARKS = bytes(c if chr(c).isalnum() and c < 128 else ord(_STOP) if chr(c) in ".!?:\n" else 32 for c in range(256))
+_TERM = re.compile(r"[^\W_]*\d[^\W_]*(?:[.,]\d+)*|[^\W\d_]+(?:['’/-][^\W\d_]+)*|°\w?|%|\n|[^\w\s]")
+_ENDS = frozenset(".!?:;\n\"“(-–*|>)")
 _SLICE = 1 << 20
+_SEPARATOR = "\t"
 
 
 def _words(text: str) -> list[str]:
@@ -53,48 +64,107 @@ def _words(text: str) -> list[str]:
     return [word.lower() for word in _WORD.findall(text)]
 
 
-def _cased_words(text: str) -> list[str]:
-    """The same runs as they are written, with _STOP wherever a sentence may end and before the first."""
-    if text.isascii():
-        return [_STOP, *text.encode("ascii").translate(_MARKS).replace(b".", b" . ").decode("ascii").split()]
-    return [_STOP, *(word if word[0].isalnum() else _STOP for word in _MARKED.findall(text))]
+class _Reading(NamedTuple):
+    """Texts laid end to end as terms: how many each has, their wording, templates and slots (0 for a literal)."""
 
+    lengths: np.ndarray
+    terms: list[str]
+    template: np.ndarray
+    slots: np.ndarray
 
-class _Lexicon(dict):
-    """word -> index of its codes; forgotten when it grows beyond a bound, so memory is bounded.
 
-    With ``known``, the words of the other side, words come as they are written, and a capitalised
-    one that isn't known is a name: as itself it could meet nothing.
-    """
+class _ByWords:
+    """Every word a term of its own; which words are names is the same for both sides and for any case."""
+
+    salt, literals = np.uint64(0), 0
 
-    def __init__(self, names: frozenset[str], known: frozenset[str] | None = None):
-        super().__init__()
-        self.names, self.known, self.template, self.value, self.capital = names, known, [], [], []
+    def __init__(self, names: frozenset[str]):
+        self.names, self.index, self.template, self.slots = names, {}, [], []
 
-    def __missing__(self, written: str) -> int:
-        word = written.lower() if self.known is not None else written
-        capital = self.known is not None and written[0].isupper()
+    def _learn(self, word: str) -> int:
         value = xxhash.xxh3_64_intdigest(word)
         if any(c.isdigit() for c in word):
             code = int(_NUMBER)
         elif word in UNITS:
             code = int(_UNIT)
-        elif word in self.names or (capital and word not in self.known):
-            code = int(_NAME)
         else:
-            code = value
+            code = int(_NAME) if word in self.names else value
         self.template.append(code)
-        self.value.append(value)
-        self.capital.append(capital and code == value)
-        self[written] = index = len(self.value) - 1
-        return index
+        self.slots.append(0 if code == value else value)
+        self.index[word] = at = len(self.slots) - 1
+        return at
+
+    def read(self, texts: list[str]) -> _Reading:
+        if len(self.index) > 100_000:
+            self.__init__(self.names)
+        parts = [_words(text) for text in texts]
+        flat = [word for part in parts for word in part]
+        known, learn = self.index, self._learn
+        index = np.fromiter((known[w] if w in known else learn(w) for w in flat), np.int64, len(flat))
+        return _Reading(np.array([len(p) for p in parts]), flat, np.array(self.template, np.uint64)[index], np.array(self.slots, np.uint64)[index])
+
+
+class _ByTerms:
+    """Numbers, names and units of any number of words as one term each, decided by the text at hand.
 
-    def bound(self) -> None:
-        if len(self) > 100_000:
-            self.clear()
-            self.template.clear()
-            self.value.clear()
-            self.capital.clear()
+    A run of capitalised words is a name. The first word of a sentence is part of it unless it is
+    known: one that stands in lower case in some item. A word in lower case after a number is a unit.
+    """
+
+    salt, literals = np.uint64(0xA0761D6478BD642F), LITERALS
+
+    def __init__(self, known: frozenset[str]):
+        self.known, self.digests = known, {}
+
+    def _digest(self, wording: str) -> int:
+        found = self.digests.get(wording)
+        if found is None:
+            if len(self.digests) > 200_000:
+                self.digests.clear()
+            found = self.digests[wording] = xxhash.xxh3_64_intdigest(wording)
+        return found
+
+    def _terms(self, text: str) -> Iterator[tuple[np.uint64 | None, str]]:
+        """(placeholder or None, wording in lower case)."""
+        name: list[str] = []
+        initial, counted = True, False
+        for token in _TERM.findall(text):
+            first = token[0]
+            if first.isupper() and not any(map(str.isdigit, token)):
+                word = token.lower()
+                if initial and word in self.known:
+                    yield None, word
+                else:
+                    name.append(word)
+                initial = counted = False
+                continue
+            if name:
+                yield _NAME, " ".join(name)
+                name = []
+            if not first.isalnum() and first not in "°%":
+                initial, counted = initial or token in _ENDS, False
+            elif any(map(str.isdigit, token)) and first not in "°%":
+                yield _NUMBER, token.lower()
+                initial, counted = False, True
+            else:
+                word = token.lower()
+                unit = first in "°%" or word in UNITS or (counted and word not in NO_UNITS)
+                yield (_UNIT if unit else None), word
+                initial = counted = False
+        if name:
+            yield _NAME, " ".join(name)
+
+    def read(self, texts: list[str]) -> _Reading:
+        lengths, wording, template, slots = [], [], [], []
+        for text in texts:
+            before = len(wording)
+            for placeholder, word in self._terms(text):
+                value = self._digest(word)
+                wording.append(word)
+                template.append(value if placeholder is None else placeholder)
+                slots.append(0 if placeholder is None else value)
+            lengths.append(len(wording) - before)
+        return _Reading(np.array(lengths, np.int64), wording, np.array(template, np.uint64), np.array(slots, np.uint64))
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -118,68 +188,52 @@ class _Hasher:
         return (prefix[size:] - prefix[:-size]) * self.down[: n - size]
 
 
-def _scan(
-    ids: list[int], texts: list[str], lexicon: _Lexicon, hasher: _Hasher, size: int, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray]
-) -> Iterator[tuple[int, int, int, int, str]]:
-    """(id, template hash, slot hash, place, words) of the windows that are wanted."""
-    lexicon.bound()
-    inner = None
-    if lexicon.known is None:
-        parts = [_words(text) for text in texts]
-        flat = [word for part in parts for word in part]
-    else:
-        marked = [_cased_words(text) for text in texts]
-        parts = [[word for word in part if word != _STOP] for part in marked]
-        flat = [word for part in parts for word in part]
-        stops = np.fromiter((word == _STOP for part in marked for word in part), bool)
-        inner = ~np.concatenate(([True], stops[:-1]))[~stops]
-    if len(flat) < size:
+_Wanted = Callable[[np.ndarray], np.ndarray]
+
+
+def _scan(ids: list[int], texts: list[str], reader: _ByWords | _ByTerms, hasher: _Hasher, size: int, wanted: _Wanted) -> Iterator[tuple]:
+    """(id, by_terms, template hash, slot hash, place, terms) of the windows that are wanted."""
+    read = reader.read(texts)
+    if len(read.terms) < size:
         return
-    index = np.fromiter(map(lexicon.__getitem__, flat), np.int64, len(flat))
-    template = np.array(lexicon.template, np.uint64)
-    value = np.array(lexicon.value, np.uint64)
-    slots = np.where(template != value, value, np.uint64(0))
-    t, s = hasher.windows(template[index], size), hasher.windows(slots[index], size)
-    readings = [(t, s)]
-    if inner is not None:
-        # words of the items that are capitalised within a sentence may be literal or names: both are tried
-        doubtful = inner & np.array(lexicon.capital, bool)[index]
-        if doubtful.any():
-            as_names = np.where(doubtful, _NAME, template[index])
-            readings.append((hasher.windows(as_names, size), hasher.windows(np.where(doubtful, value[index], slots[index]), size)))
-        flat = [word.lower() for word in flat]
-    lengths = np.array([len(part) for part in parts])
-    ends = np.cumsum(lengths)
-    inside = np.ones(len(flat), bool)
+    template = hasher.windows(read.template, size) ^ reader.salt
+    ends = np.cumsum(read.lengths)
+    inside = np.ones(len(read.terms), bool)
     for back in range(1, size):
         cut = ends - back
-        inside[cut[(cut >= 0)]] = False
-    firsts = ends - lengths
-    for number, (a, b) in enumerate(readings):
-        hits = np.flatnonzero(inside[: len(t)] & wanted(a, b) & ((a != t) | (number == 0)))
-        owner = np.searchsorted(ends, hits, side="right")
-        for at, which in zip(hits.tolist(), owner.tolist()):
-            yield (
-                ids[which], int(a[at].astype(np.int64)), int(b[at].astype(np.int64)), at - int(firsts[which]), " ".join(flat[at : at + size])
-            )
-
-
-_SCHEMA = "id long, template long, slots long, place long, words string"
-_ARROW = pa.schema(
-    [("id", pa.int64()), ("template", pa.int64()), ("slots", pa.int64()), ("place", pa.int64()), ("words", pa.string())]
-)
+        inside[cut[cut >= 0]] = False
+    inside = inside[: len(template)]
+    if reader.literals:
+        literal = np.concatenate(([0], np.cumsum(read.slots == 0)))
+        inside &= literal[size:] - literal[:-size] >= reader.literals
+    hits = np.flatnonzero(inside & wanted(template))
+    if not len(hits):
+        return
+    slots = hasher.windows(read.slots, size)
+    owner = np.searchsorted(ends, hits, side="right")
+    firsts = ends - read.lengths
+    by_terms = reader.literals > 0
+    for at, which in zip(hits.tolist(), owner.tolist()):
+        yield (
+            ids[which], by_terms, int(template[at].astype(np.int64)), int(slots[at].astype(np.int64)), at - int(firsts[which]),
+            _SEPARATOR.join(read.terms[at : at + size]),
+        )
 
 
-def template_windows(
-    texts: DataFrame, names: frozenset[str], size: int, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray], known: frozenset[str] | None = None
-) -> DataFrame:
-    """(id, template, slots, place, words) of the wanted windows of (id, text), in each reading that ``known`` allows."""
+_SCHEMA = "id long, by_terms boolean, template long, slots long, place long, terms string"
+_ARROW = pa.schema([
+    ("id", pa.int64()), ("by_terms", pa.bool_()), ("template", pa.int64()), ("slots", pa.int64()), ("place", pa.int64()), ("terms", pa.string())
+])
+
+
+def template_windows(texts: DataFrame, names: frozenset[str], known: frozenset[str] | None, size: int, wanted: _Wanted) -> DataFrame:
+    """The wanted windows of (id, text), as in _SCHEMA; by terms too unless ``known`` is None."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, hasher = _Lexicon(names, known), _Hasher()
+        hasher, readers = _Hasher(), [_ByWords(names)] + ([] if known is None else [_ByTerms(known)])
         for batch in batches:
             ids, bodies, held = [], [], 0
-            found: list[tuple[int, int, int, int, str]] = []
+            found: list[tuple] = []
             for number, body in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if number is None or not body.is_valid:
                     continue
@@ -187,24 +241,26 @@ def template_windows(
                 bodies.append(body.as_py())
                 held += len(bodies[-1])
                 if held > _SLICE:
-                    found.extend(_scan(ids, bodies, lexicon, hasher, size, wanted))
+                    for reader in readers:
+                        found.extend(_scan(ids, bodies, reader, hasher, size, wanted))
                     ids, bodies, held = [], [], 0
-            found.extend(_scan(ids, bodies, lexicon, hasher, size, wanted))
-            columns = list(zip(*found)) or [[]] * 5
+            for reader in readers:
+                found.extend(_scan(ids, bodies, reader, hasher, size, wanted))
+            columns = list(zip(*found)) or [[]] * len(_ARROW)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW)
 
     return texts.mapInArrow(scan, _SCHEMA)
 
 
-def _everything(t: np.ndarray, s: np.ndarray) -> np.ndarray:
-    return np.ones(len(t), bool)
+def _everything(template: np.ndarray) -> np.ndarray:
+    return np.ones(len(template), bool)
 
 
 def name_words(texts: DataFrame, text: str = "text") -> frozenset[str]:
-    """Words that stand capitalised within sentences, or first in one and nowhere in lower case; the most frequent NAME_WORDS of them.
+    """Words that stand capitalised within sentences, or first in one and nowhere in lower case.
 
-    Which words are names never decides whether a verbatim leak is found, as both sides use the
-    same lexicon without regard to case; it decides which other parameters are recognised.
+    They are the names of the reading by words. Which words are names never decides whether a
+    verbatim leak is found, as both sides use the same ones without regard to case.
     """
     runs = F.regexp_extract_all(text, F.lit(r"(?<=[a-z0-9,;] )(\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*)"), F.lit(1))
     inner = texts.select(F.explode(F.split(F.array_join(runs, " "), " ")).alias("w"), F.lit(1).alias("inner"))
@@ -214,22 +270,55 @@ def name_words(texts: DataFrame, text: str = "text") -> frozenset[str]:
         F.count_if(F.expr(r"inner = 0 AND w RLIKE '^\\p{Ll}'")).alias("lower"),
     )
     found = words.where((F.col("inner") > 0) | ((F.col("capital") > 0) & (F.col("lower") == 0)))
-    return frozenset(r[0] for r in found.orderBy(F.desc("capital"), "w").limit(NAME_WORDS).select("w").collect())
+    return frozenset(found.select("w").toArrow().column(0).to_pylist())
 
 
-def all_words(texts: DataFrame, text: str = "text") -> frozenset[str]:
-    """Every word of the texts in lower case."""
+def lower_words(texts: DataFrame, text: str = "text") -> frozenset[str]:
+    """The words that stand in lower case somewhere in the texts."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = {word for body in batch.column(0).to_pylist() if body is not None for word in _words(body)}
+            found = {token for body in batch.column(0).to_pylist() if body is not None for token in _TERM.findall(body) if token[0].islower()}
             yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["w"])
 
     return frozenset(texts.select(text).mapInArrow(split, "w string").distinct().toArrow().column(0).to_pylist())
 
 
-def _mix(t: np.ndarray, s: np.ndarray) -> np.ndarray:
-    return (t ^ (s * np.uint64(_BASE))) * np.uint64(0xD6E8FEB86659FD93)
+def _place_of(template: np.ndarray, bits: int) -> np.ndarray:
+    return ((template ^ (template >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - bits)
+
+
+def window_map(windows: DataFrame) -> _Wanted:
+    """Whether a template hash may be among those of ``windows``: a bit map of a size by their number.
+
+    Bits are set and joined where the windows are; the driver gets one row per word of the map that is
+    not empty, at most 2**MAP_MOST / 64.
+    """
+    bits = min(max(int(MAP_LOAD * windows.count() + 1).bit_length(), 16), MAP_MOST)
+
+    def to_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = np.unique(_place_of(batch.column(0).to_numpy().view(np.uint64), bits))
+            word, first = np.unique(place >> np.uint64(6), return_index=True)
+            mask = np.bitwise_or.reduceat(np.uint64(1) << (place & np.uint64(63)), first) if len(first) else place
+            yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(mask.view(np.int64))], ["word", "mask"])
+
+    taken = windows.select("template").mapInArrow(to_bits, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    masks = np.zeros(1 << (bits - 6), np.uint64)
+    masks[taken.column(0).to_numpy()] = taken.column(1).to_numpy().view(np.uint64)
+
+    def wanted(template: np.ndarray) -> np.ndarray:
+        place = _place_of(template, bits)
+        return (masks[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) > 0
+
+    return wanted
+
+
+def _consistent(mine: Column, other: Column) -> Column:
+    """Whether terms at equal places map one to one onto each other."""
+    pairs = F.arrays_zip(F.split(mine, _SEPARATOR).alias("a"), F.split(other, _SEPARATOR).alias("b"))
+    distinct = F.size(F.array_distinct(pairs))
+    return (distinct == F.size(F.array_distinct(pairs["a"]))) & (distinct == F.size(F.array_distinct(pairs["b"])))
 
 
 def leaks(
@@ -242,61 +331,40 @@ def leaks(
     size: int = WINDOW,
     verbatim: bool = True,
 ) -> DataFrame:
-    """(doc_id, item_id, windows, verbatim_windows): documents that hold passages of items.
+    """(doc_id, item_id, verbatim_windows, reworded_windows): documents that hold passages of items.
 
-    A pair shares ``windows`` windows of ``size`` consecutive words, compared as maximal runs of
-    letters and digits without regard to case. With ``verbatim`` only equal words count, and every
-    such pair is found; else windows also count whose slots map one to one onto the item's, which
-    catches re-parameterised passages. A replaced name need not occur in any item, but must be
-    capitalised where it stands.
+    ``verbatim_windows`` counts the places of the document where ``size`` consecutive words are the
+    item's, as maximal runs of letters and digits without regard to case; every such pair is found.
+    With ``verbatim`` false, ``reworded_windows`` counts those where ``size`` terms have the item's
+    template, at least LITERALS of them words, and slots that are not all equal but map one to one:
+    passages with other numbers, names or units, of any number of words. A name must be capitalised
+    where it stands and must not begin a sentence with a word that items hold in lower case.
 
-    Rows with a NULL id or text and texts of fewer words hold nothing; repeated rows and windows
+    Rows with a NULL id or text and texts of fewer terms hold nothing; repeated rows and windows
     count once per place; other columns are ignored; an empty side gives an empty result.
 
-    The corpus is read once. Its windows pass a bit map of fixed size made from the items' windows,
-    and what passes is hash-joined on template (and slots); a chance hit of the map joins nothing.
-    The join is by broadcast only if a count bounds the items' windows, else both sides shuffle.
+    The corpus is read once. Its windows pass a bit map made from the items' windows, and what passes
+    is hash-joined on the template and kept or not by its slots; a chance hit of the map joins nothing.
+    The join is by broadcast if a count bounds the items' windows. Else both sides shuffle, documents'
+    windows of a stock phrase being spread by salts. What the driver holds besides the map are the
+    words of the items.
     """
     names = name_words(items, text)
-    known = None if verbatim else all_words(items, text)
-    of_items = materialise(
-        template_windows(items.select(F.col(item_id).cast("long").alias("id"), F.col(text).alias("text")), names, size, _everything),
-        "item-windows",
-    )
-    shift = np.uint64(64 - MAP_BITS)
-
-    def slot_of(t: np.ndarray, s: np.ndarray) -> np.ndarray:
-        return _mix(t, s if verbatim else np.zeros(len(t), np.uint64)) >> shift
-
-    def to_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            t, s = (batch.column(i).to_numpy().view(np.uint64) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(slot_of(t, s)).astype(np.int32), pa.int32())], ["slot"])
-
-    taken = of_items.select("template", "slots").mapInArrow(to_slots, "slot int").distinct().toArrow().column(0).to_numpy()
-    bits = np.zeros(1 << MAP_BITS, bool)
-    bits[taken] = True
-    packed = np.packbits(bits)
-
-    def wanted(t: np.ndarray, s: np.ndarray) -> np.ndarray:
-        slot = slot_of(t, s).astype(np.int64)
-        return (packed[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 > 0
-
-    of_documents = template_windows(
-        documents.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")), names, size, wanted, known
-    ).select(F.col("id").alias("doc_id"), "template", "slots", "place", F.col("words").alias("doc_words"))
-    keys = ["template", "slots"] if verbatim else ["template"]
-    item_side = of_items.select(F.col("id").alias("item_id"), *keys, F.col("words").alias("item_words")).distinct()
-    met = of_documents.join(bounded_broadcast(item_side, BROADCAST_ROWS), keys)
-    equal = F.col("doc_words") == F.col("item_words")
-    if verbatim:
-        met = met.where(equal)
+    known = None if verbatim else lower_words(items, text)
+    rows = lambda df, key: df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    of_items = materialise(template_windows(rows(items, item_id), names, known, size, _everything), "item-windows")
+    of_documents = template_windows(rows(documents, doc_id), names, known, size, window_map(of_items)).withColumnRenamed("id", "doc_id")
+    item_side = of_items.select(F.col("id").alias("item_id"), "template", F.col("slots").alias("item_slots"), F.col("terms").alias("item_terms")).distinct()
+    if fits(item_side, BROADCAST_WINDOWS):
+        met = of_documents.join(F.broadcast(item_side), "template")
     else:
-        pairs = F.arrays_zip(F.split("doc_words", " ").alias("d"), F.split("item_words", " ").alias("i"))
-        one_to_one = (F.size(F.array_distinct(pairs)) == F.size(F.array_distinct(pairs["d"]))) & (
-            F.size(F.array_distinct(pairs)) == F.size(F.array_distinct(pairs["i"]))
-        )
-        met = met.where(equal | one_to_one)
-    return met.groupBy("doc_id", "item_id").agg(
-        F.count_distinct("place").alias("windows"), F.count_distinct(F.when(equal, F.col("place"))).alias("verbatim_windows")
+        salted = of_documents.withColumn("salt", F.pmod(F.xxhash64("doc_id", "place"), F.lit(SALTS)).cast("int"))
+        met = salted.join(item_side.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["template", "salt"])
+    equal = (F.col("slots") == F.col("item_slots")) & (F.col("terms") == F.col("item_terms"))
+    reworded = F.col("by_terms") & (F.col("slots") != F.col("item_slots")) & _consistent(F.col("terms"), F.col("item_terms"))
+    same = ~F.col("by_terms") & equal
+    judged = met.where(same if verbatim else same | reworded)
+    return judged.groupBy("doc_id", "item_id").agg(
+        F.count_distinct(F.when(same, F.col("place"))).alias("verbatim_windows"),
+        F.count_distinct(F.when(F.col("by_terms"), F.col("place"))).alias("reworded_windows"),
     )

@@ -58,7 +58,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_reworded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with items whose numbers, names or units were replaced one for one, and verbatim ones."""
+    """Documents with items whose numbers, names or units were replaced one for one, and verbatim ones, by windows of each kind."""
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), size=WINDOW, verbatim=False)
 
 
