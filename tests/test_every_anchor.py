@@ -1,4 +1,4 @@
-"""Queries over every observed week as an anchor, against brute force and, in June, the queries with SQL."""
+"""Queries over every observed week as an anchor, against brute force."""
 
 from collections import defaultdict
 from datetime import date, timedelta
@@ -11,10 +11,6 @@ from tidegrid.plans import registry
 from tidegrid.plans.base import weekly
 
 QUERIES = registry.queries()
-PAIRS = {
-    "join14_training_windows": "join14_every_anchor", "join15_pooled_range": "join15_every_anchor", "proj25_leakage_check": "proj25_every_anchor",
-    "win14_anchor_persistence": "win14_every_anchor", "model01_transformer": "model01_every_anchor", "model10_naive_clip": "model10_every_anchor",
-}
 
 
 @pytest.fixture(scope="module")
@@ -38,7 +34,7 @@ def rows_of(spark, sf, name):
 
 def test_every_observed_week_is_an_anchor(spark, sf, brute):
     assert {test[5:7] for _, test in brute} == {f"{m:02}" for m in range(1, 13)}
-    windows, checks, last, range_, naive = (rows_of(spark, sf, PAIRS[n]) for n in (
+    windows, checks, last, range_, naive = (rows_of(spark, sf, n) for n in (
         "join14_training_windows", "proj25_leakage_check", "win14_anchor_persistence", "model01_transformer", "model10_naive_clip"))
     for found in (windows, checks, last, range_, naive):
         assert found.keys() == brute.keys()
@@ -62,13 +58,7 @@ def test_pooled_over_every_observed_week(spark, sf):
         past = [v for w, v in rows if w <= anchor]
         if past:
             expected[str(anchor)] = (len(past), sum(v >= 20 for v in past))
-    assert {r["anchor"]: (r["n"], r["spikes"]) for r in QUERIES["join15_every_anchor"](spark, sf).collect()} == expected
-
-
-@pytest.mark.parametrize("june", sorted(PAIRS))
-def test_june_is_part_of_it(spark, sf, june):
-    part, whole = ({tuple(r) for r in QUERIES[n](spark, sf).collect()} for n in (june, PAIRS[june]))
-    assert part and part < whole
+    assert {r["anchor"]: (r["n"], r["spikes"]) for r in QUERIES["join15_pooled_range"](spark, sf).collect()} == expected
 
 
 def test_a_leak_outside_june_is_reported(spark):

@@ -17,7 +17,7 @@ from tidegrid.operators import spectral as S
 from tidegrid.operators.windows import decay_fill, forward_fill, observation_lags, persistence, rolling_past
 from tidegrid.plans import backtest
 from tidegrid.plans.base import KEY, RAW, RESULTS, SERIES, WEEKLY, Catalogue, cell_counts, iso, q6, r6, raw, results, series, weekly
-from tidegrid.plans.relational import _ANCHORS, _at_every_week, _training
+from tidegrid.plans.relational import _ANCHORS, _at_every_week
 from tidegrid.runtime import table
 from tidegrid.streaming.pipelines import alert_stream, persistence_stream, run_once, weekly_max_stream
 
@@ -95,13 +95,6 @@ def win13_previous_observation(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {WEEKLY}, {_ANCHORS} SELECT site, test_date::VARCHAR AS test_date, arg_max(da_raw, week) AS last_observed,
 {q6('coalesce((max(test_date) - max(CASE WHEN da_raw > 20 THEN week END)) / 7.0, 999.0)')} AS weeks_since_spike FROM sized WHERE n >= 10 GROUP BY 1, 2""")
 def win14_anchor_persistence(spark: SparkSession, d: str) -> DataFrame:
-    at = E.anchor_persistence(_training(spark, d), ["site", "test_date"])
-    return at.select("site", iso("test_date").alias("test_date"), "last_observed", r6("weeks_since_spike"))
-
-
-@query()
-def win14_every_anchor(spark: SparkSession, d: str) -> DataFrame:
-    """win14 with every observed week as an anchor."""
     return _at_every_week(spark, d).select("site", iso("test_date").alias("test_date"), "last_observed", r6("weeks_since_spike"))
 
 
@@ -273,26 +266,11 @@ RUN = EngineConfig(boost_rounds=40, boost_depth=3, boost_rate=0.1, forest_trees=
 
 @query(f"WITH {WEEKLY}, {_ANCHORS} SELECT site, test_date::VARCHAR AS test_date, {q6('median(da_raw)')} AS med, min(da_raw) AS lo, max(da_raw) AS hi FROM sized WHERE n >= 10 GROUP BY 1, 2")
 def model01_transformer(spark: SparkSession, d: str) -> DataFrame:
-    fitted = _training(spark, d).groupBy("site", iso("test_date").alias("test_date"))
-    return fitted.agg(r6(F.median("da_raw"), "med"), F.min("da_raw").alias("lo"), F.max("da_raw").alias("hi"))
-
-
-@query()
-def model01_every_anchor(spark: SparkSession, d: str) -> DataFrame:
-    """model01 with every observed week as an anchor."""
     return _at_every_week(spark, d).select("site", iso("test_date").alias("test_date"), r6("med"), "lo", "hi")
 
 
 @query(f"WITH {WEEKLY}, {_ANCHORS}, b AS (SELECT site, test_date, quantile_cont(da_raw, 0.99) AS q, arg_max(da_raw, week) AS v FROM sized WHERE n >= 10 GROUP BY 1, 2) SELECT site, test_date::VARCHAR AS test_date, {q6('least(greatest(v, 0), q)')} AS naive, CASE WHEN least(v, q) <= 5 THEN 0 WHEN least(v, q) <= 20 THEN 1 WHEN least(v, q) <= 40 THEN 2 ELSE 3 END AS category FROM b")
 def model10_naive_clip(spark: SparkSession, d: str) -> DataFrame:
-    found = _training(spark, d).groupBy("site", "test_date").agg(F.percentile("da_raw", 0.99).alias("q"), F.max_by("da_raw", "week").alias("v"))
-    p = C.clipped(F.col("v"), F.col("q"))
-    return found.select("site", iso("test_date").alias("test_date"), r6(p, "naive"), C.category_right_closed(p).alias("category"))
-
-
-@query()
-def model10_every_anchor(spark: SparkSession, d: str) -> DataFrame:
-    """model10 with every observed week as an anchor."""
     p = C.clipped(F.col("last_observed"), F.col("q99"))
     return _at_every_week(spark, d).select("site", iso("test_date").alias("test_date"), r6(p, "naive"), C.category_right_closed(p).alias("category"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidegrid.functions import classes as C
 from tidegrid.functions.scalars import monday, reading_value, site_key
 from tidegrid.operators import aggregates as A
-from tidegrid.operators.joins import asof_join, delayed_month_join, leakage_report, training_rows, training_windows
+from tidegrid.operators.joins import asof_join, delayed_month_join, leakage_report, training_rows
 from tidegrid.operators.series import lattice, month_shift, weekly_max
 from tidegrid.operators.windows import expanding_history, hashed_sample, history_counts
 from tidegrid.plans.base import KEY, PN, RAW, RESULTS, SERIES, WEEKLY, Catalogue, cell_counts, iso, q6, r6, raw, results, series, weekly
@@ -332,31 +332,18 @@ def join13_history_count(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ANCHORS = """anchors AS (
-  SELECT site, week AS test_date, CAST(week - 7 AS DATE) AS anchor FROM weekly WHERE month(week) = 6
+  SELECT site, week AS test_date, CAST(week - 7 AS DATE) AS anchor FROM weekly
 ), train AS (SELECT a.site, a.test_date, a.anchor, w.week, w.da_raw FROM anchors a JOIN weekly w ON a.site = w.site AND w.week <= a.anchor),
 sized AS (SELECT *, count(*) OVER (PARTITION BY site, test_date) AS n FROM train)"""
 
 
-def _training(spark: SparkSession, d: str) -> DataFrame:
-    rows = weekly(spark, d)
-    anchors = rows.where(F.month("week") == 6).select("site", F.col("week").alias("test_date"), F.date_sub("week", 7).alias("anchor"))
-    return training_windows(anchors, rows)
-
-
 def _at_every_week(spark: SparkSession, d: str) -> DataFrame:
+    """Every observed week as a test date, with what its training window holds."""
     return expanding_history(weekly(spark, d))
 
 
 @query(f"WITH {WEEKLY}, {_ANCHORS} SELECT site, strftime(test_date, '%Y-%m-%d') AS test_date, count(*) AS n, {q6('avg(da_raw)')} AS mean, {q6('quantile_cont(da_raw, 0.99)')} AS q99, {q6('median(da_raw)')} AS med FROM sized WHERE n >= 10 GROUP BY 1, 2")
 def join14_training_windows(spark: SparkSession, d: str) -> DataFrame:
-    return _training(spark, d).groupBy("site", iso("test_date").alias("test_date")).agg(
-        F.count("*").alias("n"), r6(F.avg("da_raw"), "mean"), r6(F.percentile("da_raw", 0.99), "q99"), r6(F.median("da_raw"), "med")
-    )
-
-
-@query()
-def join14_every_anchor(spark: SparkSession, d: str) -> DataFrame:
-    """join14 with every observed week as an anchor, not June's alone."""
     return _at_every_week(spark, d).select("site", iso("test_date").alias("test_date"), "n", *[r6(c) for c in ("mean", "q99", "med")])
 
 
@@ -364,31 +351,14 @@ def join14_every_anchor(spark: SparkSession, d: str) -> DataFrame:
 SELECT strftime(anchor, '%Y-%m-%d') AS anchor, CAST(sum(n) AS BIGINT) AS n, CAST(sum(s) AS BIGINT) AS spikes FROM dates JOIN totals ON week <= anchor GROUP BY 1""")
 def join15_pooled_range(spark: SparkSession, d: str) -> DataFrame:
     rows = weekly(spark, d)
-    return _pooled(rows, rows.where(F.month("week") == 6))
-
-
-@query()
-def join15_every_anchor(spark: SparkSession, d: str) -> DataFrame:
-    """join15 with every observed week as an anchor."""
-    rows = weekly(spark, d)
-    return _pooled(rows, rows)
-
-
-def _pooled(rows: DataFrame, tested: DataFrame) -> DataFrame:
-    dates = tested.select(F.date_sub("week", 7).alias("anchor")).distinct()
+    dates = rows.select(F.date_sub("week", 7).alias("anchor")).distinct()
     totals = rows.groupBy("week").agg(F.count("*").alias("n"), F.sum((F.col("da_raw") >= 20).cast("int")).alias("s"))
     return A.running_totals_at(dates, "anchor", totals, "week", ["n", "s"]).select(iso("anchor").alias("anchor"), "n", F.col("s").alias("spikes"))
 
 
 @query(f"WITH {WEEKLY}, {_ANCHORS} SELECT site, strftime(test_date, '%Y-%m-%d') AS test_date, strftime(max(week), '%Y-%m-%d') AS last_train, max(week) <= max(anchor) AND max(test_date) > max(anchor) AS clean FROM sized WHERE n >= 10 GROUP BY 1, 2")
 def proj25_leakage_check(spark: SparkSession, d: str) -> DataFrame:
-    checked = leakage_report(_training(spark, d), keys=["site", "test_date"])
-    return checked.select("site", iso("test_date").alias("test_date"), iso("last_train").alias("last_train"), "clean")
-
-
-@query()
-def proj25_every_anchor(spark: SparkSession, d: str) -> DataFrame:
-    """proj25 with every observed week as an anchor; the check sees the joined rows, summed up before any shuffle."""
+    """The check sees the joined rows, summed up before any shuffle."""
     rows = weekly(spark, d)
     anchors = rows.select("site", F.col("week").alias("test_date"), F.date_sub("week", 7).alias("anchor"))
     checked = leakage_report(training_rows(anchors, rows), keys=["site", "test_date"], min_rows=10)
