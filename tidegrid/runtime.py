@@ -73,6 +73,22 @@ def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def possibly_in(df: DataFrame, column: str, keys: DataFrame, n: int) -> DataFrame:
+    """The rows of ``df`` whose long ``column`` may be among ``keys``, a column of ``n`` longs: all that are, few others.
+
+    The keys become a bit map of eight bits each, at most 2**26, that is broadcast as words of 64 bits;
+    ``df`` isn't shuffled, so that a shuffle that follows carries what the map lets through.
+    """
+    bits = min(max((8 * n).bit_length(), 16), 26)
+    place = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - bits)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_place").bitwiseAND(F.lit(63)).cast("int"))
+    word = F.shiftright("_place", 6).alias("_word")
+    words = keys.toDF(column).select(place(F.col(column)).alias("_place")).groupBy(word).agg(F.bit_or(bit).alias("_mask"))
+    marked = df.withColumn("_place", place(F.col(column))).withColumn("_word", word)
+    met = marked.join(F.broadcast(words), "_word").where(F.col("_mask").bitwiseAND(bit) != 0)
+    return met.drop("_place", "_word", "_mask")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
