@@ -10,11 +10,11 @@ from datetime import datetime, timedelta
 import numpy as np
 import pytest
 
-from tidegrid.llm import leakage
+from tidegrid.llm import leakage, packing, spans
 from tidegrid.llm.leakage import leaks
 from tidegrid.llm.nearest_time import nearest_in_time
 from tidegrid.llm.packing import count_tokens, default_vocabulary, pack_histogram, pack_texts
-from tidegrid.llm.spans import shared_lengths, shared_pairs
+from tidegrid.llm.spans import shared_groups, shared_lengths, shared_pairs
 
 DOCS = "doc_id long, text string, digest string, whole string"
 
@@ -76,8 +76,10 @@ def test_histogram_packs_everything():
         pack_histogram({11: 1}, 10)
 
 
+@pytest.mark.parametrize("rank_rows", [500_000, 7])
 @pytest.mark.skipif(not os.path.exists(default_vocabulary()), reason="no vocabulary file")
-def test_packing_round_trip(spark):
+def test_packing_round_trip(spark, rank_rows, monkeypatch):
+    monkeypatch.setattr(packing, "RANK_ROWS", rank_rows)
     rng = random.Random(4)
     texts = [None, "", "ok", " "] + ["ok"] * 50 + [" ".join(rng.choice(["razor", "clam", "tide", "1.5"]) for _ in range(rng.randrange(1, 90))) for _ in range(150)] + ["word " * 1000]
     df = documents(spark, texts)
@@ -244,6 +246,22 @@ def test_shared_pairs(spark, seed):
     assert set(got) == expected
 
 
+def test_groups_hold_the_pairs(spark):
+    texts = corpus(5)
+    expected, _ = brute_pairs(texts, 300)
+    members = defaultdict(list)
+    for r in shared_groups(documents(spark, texts)).collect():
+        members[r["group_id"]].append((r["doc_id"], r["members"]))
+    assert all(len({d for d, _ in held}) == len(held) == n for held in members.values() for _, n in held)
+    assert {(a, b) for held in members.values() for a, _ in held for b, _ in held if a < b} == expected
+
+
+def test_more_candidates_than_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(spans, "LISTED", 3)
+    texts = corpus(6)
+    assert {tuple(r) for r in shared_pairs(documents(spark, texts)).collect()} == brute_pairs(texts, 300)[0]
+
+
 def test_shared_lengths(spark):
     texts = corpus(4)
     _, owners = brute_pairs(texts, 300)

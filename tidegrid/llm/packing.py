@@ -16,8 +16,8 @@ from tidegrid.runtime import materialise
 #: Fixed value: the pre-tokenising pattern that belongs to the public 50k byte-level vocabulary.
 BYTE_BPE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Each length is ranked in so many independent parts, so that a frequent length is no hot key.
-RANK_PARTS = 32
+#: Pieces of a length are ranked in independent parts of about so many rows, so that no length is a hot key.
+RANK_ROWS = 500_000
 
 
 def default_vocabulary() -> str:
@@ -137,9 +137,10 @@ def pack_texts(
     one row with 0 tokens and a NULL container. Repeated ids are packed as often as they come;
     further columns are ignored; an empty table gives an empty result.
 
-    Texts are read once, for their lengths. What reaches the driver is the histogram, at most
-    capacity x RANK_PARTS counts, and what goes back is the table of packing slots, whose size
-    depends on the capacity alone. Pieces find their container by rank among those of their length.
+    Texts are read once, for their lengths. What reaches the driver is the histogram of at most
+    ``capacity`` lengths and, for lengths of more than RANK_ROWS pieces, a count per RANK_ROWS of them.
+    What goes back is those counts and the table of packing slots, whose size depends on the capacity
+    alone. Pieces find their container by rank among those of their length.
     """
     lengths = materialise(count_tokens(texts, doc_id=doc_id, text=text, vocabulary=vocabulary, pattern=pattern), "lengths")
     starts = F.when(F.col("n_tokens") > 0, F.sequence(F.lit(0).cast("long"), F.col("n_tokens") - 1, F.lit(capacity).cast("long")))
@@ -148,26 +149,37 @@ def pack_texts(
     ).select(
         "doc_id", F.coalesce("piece", F.lit(0)).alias("piece"), F.coalesce("token_start", F.lit(0)).alias("token_start"),
         F.least(F.col("whole") - F.coalesce("token_start", F.lit(0)), F.lit(capacity)).alias("n_tokens"),
-    ).withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_PARTS)).cast("int"))
-
-    counts = pieces.where("n_tokens > 0").groupBy("n_tokens", "part").agg(F.count("*").alias("n")).toArrow()
-    by_length: dict[int, int] = {}
-    before = np.zeros((capacity + 1, RANK_PARTS), np.int64)
+    )
+    sized = pieces.where("n_tokens > 0").groupBy("n_tokens").agg(F.count("*").alias("n")).toArrow()
+    by_length = dict(zip(sized.column(0).to_pylist(), sized.column(1).to_pylist()))
+    parts = np.ones(capacity + 1, np.int64)
+    for length, n in by_length.items():
+        parts[length] = -(-n // RANK_ROWS)
+    split = [(int(length), int(parts[length])) for length in np.flatnonzero(parts > 1)]
+    spread = texts.sparkSession.createDataFrame(split, "n_tokens long, parts int")
+    pieces = pieces.join(F.broadcast(spread), "n_tokens", "left").select(
+        "doc_id", "piece", "token_start", "n_tokens", F.coalesce(F.pmod(F.xxhash64("doc_id", "piece"), "parts"), F.lit(0)).cast("int").alias("part"), "parts",
+    )
+    # rank of the first piece of each part among those of its length, parts laid end to end
+    first_part = np.cumsum(parts) - parts
+    before = np.zeros(int(parts.sum()), np.int64)
+    counts = pieces.where("parts IS NOT NULL").groupBy("n_tokens", "part").agg(F.count("*").alias("n")).toArrow()
     for length, part, n in zip(*(counts.column(i).to_pylist() for i in range(3))):
-        by_length[length] = by_length.get(length, 0) + n
-        before[length, part] = n
-    before = np.cumsum(before, axis=1) - before
+        before[first_part[length] + part] = n
+    for length, _ in split:
+        own = slice(first_part[length], first_part[length] + parts[length])
+        before[own] = np.cumsum(before[own]) - before[own]
     slots = lay_out(pack_histogram(by_length, capacity))
     for length, rank in slots.first_rank.items():
-        before[length] += rank
+        before[first_part[length] : first_part[length] + parts[length]] += rank
 
     in_part = Window.partitionBy("n_tokens", "part").orderBy("doc_id", "piece")
-    ranked = pieces.withColumn("rank", F.row_number().over(in_part) - 1)
+    ranked = pieces.drop("parts").withColumn("rank", F.row_number().over(in_part) - 1)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length, part, rank = (batch.column(i).to_numpy() for i in (3, 4, 5))
-            number = before[length, part] + rank
+            number = before[first_part[length] + part] + rank
             slot = np.maximum(np.searchsorted(slots.start, number, side="right") - 1, 0)
             nothing = length == 0
             if len(slots.start):

@@ -9,7 +9,7 @@ from tidegrid.functions.scalars import count_value, settled, site_key
 from tidegrid.llm.leakage import leaks
 from tidegrid.llm.nearest_time import nearest_in_time
 from tidegrid.llm.packing import pack_texts
-from tidegrid.llm.spans import shared_lengths, shared_pairs
+from tidegrid.llm.spans import shared_groups, shared_lengths, shared_pairs
 from tidegrid.plans.problems import usable_samples
 from tidegrid.runtime import table
 
@@ -66,9 +66,14 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_pairs(table(spark, sf_dir, "documents"), span=SPAN)
 
 
+def p8_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups of documents that p8_found gives the pairs of."""
+    return shared_groups(table(spark, sf_dir, "documents"), span=SPAN)
+
+
 def p8_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = shared_lengths(table(spark, sf_dir, "documents"), span=SPAN)
     return found.withColumn("shared_share", settled(F.col("shared_share")))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_paired, p6_pack, p6_containers, p7_found, p7_reworded, p8_found, p8_shared)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_paired, p6_pack, p6_containers, p7_found, p7_reworded, p8_found, p8_groups, p8_shared)}

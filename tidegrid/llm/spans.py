@@ -17,13 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.runtime import bounded_broadcast, materialise
+from tidegrid.runtime import bounded_broadcast, materialise, possibly_in
 
 GEAR = 32
 MIN_CHUNK = 128
 TAIL = 32
 
 #: The texts that share chunks are broadcast with those chunks if there are at most so many in all.
+#: More are met by a shuffle of the texts that a bit map of their ids lets through.
 LISTED = 2_000_000
 
 _BASES = (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93)
@@ -228,28 +229,58 @@ class SharedSpans:
         )
 
     def windows(self, places: bool) -> DataFrame:
-        joined = self.texts.join(bounded_broadcast(self.candidates, LISTED, F.size("shared")), "doc_id")
-        return _windows(joined.select("doc_id", "text", "shared"), self.span, places)
+        """The windows whose chunk recurs, written, as they are used more than once.
+
+        Texts aren't shuffled where the candidates are few enough to be broadcast. Where they are more,
+        a bit map of their ids keeps the other texts out of the shuffle.
+        """
+        sums = self.candidates.agg(F.count("*"), F.coalesce(F.sum(F.size("shared")), F.lit(0))).first()
+        if sum(sums) <= LISTED:
+            joined = self.texts.join(F.broadcast(self.candidates), "doc_id")
+        else:
+            joined = possibly_in(self.texts, "doc_id", self.candidates.select("doc_id"), sums[0]).join(self.candidates, "doc_id")
+        return materialise(_windows(joined.select("doc_id", "text", "shared"), self.span, places), "windows")
+
+    def holders(self) -> DataFrame:
+        """(h1, h2, doc_id): sets of texts that share a stretch, each under one window that all of it hold.
+
+        For each window the texts that hold it are counted and fingerprinted by commutative aggregates,
+        summed up before the shuffle, and one window stands for all with the same texts. So a long shared
+        stretch counts once and no group of texts is ever collected.
+        """
+        windows = self.windows(False)
+        sets = windows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("members")).where("n > 1")
+        chosen = materialise(sets.groupBy("n", "members").agg(F.min(F.struct("h1", "h2")).alias("h")).select("h.h1", "h.h2"), "chosen")
+        return materialise(windows.join(bounded_broadcast(chosen), ["h1", "h2"]).select("h1", "h2", "doc_id"), "holders")
+
+
+def shared_groups(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", span: int = 300) -> DataFrame:
+    """(group_id, doc_id, members): groups of texts that all hold one stretch of ``span`` characters, a row per member.
+
+    Two texts share such a stretch exactly if they are in one group together; a text may be in several.
+    The rows are as many as memberships, so a stretch in a million texts is a million rows and not their
+    pairs. Exact copies are members like any other. As for the rest, see :func:`shared_pairs`.
+    """
+    found = SharedSpans(documents, doc_id=doc_id, text=text, span=span)
+    through = found.holders().join(found.copies.withColumnRenamed("doc_id", "copy"), F.col("doc_id") == F.col("class_id"), "left")
+    shared = through.select(F.xxhash64("h1", "h2").alias("group_id"), F.coalesce("copy", "doc_id").alias("doc_id"))
+    rows = shared.unionByName(found.copies.select(F.xxhash64("class_id").alias("group_id"), "doc_id"))
+    sizes = rows.groupBy("group_id").agg(F.count("*").alias("members"))
+    return rows.join(bounded_broadcast(sizes), "group_id").select("group_id", "doc_id", "members")
 
 
 def shared_pairs(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", span: int = 300) -> DataFrame:
     """(doc_id_a, doc_id_b), the smaller id first: texts with ``span`` equal consecutive characters.
 
-    Characters are code points, exactly as written. Rows with a NULL id or text and texts shorter
-    than ``span`` have no partner; ids are taken as unique; other columns are ignored; an empty
-    table gives an empty result.
+    Characters are code points, exactly as written, compared by digests of 96 bits. Rows with a NULL id
+    or text and texts shorter than ``span`` have no partner; ids are taken as unique; other columns are
+    ignored; an empty table gives an empty result.
 
-    Exact copies take part once, through their smallest id, and come back at the end. For each
-    recurring window the texts that hold it are counted and fingerprinted by commutative
-    aggregates, and one window stands for all with the same texts, so a long shared stretch yields
-    its pairs once and no group of texts is ever collected; the join's size is that of the result.
+    Pairs are those within the sets of :meth:`SharedSpans.holders`. Exact copies take part once, through
+    their smallest id, and come back at the end; the joins' size is that of the result.
     """
     found = SharedSpans(documents, doc_id=doc_id, text=text, span=span)
-    # computed for each of its two uses: the candidates are few, and a written copy would be as large as the shuffle
-    windows = found.windows(False).repartition("h1")
-    sets = windows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("members")).where("n > 1")
-    chosen = sets.groupBy("n", "members").agg(F.min(F.struct("h1", "h2")).alias("h")).select("h.h1", "h.h2")
-    holders = materialise(windows.join(chosen, ["h1", "h2"]).select("h1", "h2", "doc_id"), "holders")
+    holders = found.holders()
     a, b = (holders.select("h1", "h2", F.col("doc_id").alias(x)) for x in ("a", "b"))
     pairs = a.join(b, ["h1", "h2"]).where("a < b").select("a", "b").distinct()
     side = lambda x: found.copies.select(F.col("class_id").alias(x), F.col("doc_id").alias(f"{x}_copy"))
@@ -271,7 +302,7 @@ def shared_lengths(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     that length, else the text's own. Every row with an id comes out; a NULL text has 0 characters.
     """
     found = SharedSpans(documents, doc_id=doc_id, text=text, span=span)
-    windows = materialise(found.windows(True), "windows")
+    windows = found.windows(True)
     held = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least <> most")
     covered = windows.join(held.select("h1", "h2"), ["h1", "h2"]).select("doc_id", "place")
     following = F.lead("place").over(Window.partitionBy("doc_id").orderBy("place"))
