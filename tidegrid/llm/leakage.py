@@ -53,6 +53,7 @@ _WORD = re.compile(r"[^\W_]+")
 _SPACED = bytes(c if chr(c).isalnum() and c < 128 else 32 for c in range(256))
 _TERM = re.compile(r"[^\W_]*\d[^\W_]*(?:[.,]\d+)*|[^\W\d_]+(?:['’/-][^\W\d_]+)*|°\w?|%|\n|[^\w\s]")
 _ENDS = frozenset(".!?:;\n\"“(-–*|>)")
+_MARK, _END, _COUNT, _CAPITAL, _KNOWN_CAPITAL, _ALWAYS_UNIT, _PERHAPS_UNIT, _PLAIN = range(8)
 _SLICE = 1 << 20
 _SEPARATOR = "\t"
 
@@ -73,17 +74,21 @@ class _Reading(NamedTuple):
     slots: np.ndarray
 
 
-class _ByWords:
-    """Every word a term of its own; which words are names is the same for both sides and for any case."""
+class _ByWords(dict):
+    """Every word a term of its own; which words are names is the same for both sides and for any case.
+
+    As a dict, word -> number of its codes, forgotten when there are too many.
+    """
 
     salt, literals = np.uint64(0), 0
 
     def __init__(self, names: frozenset[str]):
-        self.names, self.index, self.template, self.slots = names, {}, [], []
+        super().__init__()
+        self.names, self.template, self.slots = names, [], []
 
-    def _learn(self, word: str) -> int:
+    def __missing__(self, word: str) -> int:
         value = xxhash.xxh3_64_intdigest(word)
-        if any(c.isdigit() for c in word):
+        if any(map(str.isdigit, word)):
             code = int(_NUMBER)
         elif word in UNITS:
             code = int(_UNIT)
@@ -91,16 +96,16 @@ class _ByWords:
             code = int(_NAME) if word in self.names else value
         self.template.append(code)
         self.slots.append(0 if code == value else value)
-        self.index[word] = at = len(self.slots) - 1
+        self[word] = at = len(self.slots) - 1
         return at
 
     def read(self, texts: list[str]) -> _Reading:
-        if len(self.index) > 100_000:
-            self.__init__(self.names)
+        if len(self) > 100_000:
+            self.clear()
+            self.template, self.slots = [], []
         parts = [_words(text) for text in texts]
         flat = [word for part in parts for word in part]
-        known, learn = self.index, self._learn
-        index = np.fromiter((known[w] if w in known else learn(w) for w in flat), np.int64, len(flat))
+        index = np.fromiter(map(self.__getitem__, flat), np.int64, len(flat))
         return _Reading(np.array([len(p) for p in parts]), flat, np.array(self.template, np.uint64)[index], np.array(self.slots, np.uint64)[index])
 
 
@@ -114,55 +119,68 @@ class _ByTerms:
     salt, literals = np.uint64(0xA0761D6478BD642F), LITERALS
 
     def __init__(self, known: frozenset[str]):
-        self.known, self.digests = known, {}
+        self.known, self.tokens, self.names = known, {}, {}
+
+    def _learn(self, token: str) -> tuple[int, str, int]:
+        """(kind, wording, digest) of a token, kept until there are too many."""
+        if len(self.tokens) > 200_000:
+            self.tokens.clear()
+        word, first = token.lower(), token[0]
+        symbol = first in "°%"
+        if not first.isalnum() and not symbol:
+            kind = _END if token in _ENDS else _MARK
+        elif any(map(str.isdigit, token)) and not symbol:
+            kind = _COUNT
+        elif first.isupper():
+            kind = _KNOWN_CAPITAL if word in self.known else _CAPITAL
+        else:
+            kind = _ALWAYS_UNIT if symbol or word in UNITS else _PLAIN if word in NO_UNITS else _PERHAPS_UNIT
+        self.tokens[token] = found = kind, word, xxhash.xxh3_64_intdigest(word)
+        return found
 
-    def _digest(self, wording: str) -> int:
-        found = self.digests.get(wording)
+    def _name(self, words: list[str]) -> tuple[str, int]:
+        if len(self.names) > 200_000:
+            self.names.clear()
+        wording = " ".join(words)
+        found = self.names.get(wording)
         if found is None:
-            if len(self.digests) > 200_000:
-                self.digests.clear()
-            found = self.digests[wording] = xxhash.xxh3_64_intdigest(wording)
+            found = self.names[wording] = wording, xxhash.xxh3_64_intdigest(wording)
         return found
 
-    def _terms(self, text: str) -> Iterator[tuple[np.uint64 | None, str]]:
-        """(placeholder or None, wording in lower case)."""
-        name: list[str] = []
-        initial, counted = True, False
-        for token in _TERM.findall(text):
-            first = token[0]
-            if first.isupper() and not any(map(str.isdigit, token)):
-                word = token.lower()
-                if initial and word in self.known:
-                    yield None, word
-                else:
-                    name.append(word)
-                initial = counted = False
-                continue
-            if name:
-                yield _NAME, " ".join(name)
-                name = []
-            if not first.isalnum() and first not in "°%":
-                initial, counted = initial or token in _ENDS, False
-            elif any(map(str.isdigit, token)) and first not in "°%":
-                yield _NUMBER, token.lower()
-                initial, counted = False, True
-            else:
-                word = token.lower()
-                unit = first in "°%" or word in UNITS or (counted and word not in NO_UNITS)
-                yield (_UNIT if unit else None), word
-                initial = counted = False
-        if name:
-            yield _NAME, " ".join(name)
-
     def read(self, texts: list[str]) -> _Reading:
         lengths, wording, template, slots = [], [], [], []
+        tokens, learn = self.tokens, self._learn
+        say, shape, fill = wording.append, template.append, slots.append
+        number, name_code, unit = int(_NUMBER), int(_NAME), int(_UNIT)
         for text in texts:
-            before = len(wording)
-            for placeholder, word in self._terms(text):
-                value = self._digest(word)
-                wording.append(word)
-                template.append(value if placeholder is None else placeholder)
-                slots.append(0 if placeholder is None else value)
+            before, name, initial, counted = len(wording), [], True, False
+            for token in _TERM.findall(text):
+                kind, word, value = tokens.get(token) or learn(token)
+                if kind == _CAPITAL or (kind == _KNOWN_CAPITAL and not initial):
+                    name.append(word)
+                    initial = counted = False
+                    continue
+                if name:
+                    run, digest = self._name(name)
+                    say(run), shape(name_code), fill(digest)
+                    name = []
+                if kind == _MARK:
+                    counted = False
+                    continue
+                if kind == _END:
+                    initial, counted = True, False
+                    continue
+                say(word)
+                if kind == _COUNT:
+                    shape(number), fill(value)
+                elif kind == _ALWAYS_UNIT or (kind == _PERHAPS_UNIT and counted):
+                    shape(unit), fill(value)
+                else:
+                    shape(value), fill(0)
+                initial, counted = False, kind == _COUNT
+            if name:
+                run, digest = self._name(name)
+                say(run), shape(name_code), fill(digest)
             lengths.append(len(wording) - before)
         return _Reading(np.array(lengths, np.int64), wording, np.array(template, np.uint64), np.array(slots, np.uint64))
 
