@@ -1,5 +1,6 @@
 """Learners, spectra, metrics and the backtest against direct computation."""
 
+import json
 from datetime import date, timedelta
 
 import numpy as np
@@ -7,14 +8,22 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidegrid.config import EngineConfig
+from tidegrid.config import GRID, SITES, BoostSettings, EngineConfig, ForestSettings
 from tidegrid.functions import classes as C
-from tidegrid.operators import experiments, metrics, spectral
-from tidegrid.operators.trees import Boosted, Forest, Ridge, Scaler, Softmax, TreeSettings
+from tidegrid.operators import experiments, metrics, spectral, trees
+from tidegrid.operators.trees import Boosted, BoostedClasses, Forest, Ridge, Scaler, Softmax, TreeSettings
 from tidegrid.plans import backtest
 
 RNG = np.random.default_rng(0)
-SMALL = EngineConfig(boost_rounds=10, boost_depth=3, forest_trees=5, forest_depth=4, bootstrap_rounds=5, test_fraction=0.1)
+
+def small(rounds=10, trees=5, **changes):
+    """A configuration of small learners, at single sites too."""
+    fewer = BoostSettings(rounds=rounds, depth=3)
+    base = EngineConfig(boosted=fewer, forest=ForestSettings(trees=trees, depth=4), spikes=fewer, classes=fewer, bootstrap_rounds=5, test_fraction=0.1)
+    return base.at_sites(boosted=None, forest=None).but(**changes)
+
+
+SMALL = small()
 
 
 def test_ridge_is_the_closed_form():
@@ -38,6 +47,40 @@ def test_trees_learn_and_respect_direction():
     assert (np.diff(rising.predict(line)) >= -1e-12).all()
 
 
+def test_a_forest_at_a_point_is_the_forest():
+    x = RNG.random((300, 5))
+    x[::9, 2] = np.nan
+    y = np.where(x[:, 0] > 0.5, 10.0, 0.0) + 3 * x[:, 1] + RNG.normal(0, 1, 300)
+    for settings in (TreeSettings(depth=12, l2=0.0, min_weight=3, min_split=5, columns=0.6), TreeSettings(depth=3, l2=0.0, min_weight=1)):
+        forest = Forest(90, settings, seed=7)
+        whole = forest.fit(x, y)
+        assert all(abs(whole.predict(x[i : i + 1])[0] - forest.predict_at(x, y, x[i])) < 1e-9 for i in range(0, 300, 37))
+
+
+def test_rows_without_weight_and_blocks_change_nothing(monkeypatch):
+    x = RNG.random((400, 4))
+    bins = trees.Binner.fit(x)(x)
+    g, h = RNG.normal(0, 1, 400), (RNG.random(400) < 0.8).astype(float)
+    settings = TreeSettings(depth=5, columns=0.7, tree_columns=0.9)
+    whole, at = trees.grow(bins, g * h, h, settings, 3, 1)
+    assert (whole.leaves(bins) == at).all()
+    part, _ = trees.grow(bins[h > 0], g[h > 0], h[h > 0], settings, 3, 1)
+    monkeypatch.setattr(trees, "BLOCK_ROWS", 17)
+    blocks, _ = trees.grow(bins, g * h, h, settings, 3, 1)
+    for other in (part, blocks):
+        assert (other.feature == whole.feature).all() and (other.cut == whole.cut).all() and np.allclose(other.value, whole.value)
+
+
+def test_quantiles_and_classes():
+    x = RNG.random((600, 3))
+    y = 10 * x[:, 0] + RNG.normal(0, 1 + x[:, 0], 600)
+    below = [(y < Boosted(80, 0.1, settings=TreeSettings(depth=3), quantile=q).fit(x, y).predict(x)).mean() for q in (0.05, 0.5, 0.95)]
+    assert np.allclose(below, [0.05, 0.5, 0.95], atol=0.06)
+    classes = np.where(x[:, 0] > 0.7, 3, np.where(x[:, 0] > 0.3, 1, 0))
+    slots = BoostedClasses(40, 0.2, settings=TreeSettings(depth=2)).fit(x, classes).slots(x, range(4))
+    assert np.allclose(slots.sum(axis=1), 1) and (slots[:, 2] == 0).all() and (slots.argmax(axis=1) == classes).mean() > 0.95
+
+
 def test_logistic_softmax_and_missing_values():
     x = RNG.random((400, 2))
     y = (x[:, 0] > 0.6).astype(float)
@@ -112,35 +155,105 @@ def raw(spark):
     return spark.createDataFrame(rows, "site string, date date, da_raw double")
 
 
+def test_supervised_rows_are_those_of_the_anchor(spark, raw):
+    """Each week has its anchor row's features, its own calendar, and persistence recomputed from measurements up to the anchor."""
+    frame = backtest.feature_frame(raw, None, SMALL)
+    rows = {(r["site"], r["week"]): r for r in backtest.supervised(frame, SMALL).collect()}
+    before = {(r["site"], r["week"]): r for r in frame.collect()}
+    measured = {(r["site"], r["date"]): r["da_raw"] for r in raw.collect()}
+    for (site, week), r in rows.items():
+        anchor = week - timedelta(days=7)
+        past = sorted((d, v) for (s, d), v in measured.items() if s == site and d <= anchor)
+        spikes = [d for d, v in past if v > 20]
+        assert r["last_observed"] == (past[-1][1] if past else None)
+        assert abs(r["weeks_since_spike"] - ((week - spikes[-1]).days / 7 if spikes else 999)) < 1e-9
+        assert r["month"] == week.month and abs(r["sin_day_of_year"] - np.sin(2 * np.pi * week.timetuple().tm_yday / 365)) < 1e-12
+        assert all(r[c] == before[site, anchor][c] for c in ("prev_obs_1", "prev_obs_diff", "roll_max_4", "pn_log"))
+    assert min(w for _, w in rows) - min(w for _, w in before) == timedelta(days=7)
+
+
 def test_backtest(spark, raw):
     rows = backtest.retrospective(raw, None, SMALL).collect()
     assert rows and len({(r["site"], r["test_date"]) for r in rows}) == len(rows)
     for r in rows:
         assert (r["test_date"] - r["anchor"]).days == 7 and r["training_samples"] >= 10
-        assert r["ensemble"] >= 0 and r["p05"] <= r["p50"] <= r["p95"] and abs(sum(r["class_probabilities"]) - 1) < 1e-6
+        assert r["predicted"] == r["ensemble"] >= 0 and r["q05"] is None and r["class_probabilities"] is None
+        assert r["predicted_category"] == np.searchsorted([5, 20, 40], r["ensemble"]) and r["actual_category"] == np.searchsorted([5, 20, 40], r["actual"])
     later = raw.withColumn("da_raw", F.when(F.col("date") > max(r["anchor"] for r in rows), 999.0).otherwise(F.col("da_raw")))
     again = {(r["site"], r["test_date"]): r["ensemble"] for r in backtest.retrospective(later, None, SMALL).collect()}
     assert all(abs(again[r["site"], r["test_date"]] - r["ensemble"]) < 1e-9 for r in rows if (r["site"], r["test_date"]) in again)
 
 
+@pytest.mark.parametrize("model", ["logistic", "naive", "rf"])
+def test_models_of_a_retrospective(spark, raw, model):
+    for r in backtest.retrospective(raw, None, SMALL, model=model).collect():
+        assert r["predicted"] == {"naive": r["naive"], "rf": r["forest"]}.get(model, r["ensemble"])
+        assert (r["logistic_category"] is not None) == (model == "logistic") and (model != "logistic" or r["predicted_category"] == r["logistic_category"])
+
+
+def test_summary(spark):
+    rng = np.random.default_rng(4)
+    a, p = rng.gamma(1, 15, 300), rng.gamma(1, 15, 300)
+    a[:3], p[:3] = 20.0, [20.0, 20.0, 21.0]
+    ac, pc = np.searchsorted([5, 20, 40], a), np.searchsorted([5, 20, 40], p)
+    pdf = pd.DataFrame({"actual": a, "predicted": p, "actual_category": ac, "predicted_category": pc})
+    got = backtest.summary(spark.createDataFrame(pdf)).first()
+    both = ((a > 20) & (p > 20)).sum()
+    recalls = [((ac == c) & (pc == c)).sum() / (ac == c).sum() for c in range(4)]
+    assert abs(got["r2_score"] - (1 - ((a - p) ** 2).sum() / ((a - a.mean()) ** 2).sum())) < 1e-9 and abs(got["mae"] - np.abs(a - p).mean()) < 1e-9
+    assert abs(got["f1_score"] - 2 * both / ((a > 20).sum() + (p > 20).sum())) < 1e-9 and got["total_forecasts"] == 300
+    assert abs(got["accuracy"] - (ac == pc).mean()) < 1e-9 and abs(got["balanced_accuracy"] - np.mean(recalls)) < 1e-9
+    assert got["extreme_support"] == (ac == 3).sum() and abs(got["low_recall"] - recalls[0]) < 1e-9
+    assert backtest.summary(spark.createDataFrame(pdf).limit(0)).first()["total_forecasts"] == 0
+
+
 def test_single_forecast_and_configuration(spark, raw):
-    assert backtest.single_forecast(raw, None, "copalis", date(2016, 1, 4), SMALL).count() == 1
+    both = backtest.single_forecast(raw, None, "copalis", date(2016, 1, 4), SMALL, task="both").first()
+    assert both["q05"] is not None and both["predicted"] == both["ensemble"] and abs(sum(both["class_probabilities"]) - 1) < 1e-6
+    linear = backtest.single_forecast(raw, None, "copalis", date(2016, 1, 4), SMALL, task="classification", model="linear").first()
+    assert linear["q05"] is None and linear["predicted"] == linear["linear"] and linear["logistic_category"] == int(np.argmax(linear["class_probabilities"]))
     assert backtest.single_forecast(raw, None, "copalis", date(2015, 2, 2), SMALL).count() == 0
     assert SMALL.but(per_site=False).site("copalis").forest_weight == 0.44
+    assert EngineConfig().boosted_at("copalis") == BoostSettings(100, 2, 0.03, 10, 1.0, 5.0, 1.0, 0.7, 0.7, 0.8) and EngineConfig().boosted_at("x") == BoostSettings()
+    assert EngineConfig().forest_at("newport") == ForestSettings(200, 6, 10, 5, 0.5)
     with pytest.raises(ValueError):
         EngineConfig(test_fraction=0)
 
 
+def test_site_features_and_bounds(spark, raw):
+    rows = backtest.training_frame(raw, None, SMALL).where("site = 'copalis'").toPandas()
+    names = backtest.feature_columns(backtest.training_frame(raw, None, SMALL), SMALL)
+    p = backtest.Training(rows, names, "copalis", date(2016, 1, 6), date(2015, 12, 30), SMALL)
+    assert set(p.kept) == set(SITES["copalis"].features) & set(names) and p.cap == np.quantile(p.y, 0.97)
+    assert p.at.shape == (1, len(p.kept)) and p.size == len(rows[rows["week"] <= date(2015, 12, 28)])
+    with pytest.raises(ValueError):
+        backtest.Training(rows, names, "copalis", date(2016, 1, 6), date(2016, 1, 6), SMALL)
+
+
 def test_tuning_and_experiments(spark, raw):
-    tiny = SMALL.but(boost_rounds=3, forest_trees=2, bootstrap_rounds=0, test_fraction=0.15)
+    tiny = small(3, 2, bootstrap_rounds=0, test_fraction=0.15)
     anchors = backtest.calibration_anchors(backtest.test_anchors(raw, tiny.but(test_fraction=1.0)), tiny)
     assert {r["count"] for r in anchors.groupBy("site").count().collect()} <= set(range(1, 21))
-    best = backtest.tune(anchors, backtest.feature_frame(raw, None, tiny), {"a": tiny, "b": tiny.but(boost_rate=0.2)}).collect()
-    assert {r["site"] for r in best} == {"copalis", "other"} and all(r["best"] in ("a", "b") for r in best)
+    grid = ({"rounds": 3, "depth": 2}, {"rounds": 4, "rate": 0.2})
+    best = backtest.tune(anchors, backtest.training_frame(raw, None, tiny), tiny, grid).collect()
+    assert {r["site"] for r in best} == {"copalis", "other"} and all(json.loads(r["best"]) in grid for r in best)
+    assert backtest.site_grids()["long beach"][:2] == SITES["long beach"].grid and backtest.site_grids()["clatsop beach"] == GRID
     runs = {n: c for n, c in backtest.ablations(tiny).items() if n in ("baseline", "no_lags")}
     scores = backtest.run_experiments(raw, None, runs).collect()
     assert {(r["experiment"], r["site"]) for r in scores} == {(e, s) for e in runs for s in (None, "copalis", "other")}
-    assert len(backtest.perturbations(tiny)) == 7 and len(backtest.seeded(tiny, (1, 2))) == 4
+    assert len(backtest.seeded(tiny, (1, 2))) == 4
+
+
+def test_perturbations_change_what_they_name(spark, raw):
+    base = EngineConfig()
+    found = backtest.perturbations(base)
+    assert len(found) == 14 and found["swap_boosted_to_forest"].site("newport").forest_weight == 1.0 and found["swap_forest_to_boosted"].site("copalis").boosted_weight == 1.0
+    assert found["minimal_features"].site("copalis").features == ("last_observed", "prev_obs_1", "month", "sst") and found["all_features"].site("copalis").features == ()
+    assert found["forest_deep"].forest_at("copalis").trees == 600 and found["forest_deep"].forest_at("newport").trees == 200
+    assert (found["relaxed_clip"].site("kalaloch").clip_quantile, found["relaxed_clip"].site("kalaloch").cap) == (0.99, None)
+    assert found["halves_at_two_sites"].site("long beach").forest_weight == 0.5 and found["halves_at_two_sites"].site("newport") == base.site("newport")
+    rows = backtest.training_frame(raw, None, SMALL).where("site = 'copalis'").toPandas()
+    assert backtest.Training(rows, ["month"], "copalis", date(2016, 1, 4), date(2015, 12, 28), found["no_clip"]).cap == np.inf
 
 
 def test_spikes_are_pooled_over_sites(spark):
@@ -155,8 +268,8 @@ def test_spikes_are_pooled_over_sites(spark):
     later = [(s, d, 99.0 if d >= weeks[60] else v) for s, d, v in calm + wild]
     assert at(later)["spike_probability"] == pooled["spike_probability"]
     # the pool: measured weeks only, the features of the week before, safe where the last value was no spike
-    lattice = backtest.feature_frame(frame(calm + wild[:10] + wild[11:]), None, SMALL)
-    pool = backtest.pooled_rows(lattice, ["last_observed"], SMALL).where(F.col("week") < weeks[15]).collect()
+    rows = backtest.training_frame(frame(calm + wild[:10] + wild[11:]), None, SMALL)
+    pool = backtest.pooled_rows(rows, ["last_observed"]).where(F.col("week") < weeks[15]).collect()
     value = {(s, d): v for s, d, v in calm + wild if (s, d) != ("wild", weeks[10])}
     expected = []
     for (s, d), v in value.items():
@@ -164,32 +277,26 @@ def test_spikes_are_pooled_over_sites(spark):
             past = [u for (t, e), u in value.items() if t == s and e < d]
             expected.append((d, v >= 20, (past[-1] if past else 0) < 20, past[-1] if past else None))
     assert sorted(map(str, expected)) == sorted(str((r["week"], r["spike"], r["safe"], r["features"][0])) for r in pool)
-    assert not set(backtest.SPIKE_LEAKS) - set(lattice.columns)
+    assert not set(backtest.SPIKE_LEAKS) - set(rows.columns)
 
 
-def test_intervals_are_those_of_the_blend(spark, raw):
-    config = SMALL.but(boost_rounds=4, forest_trees=3, bootstrap_rounds=7)
-    frame = backtest.feature_frame(raw, None, config)
+def test_bootstrap_refits_the_blend(spark, raw):
+    config = small(4, 3, bootstrap_rounds=7)
+    rows = backtest.training_frame(raw, None, config)
+    names = backtest.feature_columns(rows, config)
     for site, on in (("copalis", date(2016, 1, 4)), ("other", date(2016, 1, 11))):
-        row = backtest.single_forecast(raw, None, site, on, config).first()
-        anchor = on - timedelta(days=7)
-        train = frame.where((F.col("site") == site) & (F.col("week") <= anchor)).toPandas().assign(test_date=on, anchor=anchor, actual=None)
-        p = backtest._Prepared(train, backtest.feature_columns(frame, config), config)
-        draws = []
-        for k in range(7):
-            rows = np.random.default_rng([config.seed, k]).integers(0, len(p.y), len(p.y))
-            x, y = p.x[rows], p.y[rows]
-            parts = [float(np.clip(m.predict(p.at)[0], 0, p.cap)) for m in (p.boosted(x, y), p.forest(x, y))]
-            draws.append(np.dot(parts, (config.site(site).boosted_weight, config.site(site).forest_weight)))
-        assert np.allclose([row["p05"], row["p50"], row["p95"]], np.percentile(draws, [5, 50, 95])) and np.std(draws) > 0
+        found = backtest.bootstrap_forecast(raw, None, site, on, config).first()
+        p = backtest.Training(rows.where(F.col("site") == site).orderBy("week").toPandas(), names, site, on, on - timedelta(days=7), config)
+        draws = [p.resampled(k) for k in range(7)]
+        assert np.allclose([found["q05"], found["q50"], found["q95"]], np.percentile(draws, [5, 50, 95])) and np.std(draws) > 0
 
 
 def test_registered_models_run_the_default_configuration(spark, sf, monkeypatch):
     from tidegrid.plans import registry
 
     seen = []
-    monkeypatch.setattr(backtest, "single_forecast", lambda *args: seen.append(args[-1]))
-    monkeypatch.setattr(backtest, "retrospective", lambda *args: seen.append(args[-1]))
+    monkeypatch.setattr(backtest, "single_forecast", lambda *args, **_: seen.append(args[-1]))
+    monkeypatch.setattr(backtest, "retrospective", lambda *args: seen.append(args[2]) or spark.range(1))
     for name in ("model11_single_forecast", "model12_retrospective"):
         registry.queries()[name](spark, sf)
     assert seen == [EngineConfig(), EngineConfig()]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from tidegrid.plans import backtest
 from tidegrid.plans.base import KEY, RAW, RESULTS, SERIES, WEEKLY, Catalogue, cell_counts, iso, q6, r6, raw, results, series, weekly
 from tidegrid.plans.relational import _ANCHORS, _at_every_week
 from tidegrid.runtime import table
+from tidegrid.sources.cache import load_or_run
 from tidegrid.streaming.pipelines import alert_stream, persistence_stream, run_once, weekly_max_stream
 
 CATALOGUE = Catalogue()
@@ -260,10 +262,6 @@ def spec06_summary(spark: SparkSession, d: str) -> DataFrame:
 
 # -- models --------------------------------------------------------------------------------------
 
-#: A reduced configuration, of which queries that fit nothing use the seeds.
-RUN = EngineConfig(boost_rounds=40, boost_depth=3, boost_rate=0.1, forest_trees=15, forest_depth=6, bootstrap_rounds=50)
-
-
 @query(f"WITH {WEEKLY}, {_ANCHORS} SELECT site, test_date::VARCHAR AS test_date, {q6('median(da_raw)')} AS med, min(da_raw) AS lo, max(da_raw) AS hi FROM sized WHERE n >= 10 GROUP BY 1, 2")
 def model01_transformer(spark: SparkSession, d: str) -> DataFrame:
     return _at_every_week(spark, d).select("site", iso("test_date").alias("test_date"), r6("med"), "lo", "hi")
@@ -275,16 +273,71 @@ def model10_naive_clip(spark: SparkSession, d: str) -> DataFrame:
     return _at_every_week(spark, d).select("site", iso("test_date").alias("test_date"), r6(p, "naive"), C.category_right_closed(p).alias("category"))
 
 
+_SITE, _DAY = "copalis", date(2023, 6, 12)
+
+
 @query()
 def model11_single_forecast(spark: SparkSession, d: str) -> DataFrame:
-    from datetime import date
+    return backtest.single_forecast(raw(spark, d), cell_counts(spark, d), _SITE, _DAY, EngineConfig(), task="regression")
+
 
-    return backtest.single_forecast(raw(spark, d), cell_counts(spark, d), "copalis", date(2023, 6, 12), EngineConfig())
+@query()
+def api_forecast_enhanced(spark: SparkSession, d: str) -> DataFrame:
+    """Regression with its interval and classification with its probabilities, in one row."""
+    found = backtest.single_forecast(raw(spark, d), cell_counts(spark, d), _SITE, _DAY, EngineConfig(), task="both")
+    own = EngineConfig().site(_SITE)
+    weights = F.array(*[F.lit(w) for w in (own.boosted_weight, own.forest_weight, own.naive_weight)])
+    return found.select(
+        "site", iso("test_date").alias("forecast_date"), "predicted", F.struct("q05", "q50", "q95").alias("level_range"), "predicted_category", "class_probabilities",
+        F.struct("naive", "boosted", "forest", "ensemble", weights.alias("weights")).alias("parts"), "spike_probability", "spike_alert",
+    )
 
 
 @query()
 def model12_retrospective(spark: SparkSession, d: str) -> DataFrame:
-    return backtest.retrospective(raw(spark, d), cell_counts(spark, d), EngineConfig())
+    return _retrospective(spark, d)
+
+
+def _retrospective(spark: SparkSession, d: str, model: str = "ensemble") -> DataFrame:
+    """Stored under its configuration for the session, as several queries read it."""
+    config = EngineConfig()
+    run = lambda: backtest.retrospective(raw(spark, d), cell_counts(spark, d), config, model)
+    return load_or_run(spark, {"run": "retrospective", "model": model, "tables": d, "config": repr(config), "session": spark.sparkContext.applicationId}, run, keep=False)
+
+
+@query()
+def api_retrospective(spark: SparkSession, d: str) -> DataFrame:
+    """The summary of the retrospective."""
+    found = backtest.summary(_retrospective(spark, d))
+    return found.select(*[r6(c) if t == "double" else F.col(c) for c, t in found.dtypes])
+
+
+_ROWS = f"""{_PERSIST}, known AS (
+  SELECT site, week AS anchor, last_observed, max(CASE WHEN da_raw > 20 THEN week END) OVER ({_SO_FAR}) AS spiked,
+         lag(da_raw, 1 IGNORE NULLS) OVER w AS prev_obs_1, avg(last_observed) OVER (PARTITION BY site ORDER BY week ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS roll_mean_4
+  FROM persist WINDOW w AS (PARTITION BY site ORDER BY week)
+)"""
+
+
+@query(f"""WITH {SERIES}, {_ROWS} SELECT s.site, s.week::VARCHAR AS week, s.da_raw, k.last_observed, {q6("coalesce((s.week - k.spiked) / 7.0, 999.0)")} AS weeks_since_spike,
+k.prev_obs_1, {q6("k.roll_mean_4")} AS roll_mean_4, month(s.week)::INTEGER AS month, {q6("sin(2 * pi() * dayofyear(s.week) / 365)")} AS sin_day_of_year
+FROM series s JOIN known k ON k.site = s.site AND k.anchor = s.week - 7""")
+def model13_anchor_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The row that a forecast for each week would have: the anchor's features, re-dated, persistence recomputed."""
+    rows = backtest.training_frame(raw(spark, d), cell_counts(spark, d))
+    return rows.select(
+        "site", iso("week").alias("week"), "da_raw", "last_observed", r6("weeks_since_spike"), "prev_obs_1", r6("roll_mean_4"), "month", r6("sin_day_of_year"))
+
+
+@query()
+def model14_tuned_sites(spark: SparkSession, d: str) -> DataFrame:
+    anchors = backtest.calibration_anchors(backtest.test_anchors(raw(spark, d), EngineConfig(test_fraction=1.0)))
+    return backtest.tune(anchors, backtest.training_frame(raw(spark, d), cell_counts(spark, d))).select("site", "best", r6("r2"))
+
+
+@query()
+def model16_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    return backtest.bootstrap_forecast(raw(spark, d), cell_counts(spark, d), _SITE, _DAY)
 
 
 @query()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.config import SITES
+from tidegrid.config import SITES, EngineConfig
 from tidegrid.functions import classes as C
 from tidegrid.functions.scalars import site_key
 from tidegrid.operators import columns as K
@@ -13,7 +13,7 @@ from tidegrid.operators import experiments as E
 from tidegrid.operators import metrics as M
 from tidegrid.operators.windows import observation_lags
 from tidegrid.plans import backtest
-from tidegrid.plans.analysis import _TRANSIT, RUN
+from tidegrid.plans.analysis import _TRANSIT
 from tidegrid.plans.relational import _PER, _maps
 from tidegrid.plans.base import KEY, PN, RESULTS, SERIES, WEEKLY, Catalogue, cell_counts, iso, q6, r6, raw, results, series, weekly
 from tidegrid.operators.series import on_lattice, weekly_max
@@ -100,7 +100,7 @@ def fn31_close_latitudes(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {WEEKLY}, a AS (SELECT site, week, row_number() OVER (PARTITION BY site ORDER BY md5(site || '|' || week::VARCHAR || '|calibration42'), week) AS nth, count(*) OVER (PARTITION BY site) AS n FROM weekly)
 SELECT site, week::VARCHAR AS test_date FROM a WHERE nth <= least(greatest(1, ceil(n * CAST(0.3 AS DOUBLE))), 20)""")
 def win11_calibration_sample(spark: SparkSession, d: str) -> DataFrame:
-    drawn = backtest.calibration_anchors(weekly(spark, d).withColumnRenamed("week", "test_date"), RUN)
+    drawn = backtest.calibration_anchors(weekly(spark, d).withColumnRenamed("week", "test_date"))
     return drawn.select("site", iso("test_date").alias("test_date"))
 
 
@@ -130,7 +130,7 @@ def eval18_site_view(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT CAST(s AS INTEGER) AS seed, per_site FROM (SELECT unnest([42, 123, 7, 2024, 99]) AS s), (SELECT unnest([true, false]) AS per_site)""")
 def exp02_seed_grid(spark: SparkSession, d: str) -> DataFrame:
-    runs = backtest.seeded(RUN, (42, 123, 7, 2024, 99))
+    runs = backtest.seeded(EngineConfig(), (42, 123, 7, 2024, 99))
     return spark.createDataFrame([(c.seed, c.per_site) for c in runs.values()], "seed int, per_site boolean")
 
 

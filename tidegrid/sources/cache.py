@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.runtime import shared_dir
+from tidegrid.runtime import discard_at_end, shared_dir
 
 TTL_DAYS = 7
 
@@ -41,12 +41,19 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS"))
 
 
-def load_or_run(spark: SparkSession, config: dict, run: Callable[[], DataFrame], *, root: str | None = None, refresh: bool = False) -> DataFrame:
-    """The table stored for this configuration; if there is none, or to refresh it, ``run`` is run and stored."""
+def load_or_run(
+    spark: SparkSession, config: dict, run: Callable[[], DataFrame], *, root: str | None = None, refresh: bool = False, keep: bool = True
+) -> DataFrame:
+    """The table stored for this configuration; if there is none, or to refresh it, ``run`` is run and stored.
+
+    Without ``keep`` what is stored goes with the session.
+    """
     name = hashlib.sha256(json.dumps(config, sort_keys=True, default=str).encode()).hexdigest()[:24]
     path = f"{(root or shared_dir(spark)).rstrip('/')}/result-{name}"
     if refresh or not _exists(spark, path):
         run().write.mode("overwrite").parquet(path)
+        if not keep:
+            discard_at_end(spark, path)
     return spark.read.parquet(path)
 
 
