@@ -5,7 +5,7 @@ import pytest
 from tidegrid.plans import registry
 
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
-SLOW = {"model12_retrospective"}
+SLOW = {"model12_retrospective", "model14_tuned_sites", "api_forecast_enhanced", "model16_bootstrap"}
 
 
 def test_every_sql_has_a_query():

@@ -20,7 +20,6 @@ from tidegrid.plans import backtest
 from tidegrid.plans.base import KEY, RAW, RESULTS, SERIES, WEEKLY, Catalogue, cell_counts, iso, q6, r6, raw, results, series, weekly
 from tidegrid.plans.relational import _ANCHORS, _at_every_week
 from tidegrid.runtime import table
-from tidegrid.sources.cache import load_or_run
 from tidegrid.streaming.pipelines import alert_stream, persistence_stream, run_once, weekly_max_stream
 
 CATALOGUE = Catalogue()
@@ -295,21 +294,7 @@ def api_forecast_enhanced(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def model12_retrospective(spark: SparkSession, d: str) -> DataFrame:
-    return _retrospective(spark, d)
-
-
-def _retrospective(spark: SparkSession, d: str, model: str = "ensemble") -> DataFrame:
-    """Stored under its configuration for the session, as several queries read it."""
-    config = EngineConfig()
-    run = lambda: backtest.retrospective(raw(spark, d), cell_counts(spark, d), config, model)
-    return load_or_run(spark, {"run": "retrospective", "model": model, "tables": d, "config": repr(config), "session": spark.sparkContext.applicationId}, run, keep=False)
-
-
-@query()
-def api_retrospective(spark: SparkSession, d: str) -> DataFrame:
-    """The summary of the retrospective."""
-    found = backtest.summary(_retrospective(spark, d))
-    return found.select(*[r6(c) if t == "double" else F.col(c) for c, t in found.dtypes])
+    return backtest.retrospective(raw(spark, d), cell_counts(spark, d), EngineConfig())
 
 
 _ROWS = f"""{_PERSIST}, known AS (
@@ -409,6 +394,28 @@ def api_map(spark: SparkSession, d: str) -> DataFrame:
     return place.join(newest, "site", "left").select("site", r6("lat"), r6("lon"), "da", C.risk_label(F.col("da")).alias("risk"), C.risk_colour(F.col("da")).alias("colour"))
 
 
+_C4 = "CASE WHEN {0} <= 5 THEN 0 WHEN {0} <= 20 THEN 1 WHEN {0} <= 40 THEN 2 ELSE 3 END"
+_NAMED = ("low", "moderate", "high", "extreme")
+_SCORES = ", ".join(
+    f"{q6(f'CASE WHEN c{k} > 0 THEN t{k} / c{k} ELSE 0 END')} AS {n}_precision, {q6(f'CASE WHEN s{k} > 0 THEN t{k} / s{k} ELSE 0 END')} AS {n}_recall, "
+    f"{q6(f'CASE WHEN c{k} + s{k} > 0 THEN 2 * t{k} / (c{k} + s{k}) ELSE 0 END')} AS {n}_f1, s{k} AS {n}_support" for k, n in enumerate(_NAMED))
+_CALLS = ", ".join(f"count(*) FILTER (WHERE ac = {k}) AS s{k}, count(*) FILTER (WHERE pc = {k}) AS c{k}, count(*) FILTER (WHERE ac = {k} AND pc = {k}) AS t{k}" for k in range(4))
+_BALANCED = " + ".join(f"CASE WHEN s{k} > 0 THEN t{k} / s{k} ELSE 0 END" for k in range(4))
+_PRESENT = " + ".join(f"(s{k} > 0)::INT" for k in range(4))
+
+
+@query(f"""WITH {RESULTS}, r AS (SELECT actual, naive_prediction AS p, {_C4.format('actual')} AS ac, {_C4.format('naive_prediction')} AS pc FROM results WHERE naive_prediction IS NOT NULL),
+c AS (SELECT count(*) AS total_forecasts, 1 - sum((actual - p) ** 2) / (var_pop(actual) * count(*)) AS r2, avg(abs(actual - p)) AS mae, avg((ac = pc)::INT) AS accuracy,
+count(*) FILTER (WHERE actual > 20 AND p > 20) AS tp, count(*) FILTER (WHERE actual > 20) AS n_spikes, count(*) FILTER (WHERE p > 20) AS n_called, {_CALLS} FROM r)
+SELECT total_forecasts, {q6('r2')} AS r2_score, {q6('mae')} AS mae, {q6('CASE WHEN n_spikes + n_called > 0 THEN 2 * tp / (n_spikes + n_called) ELSE 0 END')} AS f1_score,
+{q6('accuracy')} AS accuracy, {q6(f'({_BALANCED}) / ({_PRESENT})')} AS balanced_accuracy, {_SCORES} FROM c""")
+def api_retrospective(spark: SparkSession, d: str) -> DataFrame:
+    """The summary of stored forecasts, here of their naive predictions."""
+    rows = results(spark, d).select("actual", F.col("naive_prediction").alias("predicted"))
+    found = backtest.summary(rows.withColumns({f"{c}_category": C.category_right_closed(F.col(c)) for c in ("actual", "predicted")}))
+    return found.select(*[r6(c) if t == "double" else F.col(c) for c, t in found.dtypes])
+
+
 # -- streams -------------------------------------------------------------------------------------
 
 
