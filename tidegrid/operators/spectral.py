@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: The series of the mean over all sites.
+ALL_SITES = "All Sites"
+
 
 def _segments(x: np.ndarray, size: int, step: int) -> np.ndarray:
     starts = range(0, len(x) - size + 1, step)
@@ -102,26 +107,33 @@ def spectrograms(df: DataFrame, value: str = "value", day: str = "week") -> Data
     return rows.groupBy("site").applyInPandas(one, "site string, segment int, frequency double, log_power double")
 
 
-def coherences(df: DataFrame, first: str, second: str, day: str = "week") -> DataFrame:
-    """(site, frequency, coherence) of two series of each site, rows with a NULL in either left out."""
+def coherences(df: DataFrame, first: str, second: str, order: Sequence[str] = ("week",)) -> DataFrame:
+    """(site, frequency, coherence) of two series of each site in order; rows with a NULL in either left out."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna().sort_values("d")
+        pdf = pdf.sort_values("place")
         f, c = coherence(pdf["a"].to_numpy(), pdf["b"].to_numpy())
         return pd.DataFrame({"site": pdf["site"].iloc[0] if len(pdf) else None, "frequency": f, "coherence": c})
 
-    rows = df.select("site", F.col(day).alias("d"), F.col(first).cast("double").alias("a"), F.col(second).cast("double").alias("b"))
-    return rows.groupBy("site").applyInPandas(one, "site string, frequency double, coherence double")
+    rows = df.select("site", F.struct(*order).alias("o"), F.col(first).cast("double").alias("a"), F.col(second).cast("double").alias("b")).dropna(subset=["a", "b"])
+    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy("site").orderBy("o"))).drop("o")
+    return placed.groupBy("site").applyInPandas(one, "site string, frequency double, coherence double")
 
 
 def dominant_periods(spectrum: DataFrame, k: int = 3) -> DataFrame:
-    """(site, periods): the periods of the k bins of greatest power, greatest first."""
-    order = F.sort_array(F.collect_list(F.struct(F.col("power"), F.col("period_weeks"))), asc=False)
-    return spectrum.groupBy("site").agg(F.slice(order, 1, k)["period_weeks"].alias("periods"))
+    """(site, periods): the periods of the k bins of greatest power, greatest first; at equal power the longer period."""
+    nth = F.row_number().over(Window.partitionBy("site").orderBy(F.desc("power"), F.desc("period_weeks")))
+    best = spectrum.withColumn("nth", nth).where(F.col("nth") <= k).groupBy("site").agg(F.sort_array(F.collect_list(F.struct("nth", "period_weeks"))).alias("p"))
+    return best.select("site", F.col("p.period_weeks").alias("periods"))
+
+
+def with_all_sites(df: DataFrame, value: str = "value", day: str = "week", name: str = ALL_SITES) -> DataFrame:
+    """(site, day, value) of every site and, under ``name``, of the mean over the sites."""
+    mean = df.groupBy(day).agg(F.avg(value).alias(value)).select(F.lit(name).alias("site"), day, value)
+    return df.select("site", day, value).unionByName(mean)
 
 
-def spectral_summary(spectrum: DataFrame) -> DataFrame:
-    """(site, bins, total_power, mean_power, std_power); the deviation is that of the population."""
-    return spectrum.groupBy("site").agg(
-        F.count("*").alias("bins"), F.sum("power").alias("total_power"), F.avg("power").alias("mean_power"), F.stddev_pop("power").alias("std_power")
-    )
+def spectral_summary(series: DataFrame, spectrum: DataFrame, value: str = "value") -> DataFrame:
+    """(site, n, mean, std, total_power): the series and the power of its spectrum; the deviation is that of the population."""
+    values = series.groupBy("site").agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+    return values.join(spectrum.groupBy("site").agg(F.sum("power").alias("total_power")), "site")

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from tidegrid.config import EngineConfig, MODELS
 from tidegrid.functions import classes as C
-from tidegrid.functions.scalars import site_key
+from tidegrid.functions.scalars import settled, site_key
 from tidegrid.operators import aggregates as A
 from tidegrid.operators import experiments as E
 from tidegrid.operators import metrics as M
 from tidegrid.operators import spectral as S
+from tidegrid.operators.series import FIRST_WEEK, LAST_WEEK
 from tidegrid.operators.windows import decay_fill, forward_fill, observation_lags, persistence, rolling_past
 from tidegrid.plans import backtest
 from tidegrid.plans.base import KEY, RAW, RESULTS, SERIES, WEEKLY, Catalogue, cell_counts, iso, q6, r6, raw, results, series, weekly
@@ -216,47 +217,95 @@ def eval10_classifier(spark: SparkSession, d: str) -> DataFrame:
     return found.where("n >= 3").select("site", "n", "tp", "fp", "fn", "tn", *[r6(c) for c in _RATES])
 
 
-@query(f"WITH {_LONG} SELECT site, model, predicted, actual FROM long WHERE predicted IS NOT NULL AND site = 'copalis'")
+@query(f"WITH {_LONG} SELECT site, model, predicted, actual FROM long WHERE predicted IS NOT NULL")
 def eval15_model_long(spark: SparkSession, d: str) -> DataFrame:
-    return _long(spark, d).where("predicted IS NOT NULL AND site = 'copalis'").select("site", "model", "predicted", "actual")
+    return _long(spark, d).where("predicted IS NOT NULL").select("site", "model", "predicted", "actual")
 
 
-# -- spectra: no SQL; tests hold them against direct transforms -----------------------------------
+# -- spectra, of the series with its gaps filled, by site and of the mean over all sites ----------
 
+_WEEKS = (LAST_WEEK - FIRST_WEEK).days // 7 + 1
 
-def _weekly_values(spark: SparkSession, d: str) -> DataFrame:
-    return weekly(spark, d).select("site", "week", F.col("da_raw").alias("value"))
 
+def _filled(spark: SparkSession, d: str) -> DataFrame:
+    rows = decay_fill(series(spark, d), "da_raw", EngineConfig().da_decay, name="value").select("site", "week", "value")
+    return S.with_all_sites(rows)
 
-@query()
+
+_FILLED = f"""{SERIES}, {_DECAY}, own AS (SELECT site, week, coalesce(da_raw, v * exp(-0.2 * gap), 0) AS da FROM decay),
+filled AS (SELECT site, row_number() OVER (PARTITION BY site ORDER BY week) - 1 AS i, da FROM (SELECT site, week, da FROM own UNION ALL SELECT 'All Sites', week, avg(da) FROM own GROUP BY week))"""
+
+
+def _fourier(size: int, step: int, window: str) -> str:
+    """One-sided power densities by direct sums: (site, s, k, power) of the segments of ``size`` values, ``step`` apart."""
+    segments = (_WEEKS - size) // step + 1
+    doubled = (size + 1) // 2
+    return f"""parts AS (
+  SELECT site, s, i - s * {step} AS j, da - avg(da) OVER (PARTITION BY site, s) AS x FROM filled, range({segments}) AS r(s) WHERE i >= s * {step} AND i < s * {step} + {size}
+), waves AS (SELECT k, j, cos(2 * pi() * ((k * j) % {size}) / {size}) * w AS c, sin(2 * pi() * ((k * j) % {size}) / {size}) * w AS n
+  FROM range({size // 2 + 1}) AS a(k), (SELECT j, {window} AS w FROM range({size}) AS b(j))
+), sums AS (SELECT site, s, k, sum(x * c) AS re, sum(x * n) AS im FROM parts JOIN waves USING (j) GROUP BY 1, 2, 3),
+density AS (SELECT site, s, k, (re * re + im * im) / (SELECT sum(({window}) ** 2) FROM range({size}) AS b(j)) * CASE WHEN k > 0 AND k < {doubled} THEN 2 ELSE 1 END AS power FROM sums)"""
+
+
+_SIZE = max(min(256, _WEEKS // 4), 4)
+_WELCH = f"{_FILLED}, {_fourier(_SIZE, _SIZE - _SIZE // 2, f'0.5 - 0.5 * cos(2 * pi() * j / {_SIZE})')}, welch AS (SELECT site, k, avg(power) AS power FROM density WHERE k > 0 GROUP BY 1, 2)"
+_SHORT = min(32, _WEEKS // 4)
+_TUKEY = f"CASE WHEN least(j, {_SHORT} - j) / {_SHORT}.0 < 0.125 THEN 0.5 - 0.5 * cos(pi() * least(j, {_SHORT} - j) / {_SHORT}.0 / 0.125) ELSE 1.0 END"
+
+
+def _q3(expression: str) -> str:
+    return f"round(({expression}) + 1e-6, 3)"
+
+
+def _r3(column: str) -> F.Column:
+    return settled(F.col(column), 3).alias(column)
+
+
+def _spectrum(found: DataFrame) -> DataFrame:
+    return found.select("site", r6("frequency"), r6("period_weeks"), _r3("power"))
+
+
+@query(f"WITH {_WELCH} SELECT site, {q6(f'k / {_SIZE}.0')} AS frequency, {q6(f'{_SIZE}.0 / k')} AS period_weeks, {_q3('power')} AS power FROM welch")
 def spec01_welch(spark: SparkSession, d: str) -> DataFrame:
-    return S.spectra(_weekly_values(spark, d), "welch")
+    return _spectrum(S.spectra(_filled(spark, d), "welch"))
 
 
-@query()
+@query(f"WITH {_WELCH}, top AS (SELECT site, k, row_number() OVER (PARTITION BY site ORDER BY power DESC, k) AS nth FROM welch) SELECT site, nth, {q6(f'{_SIZE}.0 / k')} AS period_weeks FROM top WHERE nth <= 3")
 def spec02_dominant_periods(spark: SparkSession, d: str) -> DataFrame:
-    return S.dominant_periods(S.spectra(_weekly_values(spark, d), "welch"))
+    found = S.dominant_periods(S.spectra(_filled(spark, d), "welch"))
+    ranked = found.select("site", F.posexplode("periods").alias("nth", "period_weeks"))
+    return ranked.select("site", (F.col("nth") + 1).cast("long").alias("nth"), r6("period_weeks"))
 
 
-@query()
+@query(f"WITH {_FILLED}, {_fourier(_WEEKS, _WEEKS, '1.0')} SELECT site, {q6(f'k / {_WEEKS}.0')} AS frequency, {q6(f'{_WEEKS}.0 / k')} AS period_weeks, {_q3('power')} AS power FROM density WHERE k > 0")
 def spec03_periodogram(spark: SparkSession, d: str) -> DataFrame:
-    return S.spectra(_weekly_values(spark, d), "periodogram")
+    return _spectrum(S.spectra(_filled(spark, d), "periodogram"))
 
 
-@query()
+@query(f"WITH {_FILLED}, {_fourier(_SHORT, _SHORT - _SHORT // 2, _TUKEY)} SELECT site, s::INTEGER AS segment, {q6(f'k / {_SHORT}.0')} AS frequency, {_q3('log10(greatest(power + 1e-10, 1e-6))')} AS log_power FROM density")
 def spec04_spectrogram(spark: SparkSession, d: str) -> DataFrame:
-    return S.spectrograms(_weekly_values(spark, d))
+    """Powers below 1e-6 are shown as that, as those of silent stretches are rounding."""
+    found = S.spectrograms(_filled(spark, d)).withColumn("log_power", F.greatest("log_power", F.lit(-6.0)))
+    return found.select("site", "segment", r6("frequency"), _r3("log_power"))
 
 
 @query()
 def spec05_coherence(spark: SparkSession, d: str) -> DataFrame:
-    both = persistence(series(spark, d)).withColumn("before", F.col("last_observed")).where("da_raw IS NOT NULL")
-    return S.coherences(rolling_past(both), "da_raw", "roll_mean_4")
+    """Actual values against the stored predictions of both models, by site, where there are twenty at least."""
+    rows = results(spark, d)
+    found = [
+        S.coherences(rows, "actual", column, ("date", "response_id")).select("site", F.lit(model).alias("model"), "frequency", "coherence")
+        for model, column in (("boosted", "xgb_prediction"), ("forest", "rf_prediction"))
+    ]
+    return found[0].unionByName(found[1])
 
 
-@query()
+@query(f"""WITH {_WELCH}, v AS (SELECT site, count(*) AS n, avg(da) AS mean, stddev_pop(da) AS std FROM filled GROUP BY 1)
+SELECT site, n, {q6('mean')} AS mean, {q6('std')} AS std, {_q3('sum(power)')} AS total_power FROM v JOIN welch USING (site) GROUP BY site, n, mean, std""")
 def spec06_summary(spark: SparkSession, d: str) -> DataFrame:
-    return S.spectral_summary(S.spectra(_weekly_values(spark, d), "welch"))
+    values = _filled(spark, d)
+    return S.spectral_summary(values, S.spectra(values, "welch")).select("site", "n", r6("mean"), r6("std"), _r3("total_power"))
 
 
 # -- models --------------------------------------------------------------------------------------
