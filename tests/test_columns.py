@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -29,7 +30,19 @@ def test_summaries_on_empty_and_null(spark):
     assert A.gradient_band(spark.createDataFrame([(1.0, 1.0, 1.0)], "q50 double, lo double, hi double"), 30).count() == 30
 
 
-def test_inverse_distance(spark):
+def test_exact_quantile(spark, monkeypatch):
+    monkeypatch.setattr(A, "CLOSE_VALUES", 20)
+    rng = np.random.default_rng(2)
+    for values in (rng.normal(0, 1, 5000), np.repeat([1.0, 2.0], 4000), np.append(np.zeros(3000), rng.random(900)), np.array([3.0]), rng.random(2)):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "x double")
+        for q in (0.0, 0.25, 0.5, 0.99, 1.0):
+            assert abs(A.exact_quantile(df, "x", q) - np.quantile(values, q)) < 1e-12
+    assert A.exact_quantile(df.limit(0), "x") is None
+
+
+@pytest.mark.parametrize("at_once", [1_000, 1])
+def test_inverse_distance(spark, monkeypatch, at_once):
+    monkeypatch.setattr(A, "TARGETS", at_once)
     grid = spark.createDataFrame([(1, 10.0, 2.0), (1, 12.0, 4.0), (1, 13.0, None)], "p int, lat double, v double")
     targets = spark.createDataFrame([("exact", 10.0), ("between", 11.0)], "site string, l double")
     got = {r["site"]: r["interpolated"] for r in A.inverse_distance(grid, targets, period="p", lat="lat", value="v", target="site", target_lat="l").collect()}

@@ -3,7 +3,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from tidegrid.sources import cache, files
-from tidegrid.streaming.pipelines import persistence_stream, run_once, weekly_max_stream
+from tidegrid.streaming.pipelines import delayed_month_stream, persistence_stream, run_once, run_updates, weekly_max_stream
 
 
 def test_measurement_files(spark, tmp_path):
@@ -48,9 +48,19 @@ def test_cache(spark, tmp_path):
 def test_streams(spark, tmp_path):
     rows = [("A", datetime.datetime(2020, 1, 6, 1), 5.0), ("A", datetime.datetime(2020, 1, 12, 23), 25.0), ("A", datetime.datetime(2020, 1, 13), 3.0)]
     schema = "site string, t timestamp, value double"
-    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    weekly = run_once(weekly_max_stream(stream, site="site", moment="t", value="value"), "weekly_test")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    weekly = run_updates(weekly_max_stream(stream, site="site", moment="t", value="value"), "weekly_test", ["site", "week"], "value")
     assert sorted((str(r["week"]), r["value"]) for r in weekly.collect()) == [("2020-01-06", 25.0), ("2020-01-13", 3.0)]
-    seen = run_once(persistence_stream(stream, site="site", moment="t", value="value"), "persistence_test", "append")
+    seen = run_once(persistence_stream(stream, site="site", moment="t", value="value"), "persistence_test")
     assert [(r["last_observed"], r["days_since_spike"]) for r in seen.orderBy("t").collect()][1:] == [(5.0, None), (25.0, 1 / 24)]
+    index = spark.createDataFrame([(datetime.date(2019, 12, 5), 7.0)], "m date, idx double")
+    met = run_once(delayed_month_stream(stream, index, moment="t", month="m", months_back=1, payload=["idx"]), "delayed_test")
+    assert [r["idx"] for r in met.collect()] == [7.0] * 3
+    # a second batch goes on from the state that the first left
+    more = [("A", datetime.datetime(2020, 1, 14), None), ("A", datetime.datetime(2020, 1, 15), 1.0), ("B", datetime.datetime(2020, 1, 15), 1.0)]
+    spark.createDataFrame(more, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    seen = run_once(persistence_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), site="site", moment="t", value="value"), "again")
+    got = {(r["site"], r["t"].day): (r["last_observed"], r["days_since_spike"]) for r in seen.collect()}
+    assert got["A", 15] == (3.0, 2 + 1 / 24) and got["A", 14] == (3.0, 1 + 1 / 24) and got["B", 15] == (None, None)

@@ -12,8 +12,10 @@ from pyspark.sql import types as T
 from tidegrid.functions.scalars import settled
 
 
-#: Most targets of an interpolation.
+#: Targets of an interpolation that are packed together.
 TARGETS = 1_000
+#: Distinct values that a quantile looks at on the driver.
+CLOSE_VALUES = 10_000
 
 
 def mean_by(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
@@ -48,19 +50,56 @@ def drop_empty_columns(df: DataFrame) -> DataFrame:
     return df.drop(*[c for c in df.columns if counts[c] == 0])
 
 
+def exact_quantile(df: DataFrame, value: str, q: float = 0.5) -> float | None:
+    """The exact q-quantile, interpolated between neighbours, of the values that aren't NULL; None if there are none.
+
+    No task sorts or holds all values: approximate quantiles bracket the two ranks that are asked for, and
+    only the bracket is counted by value, again and again until it has few enough. Each pass is one
+    aggregate with map-side sums.
+    """
+    values = df.select(F.col(value).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
+    low, high, n = values.agg(F.min("v"), F.max("v"), F.count("*")).first()
+    if not n:
+        return None
+    place = q * (n - 1)
+    first, second = int(place), min(int(place) + 1, n - 1)
+    below = 0
+    while True:
+        inside = values.where(F.col("v").between(low, high))
+        counts = inside.groupBy("v").agg(F.count("*").alias("n"))
+        if counts.limit(CLOSE_VALUES + 1).count() <= CLOSE_VALUES:
+            break
+        held = inside.count()
+        share = lambda rank: min(max((rank - below) / held, 0.0), 1.0)
+        ends = inside.agg(F.percentile_approx("v", [max(share(first) - 1e-3, 0.0), min(share(second) + 1e-3, 1.0)], 10_000)).first()[0]
+        before, reached = values.agg(F.count_if(F.col("v") < ends[0]), F.count_if(F.col("v") <= ends[1])).first()
+        if not (before <= first and second < reached) or tuple(ends) == (low, high):
+            break
+        low, high, below = ends[0], ends[1], before
+    near, at = {}, below
+    for v, count in sorted((r["v"], r["n"]) for r in counts.collect()):
+        for rank in (first, second):
+            if at <= rank < at + count:
+                near[rank] = v
+        at += count
+    return near[first] + (place - first) * (near[second] - near[first])
+
+
 def inverse_distance(grid: DataFrame, targets: DataFrame, *, period: str, lat: str, value: str, target: str, target_lat: str, power: float = 2.0) -> DataFrame:
     """(target, period, interpolated): the mean of grid values weighted by 1 / (distance^power + 1e-9).
 
     Grid values at the target's own latitude, where there are any, are taken alone. The grid of a
-    period is packed into one array, as it has few latitudes. The targets are the configured sites:
-    at most TARGETS, a bound that is checked; each period is exploded over them.
+    period is packed into one array, as it has few latitudes. Targets are packed in blocks of about
+    TARGETS, each of which meets every period by an equi-join on the block, so the result's rows come
+    to be where a block and a period meet and no side is collected.
     """
-    known = targets.select(target, target_lat).limit(TARGETS + 1).collect()
-    if len(known) > TARGETS:
-        raise ValueError(f"more than {TARGETS} targets")
-    listed = F.array(*[F.struct(F.lit(r[0]).alias("s"), F.lit(r[1]).cast("double").alias("l")) for r in known])
+    blocks = max(1, -(-targets.count() // TARGETS))
+    block = F.pmod(F.xxhash64(target), F.lit(blocks)).alias("_block")
+    packed = targets.where(F.col(target_lat).isNotNull()).select(block, F.struct(F.col(target).alias("s"), F.col(target_lat).cast("double").alias("l")).alias("t"))
+    listed = packed.groupBy("_block").agg(F.collect_list("t").alias("_listed"))
     cells = grid.where(F.col(lat).isNotNull() & F.col(value).isNotNull()).groupBy(period).agg(F.collect_list(F.struct(F.col(lat).alias("lat"), F.col(value).alias("v"))).alias("cells"))
-    periods = cells.select(period, "cells", F.explode(listed).alias("_t")).select(
+    spread = cells.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    periods = spread.join(listed, "_block").select(period, "cells", F.explode("_listed").alias("_t")).select(
         period, "cells", F.col("_t.s").alias(target), F.col("_t.l").alias(target_lat)
     )
     at = F.col(target_lat)

@@ -21,7 +21,7 @@ from tidegrid.plans import backtest
 from tidegrid.plans.base import KEY, RAW, RESULTS, SERIES, WEEKLY, Catalogue, cell_counts, iso, q6, r6, raw, results, series, weekly
 from tidegrid.plans.relational import _ANCHORS, _at_every_week
 from tidegrid.runtime import table
-from tidegrid.streaming.pipelines import alert_stream, persistence_stream, run_once, weekly_max_stream
+from tidegrid.streaming.pipelines import alert_stream, delayed_month_stream, persistence_stream, run_once, run_updates, weekly_max_stream
 
 CATALOGUE = Catalogue()
 query = CATALOGUE.add
@@ -78,7 +78,7 @@ def win08_decay_fill(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {SERIES}, m AS (SELECT median(da_raw) AS m FROM series) SELECT site, week::VARCHAR AS week, coalesce(last_value(da_raw IGNORE NULLS) OVER ({_SO_FAR}), (SELECT m FROM m)) AS filled FROM series")
 def win09_forward_fill(spark: SparkSession, d: str) -> DataFrame:
     rows = series(spark, d)
-    middle = rows.agg(F.median("da_raw")).first()[0]
+    middle = A.exact_quantile(rows, "da_raw")
     return forward_fill(rows, "da_raw").select("site", iso("week").alias("week"), F.coalesce("da_raw", F.lit(middle)).alias("filled"))
 
 
@@ -476,16 +476,30 @@ def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
 @query("SELECT event_type AS site, date_trunc('week', ts)::DATE::VARCHAR AS week, max(value) AS value FROM events GROUP BY 1, 2")
 def stream01_weekly_max(spark: SparkSession, d: str) -> DataFrame:
     stream = weekly_max_stream(_stream(spark, d, "events"), site="event_type", moment="ts", value="value")
-    return run_once(stream, f"weekly_{uuid.uuid4().hex}").select("site", iso("week").alias("week"), "value")
+    return run_updates(stream, f"weekly_{uuid.uuid4().hex}", ["site", "week"], "value").select("site", iso("week").alias("week"), "value")
 
 
 @query("SELECT event_id, value >= 12 AS spike_alert FROM events")
 def stream02_alerts(spark: SparkSession, d: str) -> DataFrame:
     rows = _stream(spark, d, "events").withColumn("p", F.lit(None).cast("double"))
-    return run_once(alert_stream(rows, probability="p", prediction="value").select("event_id", "spike_alert"), f"alerts_{uuid.uuid4().hex}", "append")
+    return run_once(alert_stream(rows, probability="p", prediction="value").select("event_id", "spike_alert"), f"alerts_{uuid.uuid4().hex}")
 
 
-@query()
+@query(f"""WITH timed AS (SELECT event_type AS site, ts AS t, value, event_id FROM events), w AS (
+  SELECT *, lag(value, 1 IGNORE NULLS) OVER o AS last_observed, max(CASE WHEN value > 20 THEN t END) OVER (PARTITION BY site ORDER BY t, value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS spiked
+  FROM timed WINDOW o AS (PARTITION BY site ORDER BY t, value)
+)
+SELECT site, strftime(t, '%Y-%m-%d %H:%M:%S.%f') AS t, value, {q6("last_observed")} AS last_observed, {q6("(epoch_us(t) - epoch_us(spiked)) / 86400000000.0")} AS days_since_spike FROM w""")
 def stream03_persistence(spark: SparkSession, d: str) -> DataFrame:
     stream = persistence_stream(_stream(spark, d, "events"), site="event_type", moment="ts", value="value")
-    return run_once(stream, f"persistence_{uuid.uuid4().hex}", "append")
+    found = run_once(stream, f"persistence_{uuid.uuid4().hex}")
+    return found.select("site", F.date_format("t", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("t"), "value", r6("last_observed"), r6("days_since_spike"))
+
+
+@query(f"""WITH m AS (SELECT date_trunc('month', ts)::DATE AS m, avg(value) AS idx FROM events GROUP BY 1)
+SELECT event_id, {q6('idx')} AS idx FROM events LEFT JOIN m ON m.m = (date_trunc('month', ts) - INTERVAL 1 MONTH)::DATE""")
+def stream04_delayed_month(spark: SparkSession, d: str) -> DataFrame:
+    """Events as they come, with last month's mean."""
+    index = table(spark, d, "events").groupBy(F.trunc("ts", "month").alias("m")).agg(F.avg("value").alias("idx"))
+    met = delayed_month_stream(_stream(spark, d, "events").select("event_id", "ts"), index, moment="ts", month="m", months_back=1, payload=["idx"])
+    return run_once(met.select("event_id", "idx"), f"delayed_{uuid.uuid4().hex}").select("event_id", r6("idx"))

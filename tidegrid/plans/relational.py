@@ -113,12 +113,16 @@ def src13_cache_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {WEEKLY} SELECT site, count(*) AS weeks FROM weekly GROUP BY site")
 def src14_load_or_run(spark: SparkSession, d: str) -> DataFrame:
-    return cache.load_or_run(spark, {"what": "weeks", "data": d}, lambda: weekly(spark, d).groupBy("site").agg(F.count("*").alias("weeks")), refresh=True)
+    """Run and stored, then asked for again, which loads it."""
+    run = lambda: weekly(spark, d).groupBy("site").agg(F.count("*").alias("weeks"))
+    wanted = {"what": "weeks", "data": d}
+    cache.load_or_run(spark, wanted, run, refresh=True, keep=False)
+    return cache.load_or_run(spark, wanted, lambda: run().limit(0))
 
 
 @query()
 def src16_manifest(spark: SparkSession, d: str) -> DataFrame:
-    return cache.manifest(spark, f"{d}/region.parquet")
+    return cache.manifest(spark, d)
 
 
 @query(f"""SELECT DISTINCT ON (k) k AS site, strftime(collect_date, '%Y-%m-%d %H:%M:%S') AS collected, x AS da FROM (
@@ -249,9 +253,12 @@ _ASOF = f"WITH {WEEKLY}, {PN}, best AS (SELECT site, t, max(pn) AS pn FROM pn GR
 SELECT site, strftime(week, '%Y-%m-%d') AS week, CASE WHEN epoch_us(CAST(week AS TIMESTAMP)) - epoch_us(dt) <= 7 * 86400000000 THEN flow END AS flow
 FROM weekly ASOF LEFT JOIN daily ON dt <= CAST(week AS TIMESTAMP)""")
 def join02_asof_no_key(spark: SparkSession, d: str) -> DataFrame:
+    """The series without key meets the distinct weeks, and these their sites: only they share one key."""
     daily = cell_counts(spark, d).groupBy(F.col("date").alias("dt")).agg(F.max("pn").alias("flow")).withColumn("all_sites", F.lit(1))
-    met = asof_join(weekly(spark, d).withColumn("all_sites", F.lit(1)), daily, by=["all_sites"], left_on="week", right_on="dt", payload=["flow"], tolerance_days=7)
-    return met.select("site", iso("week").alias("week"), "flow")
+    rows = weekly(spark, d)
+    weeks = rows.select("week").distinct().withColumn("all_sites", F.lit(1))
+    met = asof_join(weeks, daily, by=["all_sites"], left_on="week", right_on="dt", payload=["flow"], tolerance_days=7)
+    return rows.join(met.select("week", "flow"), "week").select("site", iso("week").alias("week"), "flow")
 
 
 @query(f"""{_ASOF} SELECT w.site, strftime(week, '%Y-%m-%d') AS week, CASE WHEN epoch_us(CAST(week AS TIMESTAMP)) - 7 * 86400000000 - epoch_us(b.t) <= 7 * 86400000000 THEN b.pn END AS pn

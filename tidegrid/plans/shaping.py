@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidegrid.config import SITES, EngineConfig
 from tidegrid.functions import classes as C
 from tidegrid.functions.scalars import site_key
+from tidegrid.operators import aggregates as A
 from tidegrid.operators import columns as K
 from tidegrid.operators import experiments as E
 from tidegrid.operators import metrics as M
@@ -88,7 +89,7 @@ def fn28_sorted_map(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH m AS (SELECT median(naive_prediction) AS m FROM forecast_responses) SELECT response_id, coalesce(naive_prediction, m) AS filled FROM forecast_responses, m")
 def fn30_median_fill(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "forecast_responses")
-    middle = rows.agg(F.median("naive_prediction")).first()[0]
+    middle = A.exact_quantile(rows, "naive_prediction")
     return rows.select("response_id", F.coalesce("naive_prediction", F.lit(middle)).alias("filled"))
 
 
