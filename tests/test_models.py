@@ -263,6 +263,21 @@ def test_tuning_and_experiments(spark, raw):
     assert len(backtest.seeded(tiny, (1, 2))) == 4
 
 
+def test_runs_are_judged_by_the_noise_of_the_seeds(spark):
+    rows = [("seed1_site", None, 0.5), ("seed2_site", None, 0.6), ("seed1_global", None, 0.4), ("seed2_global", None, 0.7),
+            ("seed1_site", "a", 0.3), ("seed1_global", "a", 0.1), ("seed2_site", "a", 0.2), ("seed2_global", "a", 0.1),
+            ("seed1_site", "b", 0.3), ("seed1_global", "b", 0.4), ("seed2_site", "b", 0.5), ("seed2_global", "b", 0.1)]
+    floor = experiments.noise_floor(spark.createDataFrame(rows, "experiment string, site string, r2 double"))
+    got = {r["site"]: r for r in floor.collect()}
+    assert np.allclose([got["pooled"][c] for c in ("on_mean", "on_std", "off_mean", "off_std", "delta_mean")], [0.55, 0.05, 0.55, 0.15, 0.0])
+    assert got["a"]["all_positive"] and not got["a"]["all_negative"] and not got["b"]["all_positive"]
+    runs = [("baseline", None, 0.5), ("up", None, 0.7), ("near", None, 0.45), ("down", None, 0.1), ("baseline", "a", 0.2), ("up", "a", 0.2)]
+    judged = experiments.significance(spark.createDataFrame([(*r, 1.0) for r in runs], "experiment string, site string, r2 double, mae double"), got["pooled"]["on_std"])
+    verdicts = {(r["experiment"], r["site"]): (r["verdict"], r["significant"]) for r in judged.collect()}
+    assert verdicts == {("up", "pooled"): ("keep", True), ("near", "pooled"): ("blend?", False), ("down", "pooled"): ("unstable", True), ("up", "a"): ("blend?", False)}
+    assert {tuple(r) for r in experiments.recommendations(judged, floor).collect()} == {("sensitive", "up"), ("sensitive", "down"), ("unstable", "b")}
+
+
 def test_perturbations_change_what_they_name(spark, raw):
     base = EngineConfig()
     found = backtest.perturbations(base)

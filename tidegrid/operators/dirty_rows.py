@@ -11,12 +11,12 @@ from __future__ import annotations
 import csv
 import re
 import sys
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from datetime import date
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.runtime import BROADCAST_ROWS, fits, materialise
@@ -155,17 +155,19 @@ def parse_lines(
     line_no: str = "line_no",
     raw: str = "raw_line",
     layouts: tuple[Layout, ...] = MEASUREMENT_LAYOUTS,
+    keep: Sequence[str] = (),
     block_lines: int = BLOCK_LINES,
     broadcast_deliveries: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """(line_id, delivery, line_no, measured_on, result, below_limit, reason, detail), one row per data line.
+    """(line_id, delivery, line_no, measured_on, result, below_limit, reason, detail, *keep), one row per data line.
 
     ``reason`` is NULL for a typed measurement, else ``quoting``, ``columns`` or ``values``,
     the first that applies in this order; ``detail`` says what was found. Line 1 of a delivery
     is its header and no data line; lines that are NULL or hold only blanks are none either.
     Lines of a delivery without header, of one whose header fits no layout, or without a
     delivery get the reason ``header``. Repeated lines are all kept, each under its own id;
-    further columns are ignored; an empty table gives an empty result.
+    further columns are ignored unless named in ``keep``, whose names must not be among those above; an
+    empty table gives an empty result.
 
     Headers are read first, as one layout number per delivery. Up to ``broadcast_deliveries`` of
     them are broadcast, and lines are then read once and not shuffled; more reach their lines by an
@@ -174,7 +176,7 @@ def parse_lines(
     """
     block = F.floor(F.col(line_no) / block_lines)
     body = lines.where((F.col(line_no) > 1) | F.col(line_no).isNull()).select(
-        F.col(line_id).alias("line_id"), F.col(delivery).alias("delivery_id"), F.col(line_no).alias("line_no"), F.col(raw).alias("raw_line"),
+        F.col(line_id).alias("line_id"), F.col(delivery).alias("delivery_id"), F.col(line_no).alias("line_no"), F.col(raw).alias("raw_line"), *keep,
     ).where(F.length(F.trim("raw_line", F.lit(_BLANKS))) > 0)
 
     def recognise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +194,7 @@ def parse_lines(
         body = body.withColumn("_block", block)
         keyed = body.select("delivery_id", "_block").distinct().join(headers, "delivery_id")
         joined = body.join(keyed, ["delivery_id", "_block"], "left")
-    kept = joined.select("line_id", "delivery_id", "line_no", "raw_line", "layout")
+    kept = joined.select("line_id", "delivery_id", "line_no", "raw_line", "layout", *keep)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         csv.field_size_limit(sys.maxsize)
@@ -220,15 +222,21 @@ def parse_lines(
                 [
                     batch.column(0), batch.column(1), batch.column(2),
                     pa.array(days, pa.date32()), pa.array(results, pa.float64()),
-                    pa.array(below, pa.bool_()), pa.array(reasons, pa.string()), pa.array(details, pa.string()),
+                    pa.array(below, pa.bool_()), pa.array(reasons, pa.string()), pa.array(details, pa.string()), *batch.columns[5:],
                 ],
-                ["line_id", "delivery_id", "line_no", "measured_on", "result", "below_limit", "reason", "detail"],
+                ["line_id", "delivery_id", "line_no", "measured_on", "result", "below_limit", "reason", "detail", *keep],
             )
 
-    schema = f"line_id {kinds['line_id']}, delivery_id {kinds['delivery_id']}, line_no {kinds['line_no']}, {_OUT}"
+    schema = f"line_id {kinds['line_id']}, delivery_id {kinds['delivery_id']}, line_no {kinds['line_no']}, {_OUT}" + "".join(f", {c} {kinds[c]}" for c in keep)
     return kept.mapInArrow(parse, schema)
 
 
+def is_header(raw: Column, layouts: tuple[Layout, ...] = MEASUREMENT_LAYOUTS) -> Column:
+    """Whether a line holds the names of a layout and nothing else, quotes, blanks and case aside."""
+    plain = F.lower(F.regexp_replace(raw, "[\ufeff\"\r]", ""))
+    return F.array_join(F.transform(F.split(plain, ","), lambda name: F.trim(name, F.lit(_BLANKS))), ",").isin([",".join(x.names) for x in layouts])
+
+
 def valid_rows(parsed: DataFrame) -> DataFrame:
     """The typed measurements of :func:`parse_lines`."""
     return parsed.where("reason IS NULL").drop("reason", "detail")

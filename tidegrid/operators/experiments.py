@@ -46,29 +46,66 @@ def transitions(results: DataFrame, raw: DataFrame, threshold: float = SPIKE) ->
     return met.drop("matched_on").withColumns({"is_transition": crossed, "is_actual_spike": F.col("actual") >= threshold, "is_non_spike": F.col("actual") < threshold})
 
 
-def anchor_persistence(training: DataFrame, keys: Sequence[str], value: str = "da_raw", day: str = "week", test: str = "test_date", spike: float = SPIKE) -> DataFrame:
-    """(*keys, last_observed, weeks_since_spike) from real training rows only; weeks count to the test date."""
-    real = training.where(F.col(value).isNotNull())
-    age = F.datediff(F.max(test), F.max(F.when(F.col(value) > spike, F.col(day)))) / 7.0
-    return real.groupBy(*keys).agg(F.max_by(value, day).alias("last_observed"), F.coalesce(age, F.lit(NO_SPIKE_WEEKS)).alias("weeks_since_spike"))
+#: The score of all sites together.
+POOLED = "pooled"
 
 
 def seeded_scores(weekly: DataFrame, seeds: Sequence[int]) -> DataFrame:
-    """(site, seed, mae): the error of persistence on the half of the weeks that each seed draws by hash."""
+    """(site, seed, mae): the error of persistence on the half of the weeks that each seed draws by hash; also of all sites, POOLED."""
     p = F.lag("da_raw").over(Window.partitionBy("site").orderBy("week"))
     rows = weekly.select("site", "week", "da_raw", p.alias("p")).where("p IS NOT NULL")
     drawn = rows.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
     key = F.md5(F.concat_ws("|", "site", F.col("week").cast("string"), F.col("seed").cast("string")))
-    return drawn.where(key < "8").groupBy("site", "seed").agg(F.avg(F.abs(F.col("da_raw") - F.col("p"))).alias("mae"))
+    scores = drawn.where(key < "8").groupingSets([["site", "seed"], ["seed"]], "site", "seed").agg(F.avg(F.abs(F.col("da_raw") - F.col("p"))).alias("mae"))
+    return scores.withColumn("site", F.coalesce("site", F.lit(POOLED)))
 
 
-def stability(scores: DataFrame, floor: float) -> DataFrame:
-    """(site, seeds, mean, noise, always_above_one): spread of a score over seeds, and whether it always exceeds the floor."""
+def stability(scores: DataFrame, bound: float) -> DataFrame:
+    """(site, seeds, mean, noise, always_above, always_below): spread of a score over seeds, and whether it always lies on one side of a bound."""
     return scores.groupBy("site").agg(
-        F.count("*").alias("seeds"), F.avg("mae").alias("mean"), F.stddev_pop("mae").alias("noise"), F.bool_and(F.col("mae") > floor).alias("always_above_one")
+        F.count("*").alias("seeds"), F.avg("mae").alias("mean"), F.stddev_pop("mae").alias("noise"),
+        F.bool_and(F.col("mae") > bound).alias("always_above"), F.bool_and(F.col("mae") < bound).alias("always_below"),
     )
 
 
+def noise_floor(scores: DataFrame) -> DataFrame:
+    """(site, on_mean, on_std, off_mean, off_std, delta_mean, delta_std, all_positive, all_negative) of seeded runs.
+
+    ``scores`` is (experiment, site, r2, ...) with experiments ``seedN_site`` and ``seedN_global``, runs of a
+    seed with and without settings of single sites; a NULL site is the total and comes out as POOLED. Deviations
+    are those of the population; seeds that lack a run have no delta.
+    """
+    seed, kind = F.regexp_extract("experiment", r"^(seed.*)_(site|global)$", 1), F.regexp_extract("experiment", r"^(seed.*)_(site|global)$", 2)
+    pick = lambda name: F.max(F.when(F.col("kind") == name, F.col("r2")))
+    runs = scores.select(F.coalesce("site", F.lit(POOLED)).alias("site"), seed.alias("seed"), kind.alias("kind"), "r2").where("kind <> ''")
+    paired = runs.groupBy("site", "seed").agg(pick("site").alias("on"), pick("global").alias("off")).withColumn("delta", F.col("on") - F.col("off"))
+    columns = [f(c).alias(f"{c}_{n}") for c in ("on", "off", "delta") for n, f in (("mean", F.avg), ("std", F.stddev_pop))]
+    return paired.groupBy("site").agg(*columns, F.bool_and(F.col("delta") > 0).alias("all_positive"), F.bool_and(F.col("delta") < 0).alias("all_negative"))
+
+
+def significance(scores: DataFrame, noise: float | None, baseline: str = "baseline") -> DataFrame:
+    """(experiment, site, r2, mae, delta_r2, threshold, significant, verdict) of runs against the baseline of their site.
+
+    A change of R2 counts if it exceeds twice the noise of the seeds, or 0.02 where no noise is known. The
+    verdict of a run that is better beyond that is ``keep``, of one within it ``blend?``, else ``unstable``.
+    """
+    threshold = 2.0 * noise if noise else 0.02
+    named = scores.withColumn("site", F.coalesce("site", F.lit(POOLED)))
+    base = named.where(F.col("experiment") == baseline).select("site", F.col("r2").alias("base"))
+    delta = F.col("r2") - F.col("base")
+    met = named.where(F.col("experiment") != baseline).join(base, "site").withColumns({"delta_r2": delta, "threshold": F.lit(threshold)})
+    met = met.withColumn("significant", F.abs("delta_r2") > F.col("threshold"))
+    verdict = F.when(F.col("delta_r2") > F.col("threshold"), "keep").when(~F.col("significant"), "blend?").otherwise("unstable")
+    return met.select("experiment", "site", "r2", "mae", "delta_r2", "threshold", "significant", verdict.alias("verdict"))
+
+
+def recommendations(judged: DataFrame, floor: DataFrame) -> DataFrame:
+    """(subject, name): what the runs suggest to look into, perturbations that count overall and sites whose gain changes its sign with the seed."""
+    moved = judged.where((F.col("site") == POOLED) & F.col("significant")).select(F.lit("sensitive").alias("subject"), F.col("experiment").alias("name"))
+    swaying = floor.where((F.col("site") != POOLED) & ~F.col("all_positive") & ~F.col("all_negative")).select(F.lit("unstable").alias("subject"), F.col("site").alias("name"))
+    return moved.unionByName(swaying)
+
+
 def against_baseline(scores: DataFrame, name: str, baseline: str, metric: str) -> DataFrame:
     """Adds ``delta`` to the baseline's score and a verdict; the scores are one row per experiment."""
     base = F.max(F.when(F.col(name) == baseline, F.col(metric))).over(Window.partitionBy(F.lit(0)))

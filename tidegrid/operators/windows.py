@@ -111,6 +111,20 @@ def history_counts(df: DataFrame, day: str = "date", lead_days: int = 7) -> Data
     return df.join(counted, ["site", day])
 
 
+def with_known_weeks(rows: DataFrame, weekly: DataFrame, day: str = "date", lead_days: int = 7) -> DataFrame:
+    """Adds n_weeks: the site's observed weeks that begin at least ``lead_days`` before the row's day.
+
+    Days and weeks of a site are merged once, and a running count over them answers every day.
+    """
+    days = rows.select("site", F.date_sub(day, lead_days).alias("_at")).distinct().withColumn("_n", F.lit(0))
+    known = weekly.select("site", F.col("week").alias("_at"), F.lit(1).alias("_n"))
+    so_far = Window.partitionBy("site").orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
+    counted = days.unionByName(known).groupBy("site", "_at").agg(F.sum("_n").alias("_n"), F.min("_n").alias("_asked")).select(
+        "site", F.date_add("_at", lead_days).alias(day), F.sum("_n").over(so_far).alias("n_weeks"), "_asked"
+    )
+    return rows.join(counted.where("_asked = 0").drop("_asked"), ["site", day])
+
+
 _HISTORY = "site string, test_date date, n long, mean double, q99 double, med double, lo double, hi double, last_observed double, weeks_since_spike double"
 
 

@@ -127,7 +127,10 @@ def eval01_by_site(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def eval02_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    return M.bootstrap_intervals(results(spark, d), key="response_id", actual="actual", models=["prediction", "naive_prediction"], replicates=2000)
+    """Intervals of each model from 2,000 resamples, of differences to the first from 10,000."""
+    rows, models = results(spark, d), ["prediction", "xgb_prediction", "rf_prediction", "naive_prediction"]
+    own = M.bootstrap_intervals(rows, key="response_id", actual="actual", models=models, replicates=2000).where("metric <> 'delta_r2'")
+    return own.unionByName(M.bootstrap_intervals(rows, key="response_id", actual="actual", models=models, replicates=10_000).where("metric = 'delta_r2'"))
 
 
 _CAT = "CASE WHEN {0} < 5 THEN 0 WHEN {0} < 20 THEN 1 WHEN {0} < 40 THEN 2 WHEN {0} >= 40 THEN 3 END"
@@ -174,17 +177,34 @@ _RATES = ("recall", "precision", "f1", "f2", "fnr", "fpr")
 _ALERT = "(coalesce(spike_probability >= 0.10, false) OR coalesce(prediction >= 12, false))"
 
 
-@query(f"WITH {RESULTS}, c AS (SELECT task, {_event_sql('actual >= 20', _ALERT)} FROM results WHERE spike_probability IS NOT NULL OR prediction IS NOT NULL GROUP BY task) {_rates('c', 'task,')}")
+_ARMS = {"hybrid": (_ALERT, "spike_probability IS NOT NULL OR prediction IS NOT NULL"), "regression": ("prediction >= 12", "prediction IS NOT NULL")}
+_ZONES = {"event": "actual >= 20", "transition": "actual >= 12 AND actual < 20"}
+_TABLES = " UNION ALL ".join(
+    f"SELECT task, '{z}' AS zone, '{arm}' AS arm, {_event_sql(event, alarm)} FROM results WHERE {known} GROUP BY task"
+    for z, event in _ZONES.items() for arm, (alarm, known) in _ARMS.items())
+
+
+@query(f"WITH {RESULTS}, c AS ({_TABLES}) {_rates('c', 'task, zone, arm,')}")
 def eval06_hybrid_alerts(spark: SparkSession, d: str) -> DataFrame:
-    rows = results(spark, d)
-    alarm = C.hybrid_alert(F.col("spike_probability"), F.col("prediction"))
-    return rows.groupBy("task").agg(*M.event_columns(C.is_spike(F.col("actual")), alarm)).select("task", "tp", "fp", "fn", "tn", *[r6(c) for c in _RATES])
+    """Events and the transition zone below them, by the hybrid alert and by the regression alone, in one pass."""
+    rows, p, a = results(spark, d), F.col("prediction"), F.col("actual")
+    alarms = {"hybrid": C.hybrid_alert(F.col("spike_probability"), p), "regression": p >= C.ALERT_PREDICTION}
+    events = {"event": C.is_spike(a), "transition": (a >= C.ALERT_PREDICTION) & (a < C.SPIKE)}
+    cases = F.array(*[F.struct(F.lit(z).alias("zone"), F.lit(n).alias("arm"), e.alias("event"), x.alias("alarm")) for z, e in events.items() for n, x in alarms.items()])
+    long = rows.select("task", F.explode(cases).alias("c")).select("task", "c.*").where("alarm IS NOT NULL")
+    return long.groupBy("task", "zone", "arm").agg(*M.event_columns(F.col("event"), F.col("alarm"))).select("task", "zone", "arm", "tp", "fp", "fn", "tn", *[r6(c) for c in _RATES])
+
+
+_ERRORS = "avg(abs(actual - predicted)) FILTER (WHERE actual >= 20) AS on_spikes, avg(abs(actual - predicted)) FILTER (WHERE actual < 20) AS off_spikes"
 
 
-@query(f"WITH {_LONG}, c AS (SELECT model, {_event_sql('actual >= 20', 'predicted >= 20')} FROM long WHERE predicted IS NOT NULL GROUP BY model) {_rates('c', 'model,')}")
+@query(f"""WITH {_LONG}, c AS (SELECT model, {_event_sql('actual >= 20', 'predicted >= 20')}, {_ERRORS} FROM long WHERE predicted IS NOT NULL GROUP BY model)
+{_rates('c', f"model, {q6('on_spikes')} AS mae_on_spikes, {q6('off_spikes')} AS mae_off_spikes,")}""")
 def eval07_spike_metrics(spark: SparkSession, d: str) -> DataFrame:
-    found = _long(spark, d).groupBy("model").agg(*M.event_columns(C.is_spike(F.col("actual")), C.is_spike(F.col("predicted"))))
-    return found.select("model", "tp", "fp", "fn", "tn", *[r6(c) for c in _RATES])
+    spike, error = C.is_spike(F.col("actual")), F.abs(F.col("actual") - F.col("predicted"))
+    found = _long(spark, d).where("predicted IS NOT NULL").groupBy("model").agg(
+        *M.event_columns(spike, C.is_spike(F.col("predicted"))), F.avg(F.when(spike, error)).alias("mae_on_spikes"), F.avg(F.when(~spike, error)).alias("mae_off_spikes"))
+    return found.select("model", "tp", "fp", "fn", "tn", *[r6(c) for c in (*_RATES, "mae_on_spikes", "mae_off_spikes")])
 
 
 _TRANSIT = f"""{RESULTS}, ups AS (SELECT site, date AS d0, max(da_raw) AS v FROM raw GROUP BY 1, 2),
@@ -395,16 +415,17 @@ def model21_first_order_indices(spark: SparkSession, d: str) -> DataFrame:
 # -- experiments ---------------------------------------------------------------------------------
 
 _SEEDS = (0, 1, 2, 3, 4)
-_RUNS = WEEKLY + ", runs AS (SELECT site, seed, week, da_raw, lag(da_raw) OVER (PARTITION BY site ORDER BY week) AS p FROM weekly, (SELECT unnest([0, 1, 2, 3, 4]) AS seed)), " + """one AS (
-  SELECT site, seed, avg(abs(da_raw - p)) AS mae FROM (SELECT site, week, da_raw, p, unnest([0, 1, 2, 3, 4]) AS seed FROM (SELECT *, lag(da_raw) OVER (PARTITION BY site ORDER BY week) AS p FROM weekly))
-  WHERE p IS NOT NULL AND md5(site || '|' || week::VARCHAR || '|' || seed::VARCHAR) < '8' GROUP BY 1, 2
+_RUNS = WEEKLY + """, drawn AS (
+  SELECT site, seed, abs(da_raw - p) AS e FROM (SELECT site, week, da_raw, p, unnest([0, 1, 2, 3, 4]) AS seed FROM (SELECT *, lag(da_raw) OVER (PARTITION BY site ORDER BY week) AS p FROM weekly))
+  WHERE p IS NOT NULL AND md5(site || '|' || week::VARCHAR || '|' || seed::VARCHAR) < '8'
 )"""
 
 
-@query(f"WITH {_RUNS} SELECT site, count(*) AS seeds, {q6('avg(mae)')} AS mean, {q6('stddev_pop(mae)')} AS noise, bool_and(mae > 1) AS always_above_one FROM one GROUP BY site")
+@query(f"""WITH {_RUNS}, per AS (SELECT site, avg(e) AS mae FROM drawn GROUP BY site, seed UNION ALL SELECT 'pooled', avg(e) FROM drawn GROUP BY seed)
+SELECT site, count(*) AS seeds, {q6('avg(mae)')} AS mean, {q6('stddev_pop(mae)')} AS noise, bool_and(mae > 10) AS always_above, bool_and(mae < 10) AS always_below FROM per GROUP BY site""")
 def exp04_seed_stability(spark: SparkSession, d: str) -> DataFrame:
-    scores = E.seeded_scores(weekly(spark, d), _SEEDS)
-    return E.stability(scores, 1.0).select("site", "seeds", r6("mean"), r6("noise"), "always_above_one")
+    """The noise floor of persistence over seeds, by site and pooled."""
+    return E.stability(E.seeded_scores(weekly(spark, d), _SEEDS), 10.0).select("site", "seeds", r6("mean"), r6("noise"), "always_above", "always_below")
 
 
 @query(f"""WITH {_LONG}, m AS (SELECT model, {_REG} FROM long WHERE predicted IS NOT NULL GROUP BY model), b AS (SELECT mae AS base FROM m WHERE model = 'blend')

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from tidegrid.functions import classes as C
 from tidegrid.functions.scalars import monday, reading_value, site_key
 from tidegrid.operators import aggregates as A
+from tidegrid.operators.dirty_rows import parse_lines
 from tidegrid.operators.joins import asof_join, delayed_month_join, leakage_report, training_rows
 from tidegrid.operators.series import lattice, month_shift, weekly_max
-from tidegrid.operators.windows import expanding_history, hashed_sample, history_counts
+from tidegrid.operators.windows import expanding_history, hashed_sample, history_counts, with_known_weeks
 from tidegrid.plans.base import KEY, PN, RAW, RESULTS, SERIES, WEEKLY, Catalogue, cell_counts, iso, q6, r6, raw, results, series, weekly
+from tidegrid.plans.problems_sql import _LINES
 from tidegrid.runtime import table
 from tidegrid.sources import cache, files
 
@@ -27,6 +29,17 @@ def src01_raw_series(spark: SparkSession, d: str) -> DataFrame:
     return raw(spark, d).select("sample_id", "site", iso("date").alias("date"), "da_raw")
 
 
+@query(f"""WITH {_LINES}, typed AS (
+  SELECT line_id, day, CASE WHEN NOT starts_with(result, '<') AND result <> '' THEN TRY_CAST(replace(result, ',', '') AS DOUBLE) END AS v FROM judged WHERE reason IS NULL
+) SELECT list_aggregate(list_transform(string_split(regexp_replace(regexp_replace(file_name, '\\.csv$', ''), '[-_](da|pn)$', ''), '-'), lambda w: upper(w[1]) || lower(w[2:])), 'string_agg', ' ') AS site,
+  day::VARCHAR AS date, count(*) AS n, {q6("sum(v)")} AS total FROM typed JOIN da_file_lines USING (line_id) WHERE v IS NOT NULL GROUP BY 1, 2""")
+def src01_file_series(spark: SparkSession, d: str) -> DataFrame:
+    """The measurements of all delivered files of both layouts, bad rows among them, by site and date."""
+    parsed = parse_lines(table(spark, d, "da_file_lines"), keep=["file_name"])
+    rows = files.series_of_lines(parsed, "file_name").groupBy("site", iso("date").alias("date"))
+    return rows.agg(F.count("*").alias("n"), r6(F.sum("da_raw"), "total"))
+
+
 @query("SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
 def src02_csv_to_parquet(spark: SparkSession, d: str) -> DataFrame:
     suppliers = table(spark, d, "supplier")
@@ -181,11 +194,15 @@ hist AS (SELECT site, date, coalesce(sum(n) OVER (PARTITION BY site ORDER BY dat
 total AS (SELECT site, count(*) AS n_site FROM raw GROUP BY site)"""
 
 
-@query(f"WITH {_HISTORY} SELECT r.sample_id, CAST(h.n_history AS BIGINT) AS n_history FROM raw r JOIN hist h USING (site, date) JOIN total USING (site) WHERE h.n_history >= greatest(ceil(0.33 * n_site), 10)")
+@query(f"""WITH {_HISTORY}, wk AS (SELECT site, date, (SELECT count(*) FROM weekly w WHERE w.site = per.site AND w.week <= CAST(per.date - 7 AS DATE)) AS n_weeks FROM per)
+SELECT r.sample_id, CAST(h.n_history AS BIGINT) AS n_history FROM raw r JOIN hist h USING (site, date) JOIN total USING (site) JOIN wk USING (site, date)
+WHERE h.n_history >= greatest(ceil(0.33 * n_site), 10) AND n_weeks >= 10""")
 def proj09_history_requirement(spark: SparkSession, d: str) -> DataFrame:
-    rows = raw(spark, d)
-    sizes = rows.groupBy("site").agg(F.count("*").alias("n_site"))
-    counted = history_counts(rows).join(sizes, "site")
+    """Enough rows, and ten observed weeks, at least a week before."""
+    rows = with_known_weeks(raw(spark, d), weekly(spark, d)).where("n_weeks >= 10")
+    everything = raw(spark, d)
+    sizes = everything.groupBy("site").agg(F.count("*").alias("n_site"))
+    counted = history_counts(everything).join(rows.select("sample_id"), "sample_id").join(sizes, "site")
     return counted.where(F.col("n_history") >= F.greatest(F.ceil(F.lit(0.33) * F.col("n_site")), F.lit(10))).select("sample_id", "n_history")
 
 
@@ -281,13 +298,16 @@ def join05_site_week(spark: SparkSession, d: str) -> DataFrame:
     return series(spark, d).join(weekly_max(cell_counts(spark, d), "pn"), ["site", "week"], "left").select("site", iso("week").alias("week"), "da_raw", "pn")
 
 
-@query(f"""WITH {RESULTS} SELECT a.response_id AS a_id, b.response_id AS b_id, a.xgb_prediction AS p, b.naive_prediction AS q
-FROM results a JOIN results b ON a.site = b.site AND a.date = b.date WHERE a.model = 'ensemble' AND b.model = 'naive' AND a.task = 'regression' AND b.task = 'regression'""")
+@query(f"""WITH {RESULTS}, pairs AS (SELECT a.response_id AS a_id, b.response_id AS b_id, a.xgb_prediction AS p, b.naive_prediction AS q
+FROM results a JOIN results b ON a.site = b.site AND a.date = b.date WHERE a.model = 'ensemble' AND b.model = 'naive' AND a.task = 'regression' AND b.task = 'regression')
+SELECT * FROM pairs WHERE (SELECT count(*) FROM pairs) >= 10""")
 def join06_paired_models(spark: SparkSession, d: str) -> DataFrame:
     rows = results(spark, d).where("task = 'regression'")
     a = rows.where("model = 'ensemble'").select("site", "date", F.col("response_id").alias("a_id"), F.col("xgb_prediction").alias("p"))
     b = rows.where("model = 'naive'").select("site", "date", F.col("response_id").alias("b_id"), F.col("naive_prediction").alias("q"))
-    return a.join(b, ["site", "date"]).select("a_id", "b_id", "p", "q")
+    pairs = a.join(b, ["site", "date"])
+    # fewer pairs than ten say nothing of either model
+    return pairs.where(F.lit(pairs.limit(10).count() >= 10)).select("a_id", "b_id", "p", "q")
 
 
 @query("""SELECT r.response_id, r.model AS model_response, q.model AS model_request, q.task AS task_request FROM forecast_responses r LEFT JOIN forecast_requests q ON r.request_id = q.request_id""")
@@ -535,16 +555,27 @@ def fn02_title_from_file(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "da_file_lines").select("file_name").distinct().withColumn("title", files.site_title(F.col("file_name")))
 
 
-@query("""SELECT c_custkey, '2004' || '-' || lpad(((c_custkey % 12) + 1)::VARCHAR, 2, '0') || '-' || lpad(((c_custkey % 28) + 1)::VARCHAR, 2, '0') AS day FROM customer""")
+_PARTS = "string_split(trim(raw_line, chr(32) || chr(9) || chr(13)), ',')"
+_NAMES = "['january','february','march','april','may','june','july','august','september','october','november','december']"
+
+
+@query(f"""WITH parts AS (SELECT line_id, lower(trim({_PARTS}[1])) AS m, trim({_PARTS}[2]) AS d, trim({_PARTS}[3]) AS y FROM da_file_lines)
+SELECT line_id, CASE WHEN list_position({_NAMES}, m) > 0 AND regexp_full_match(d, '[0-9]{{1,2}}') AND regexp_full_match(y, '[0-9]{{4}}')
+THEN TRY_CAST(y || '-' || lpad(list_position({_NAMES}, m)::VARCHAR, 2, '0') || '-' || lpad(d, 2, '0') AS DATE)::VARCHAR END AS day FROM parts""")
 def fn04_date_from_parts(spark: SparkSession, d: str) -> DataFrame:
-    month = F.date_format(F.make_date(F.lit(2000), F.col("c_custkey") % 12 + 1, F.lit(1)), "MMMM")
-    return table(spark, d, "customer").select("c_custkey", iso(files.date_from_parts(month, F.col("c_custkey") % 28 + 1, F.lit(2004))).alias("day"))
+    """Over all delivered lines, whatever they hold."""
+    parts = F.split(F.trim("raw_line", F.lit(" \t\r")), ",")
+    part = lambda n: F.get(parts, n)
+    return table(spark, d, "da_file_lines").select("line_id", iso(files.date_from_parts(part(0), part(1), part(2))).alias("day"))
 
 
-@query("SELECT o_orderkey, o_orderdate::DATE::VARCHAR AS day FROM orders")
+@query(f"""WITH dated AS (SELECT line_id, trim({_PARTS}[1]) AS x FROM da_file_lines)
+SELECT line_id, CASE WHEN regexp_full_match(x, '[0-9]{{1,2}}/[0-9]{{1,2}}/([0-9]{{4}}|[0-9]{{2}})') THEN TRY_CAST((CASE WHEN length(string_split(x, '/')[3]) = 2 THEN '20' ELSE '' END)
+|| string_split(x, '/')[3] || '-' || lpad(string_split(x, '/')[1], 2, '0') || '-' || lpad(string_split(x, '/')[2], 2, '0') AS DATE)::VARCHAR END AS day FROM dated""")
 def fn05_lenient_dates(spark: SparkSession, d: str) -> DataFrame:
-    text = F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "M/d/yyyy")).otherwise(F.date_format("o_orderdate", "MM/dd/yyyy"))
-    return table(spark, d, "orders").select("o_orderkey", iso(files.lenient_date(text)).alias("day"))
+    """Over all delivered lines, whatever they hold."""
+    first = F.get(F.split(F.trim("raw_line", F.lit(" \t\r")), ","), 0)
+    return table(spark, d, "da_file_lines").select("line_id", iso(files.lenient_date(first)).alias("day"))
 
 
 @query(f"""SELECT sample_id, CASE WHEN regexp_full_match(s, '(<[ \\t\\r]*)?[0-9]+(\\.[0-9]+)?') THEN (CASE WHEN starts_with(s, '<') THEN 0.5 ELSE 1.0 END) * CAST(regexp_extract(s, '[0-9]+(\\.[0-9]+)?') AS DOUBLE) END AS half

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegrid.functions.scalars import count_value, reading_value
+from tidegrid.functions.scalars import count_value
+from tidegrid.operators.dirty_rows import MONTHS, is_header, parse_lines, valid_rows
 from tidegrid.runtime import shared_dir
 
 
@@ -46,46 +47,61 @@ def site_title(file_name: Column) -> Column:
     return F.initcap(F.translate(F.regexp_replace(stem, "[-_](da|pn)$", ""), "-_", "  "))
 
 
+def _calendar_date(year: Column, month: Column, day: Column) -> Column:
+    """NULL where the calendar has no such date."""
+    text = F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
+    return F.to_date(F.try_to_timestamp(F.when(year.isNotNull() & month.isNotNull() & day.isNotNull(), text), F.lit("yyyy-MM-dd")))
+
+
 def date_from_parts(month: Column, day: Column, year: Column) -> Column:
-    """A month's English name, a day and a year of four digits; anything else is NULL."""
-    text = F.concat_ws(" ", F.initcap(F.trim(month)), F.trim(day.cast("string")), F.trim(year.cast("string")))
-    return F.to_date(F.try_to_timestamp(text, F.lit("MMMM d yyyy")))
+    """A month's full English name in any case, a day and a year of four digits; anything else is NULL."""
+    number = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.trim(month)))
+    plain = lambda c, pattern: F.when(F.trim(c).rlike(pattern), F.trim(c))
+    return _calendar_date(plain(year, "^[0-9]{4}$"), F.when(number > 0, number.cast("string")), plain(day, "^[0-9]{1,2}$"))
 
 
 def lenient_date(text: Column) -> Column:
-    """M/d/yyyy or M/d/yy, in one column mixed; anything else is NULL."""
+    """Month/day/year with a year of four digits, or of two meaning 20yy, mixed in one column; anything else is NULL."""
     trimmed = F.trim(text)
-    return F.to_date(F.coalesce(F.try_to_timestamp(trimmed, F.lit("M/d/yyyy")), F.try_to_timestamp(trimmed, F.lit("M/d/yy"))))
+    part = lambda n: F.when(trimmed.rlike(_SLASHED), F.regexp_extract(trimmed, _SLASHED, n))
+    year = part(3)
+    return _calendar_date(F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year), part(1), part(2))
+
+
+_SLASHED = "^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4}|[0-9]{2})$"
+
+
+def series_of_lines(parsed: DataFrame, file: str, censored: str = "drop") -> DataFrame:
+    """(date, site, da_raw) of the measurements of ``parse_lines`` that have a number; the site is the file's name.
+
+    Results below the reporting limit are dropped, or count as half with ``censored`` = ``half``.
+    """
+    rows = valid_rows(parsed).where("result IS NOT NULL")
+    rows = rows.where("NOT below_limit") if censored == "drop" else rows
+    value = F.when(F.col("below_limit"), F.col("result") / 2).otherwise(F.col("result"))
+    return rows.select(F.col("measured_on").alias("date"), site_title(F.col(file)).alias("site"), value.alias("da_raw"))
 
 
 def read_measurements(spark: SparkSession, paths: list[str], censored: str = "drop") -> DataFrame:
     """(date, site, da_raw) of CSV files in either layout, told apart by their header.
 
-    Layout A has ``CollectDate`` and ``Domoic Result``, layout B the month, day and year of the
-    harvest and ``Domoic Acid``. A byte-order mark is no part of the first name. Rows without
-    valid date or number are left out; the site is the file's name.
+    All files are read in one scan of lines, which are typed by :func:`parse_lines`: a file is a delivery,
+    and a line that holds the names of a layout its header. Lines that fail, and files without known
+    header, have no rows; :func:`failed_rows` has their reasons.
     """
-    parts = []
-    for path in paths:
-        rows = spark.read.option("header", True).csv(path).withColumn("site", site_title(F.lit(path)))
-        names = {c.lstrip("﻿").strip().lower(): c for c in rows.columns}
-        if {"collectdate", "domoic result"} <= names.keys():
-            day, value = lenient_date(F.col(f"`{names['collectdate']}`")), F.col(f"`{names['domoic result']}`")
-        elif {"harvest month", "harvest date", "harvest year", "domoic acid"} <= names.keys():
-            day = date_from_parts(*[F.col(f"`{names[n]}`") for n in ("harvest month", "harvest date", "harvest year")])
-            value = F.col(f"`{names['domoic acid']}`")
-        else:
-            raise ValueError(f"{path} has no known layout: {rows.columns}")
-        number = reading_value(value)
-        if censored == "drop":
-            number = F.when(~F.startswith(F.trim(value), F.lit("<")), number)
-        parts.append(rows.select(day.alias("date"), "site", number.alias("da_raw")).dropna())
-    if not parts:
+    if not paths:
         raise ValueError("no measurement file given")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return series_of_lines(read_lines(spark, paths), "file", censored)
+
+
+def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The lines of measurement files as typed rows, with ``file``, and the reason where one fails."""
+    lines = spark.read.text(paths).select(F.col("value").alias("raw_line"), F.col("_metadata.file_path").alias("file"))
+    numbered = lines.select(
+        F.monotonically_increasing_id().alias("line_id"), "raw_line", "file", F.col("file").alias("delivery_id"),
+        F.when(is_header(F.col("raw_line")), 1).otherwise(2).alias("line_no"),
+    )
+    return parse_lines(numbered, keep=["file"])
 
 
 def read_counts(spark: SparkSession, paths: list[str]) -> DataFrame:
