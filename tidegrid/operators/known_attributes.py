@@ -13,8 +13,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegrid.runtime import materialise
+
 #: Length of a time bucket in days.
 BUCKET_DAYS = 91
+#: Buckets of the events after the last change.
+LATE_BUCKETS = 64
 
 
 def validity_intervals(
@@ -56,20 +60,22 @@ def join_known(
     repeated events are all kept. Columns of the events may have any names: those of the
     intervals are put into the struct ``known``.
 
-    Dates past the last change fall into its bucket, so open intervals end there too and the
-    exploded side is bounded by changes and their time span. Both sides are hashed on entity and
-    bucket: an entity with many events is spread over its buckets.
+    The intervals are written once. Both sides are hashed on entity and bucket: an entity with many
+    events is spread over its buckets. Events past the bucket of the last change are spread over
+    LATE_BUCKETS more by a hash of their columns, to which the intervals that are still open are copied.
     """
+    intervals = materialise(intervals, "intervals")
     last = intervals.agg(F.floor(F.max("from_day") / bucket_days).cast("int")).first()[0]
     horizon = F.lit(0 if last is None else last)
-    bucket_of = lambda day: F.least(F.floor(day / bucket_days).cast("int"), horizon)
+    plain = lambda day: F.floor(day / bucket_days).cast("int")
+    end = F.when(F.col("to_day").isNull(), horizon + LATE_BUCKETS).otherwise(plain(F.col("to_day") - 1))
     spread = intervals.select(
         F.col("entity").alias("_entity"), F.struct(*[c for c in intervals.columns if c != "entity"]).alias("known"),
-        F.explode(F.sequence(
-            F.floor(F.col("from_day") / bucket_days).cast("int"),
-            F.coalesce(bucket_of(F.col("to_day") - 1), horizon),
-        )).alias("_bucket"),
+        F.explode(F.sequence(plain(F.col("from_day")), end)).alias("_bucket"),
     )
+    hashed = [F.col(c) for c, kind in events.dtypes if "map<" not in kind and "variant" not in kind]
+    late = horizon + 1 + F.pmod(F.xxhash64(*hashed), F.lit(LATE_BUCKETS)).cast("int")
+    bucket_of = lambda day: F.when(plain(day) > horizon, late).otherwise(plain(day))
     day = F.unix_date(F.to_date(event_date))
     dated = events.where(F.col(entity).isNotNull() & F.col(event_date).isNotNull()).withColumns(
         {"_entity": F.col(entity), "_day": day, "_bucket": bucket_of(day)}
