@@ -18,17 +18,22 @@ STRETCH_TOLERANCES = 28
 _NEVER = np.iinfo(np.int64).max // 4
 
 
+_Found = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
 class _Merge:
     """Both tables as one stream in order of group, time and side; right rows come first at a time.
 
-    Two pointers move over it: the last right record passed and the next one ahead. What is kept
-    between batches is the last right record and the left rows that still wait for the next.
+    Two pointers move along it: the last right record passed and the next one ahead, for the rows of a
+    batch by running maxima and minima of positions. Between batches only the last right record is held,
+    and apart from the stream the left rows that wait for the next, with the record before them.
     """
 
     def __init__(self, tolerance_us: int):
         self.tolerance = tolerance_us
-        self.kept = tuple(np.empty(0, np.int64) for _ in range(4))
         self.group, self.last_key = 0, None
+        self.last: tuple[int, int, int] | None = None
+        self.waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
 
     def _groups(self, batch: pa.RecordBatch) -> np.ndarray:
         entity, stretch = batch.column(0), batch.column(1)
@@ -42,44 +47,71 @@ class _Merge:
         self.group = int(groups[-1])
         return groups
 
-    def push(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        new = (self._groups(batch), *(batch.column(i).to_numpy() for i in (2, 3, 4)))
-        return self._advance(tuple(np.concatenate(x) for x in zip(self.kept, new)), False)
-
-    def finish(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return self._advance(self.kept, True)
+    def _choose(self, left: np.ndarray, before: np.ndarray, d_before: np.ndarray, after: np.ndarray, d_after: np.ndarray) -> _Found:
+        best, gap = np.where(d_before <= d_after, before, after), np.minimum(d_before, d_after)
+        done = gap <= self.tolerance
+        return left[done], best[done], gap[done]
+
+    def _release(self, chunks: list, after: int = 0, moment: int | None = None) -> list[_Found]:
+        """The waiting rows with the next right record, or without one."""
+        found = []
+        for left, times, before, d_before in chunks:
+            d_after = np.full(len(left), _NEVER) if moment is None else moment - times
+            found.append(self._choose(left, before, d_before, np.full(len(left), after), d_after))
+        return found
+
+    def push(self, batch: pa.RecordBatch) -> list[_Found]:
+        held = self.group
+        group, (moment, side, number) = self._groups(batch), (batch.column(i).to_numpy() for i in (2, 3, 4))
+        n = len(group)
+        place, right = np.arange(n), side == 0
+        found = []
+        if self.waiting:
+            ahead = np.flatnonzero(right & (group == held))
+            if len(ahead):
+                found += self._release(self.waiting, int(number[ahead[0]]), int(moment[ahead[0]]))
+                self.waiting = []
+            elif group[-1] != held:
+                found += self._release(self.waiting)
+                self.waiting = []
+            else:
+                # no right record can come near enough for those so far back
+                late = [times[-1] + self.tolerance < moment[-1] for _, times, _, _ in self.waiting]
+                found += self._release([c for c, gone in zip(self.waiting, late) if gone])
+                self.waiting = [c for c, gone in zip(self.waiting, late) if not gone]
 
-    def _advance(self, rows: tuple[np.ndarray, ...], final: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        group, moment, side, number = rows
-        right, left = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        if not len(group):
-            return number, number, moment
         # of right records at one time the first, with the smallest id, stands for all
-        same = np.zeros(len(right), bool)
-        same[1:] = (group[right[1:]] == group[right[:-1]]) & (moment[right[1:]] == moment[right[:-1]])
-        first = right[np.maximum.accumulate(np.where(same, 0, np.arange(len(right))))]
-        ahead = np.searchsorted(right, left)
-
-        def candidate(pick: np.ndarray, exists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            at = np.zeros(len(left), np.int64)
-            at[exists] = pick[exists]
-            exists = exists & (group[at] == group[left])
-            return at, np.where(exists, np.abs(moment[at] - moment[left]), _NEVER)
-
-        padded = np.append(first, 0)
-        before, d_before = candidate(padded[np.maximum(ahead - 1, 0)], ahead > 0)
-        after, d_after = candidate(np.append(right, 0)[ahead], ahead < len(right))
-        open_end = np.zeros(len(left), bool)
-        if not final:
-            open_end = (d_after == _NEVER) & (group[left] == group[-1]) & (moment[left] + self.tolerance >= moment[-1])
-            keep = left[open_end]
-            if len(right) and group[right[-1]] == group[-1]:
-                keep = np.append(first[-1], keep)
-            self.kept = tuple(x[keep] for x in rows)
-        best = np.where(d_before <= d_after, before, after)
-        gap = np.minimum(d_before, d_after)
-        done = ~open_end & (gap <= self.tolerance)
-        return number[left[done]], number[best[done]], gap[done]
+        opens = right.copy()
+        opens[1:] &= ~(right[:-1] & (group[1:] == group[:-1]) & (moment[1:] == moment[:-1]))
+        passed = np.maximum.accumulate(np.where(opens, place, -1))
+        coming = np.minimum.accumulate(np.where(opens, place, n)[::-1])[::-1]
+        left = np.flatnonzero(~right)
+        before, after = passed[left], coming[left]
+        has_before = (before >= 0) & (group[np.maximum(before, 0)] == group[left])
+        before_id = number[np.maximum(before, 0)]
+        d_before = np.where(has_before, moment[left] - moment[np.maximum(before, 0)], _NEVER)
+        if self.last is not None:
+            carried = ~has_before & (group[left] == self.last[0])
+            before_id = np.where(carried, self.last[2], before_id)
+            d_before = np.where(carried, moment[left] - self.last[1], d_before)
+        has_after = (after < n) & (group[np.minimum(after, n - 1)] == group[left])
+        d_after = np.where(has_after, moment[np.minimum(after, n - 1)] - moment[left], _NEVER)
+        after_id = number[np.minimum(after, n - 1)]
+        waits = ~has_after & (group[left] == group[-1])
+        settled = ~waits
+        found.append(self._choose(number[left[settled]], before_id[settled], d_before[settled], after_id[settled], d_after[settled]))
+        if waits.any():
+            self.waiting.append((number[left[waits]], moment[left[waits]], before_id[waits], d_before[waits]))
+        end = passed[-1]
+        if end >= 0 and group[end] == group[-1]:
+            self.last = int(group[end]), int(moment[end]), int(number[end])
+        elif self.last is not None and self.last[0] != group[-1]:
+            self.last = None
+        return found
+
+    def finish(self) -> list[_Found]:
+        chunks, self.waiting = self.waiting, []
+        return self._release(chunks)
 
 
 def nearest_in_time(
@@ -123,8 +155,8 @@ def nearest_in_time(
         state = _Merge(tolerance)
         for batch in batches:
             if len(batch):
-                yield _pairs(*state.push(batch))
-        yield _pairs(*state.finish())
+                yield from (_pairs(*found) for found in state.push(batch))
+        yield from (_pairs(*found) for found in state.finish())
 
     return ordered.mapInArrow(merge, "left_id long, right_id long, gap_seconds double")
 
