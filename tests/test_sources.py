@@ -45,6 +45,17 @@ def test_cache(spark, tmp_path):
     assert len(runs) == 1
 
 
+def test_tiers(spark, tmp_path):
+    fast, slow = str(tmp_path / "fast"), str(tmp_path / "slow")
+    runs = []
+    make = lambda: runs.append(1) or spark.range(3)
+    assert cache.tiered(spark, {"k": 1}, make, [slow]).count() == 3
+    assert cache.tiered(spark, {"k": 1}, make, [fast, slow]).count() == 3 and len(runs) == 1
+    assert cache.load_or_run(spark, {"k": 1}, make, root=fast).count() == 3 and len(runs) == 1
+    assert cache.tiered(spark, {"k": 2}, make, [fast, slow]).count() == 3 and len(runs) == 2
+    assert cache.load_or_run(spark, {"k": 2}, make, root=slow).count() == 3 and len(runs) == 2
+
+
 def test_streams(spark, tmp_path):
     rows = [("A", datetime.datetime(2020, 1, 6, 1), 5.0), ("A", datetime.datetime(2020, 1, 12, 23), 25.0), ("A", datetime.datetime(2020, 1, 13), 3.0)]
     schema = "site string, t timestamp, value double"

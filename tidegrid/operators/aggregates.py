@@ -136,6 +136,27 @@ def correlation_matrix(df: DataFrame) -> DataFrame:
     return row.select(F.explode(cells).alias("cell")).select("cell.a", "cell.b", "cell.r")
 
 
+def correlations_by(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """(*by, a, b, n, r): Pearson correlation of every pair of columns, a before b, per key and over rows where both are given.
+
+    ``r`` is NULL with fewer than three such rows or where either doesn't vary. All pairs take one aggregate.
+    """
+    cells = []
+    for i, a in enumerate(columns):
+        for b in columns[i + 1 :]:
+            both = F.col(a).isNotNull() & F.col(b).isNotNull()
+            x, y = F.when(both, F.col(a).cast("double")), F.when(both, F.col(b).cast("double"))
+            varies = (F.count(x) >= 3) & (F.var_pop(x) > 1e-12) & (F.var_pop(y) > 1e-12)
+            r = F.when(varies, F.covar_pop(x, y) / F.sqrt(F.var_pop(x) * F.var_pop(y)))
+            cells.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count(x).alias("n"), r.alias("r")))
+    return df.groupBy(*by).agg(F.array(*cells).alias("cells")).select(*by, F.explode("cells").alias("c")).select(*by, "c.*")
+
+
+def matrix_to_long(matrix: DataFrame, name: str, variable: str = "b", value: str = "r") -> DataFrame:
+    """A square table with a row and a column per name as (name, variable, value)."""
+    return matrix.unpivot([name], [c for c in matrix.columns if c != name], variable, value)
+
+
 def target_correlation(df: DataFrame, target: str, k: int) -> DataFrame:
     """(feature, r): the k columns of greatest absolute correlation with the target."""
     matrix = correlation_matrix(df).where((F.col("b") == target) & (F.col("a") != target))

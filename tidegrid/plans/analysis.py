@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegrid.config import EngineConfig, MODELS
@@ -15,10 +15,10 @@ from tidegrid.operators import aggregates as A
 from tidegrid.operators import experiments as E
 from tidegrid.operators import metrics as M
 from tidegrid.operators import spectral as S
-from tidegrid.operators.series import FIRST_WEEK, LAST_WEEK
+from tidegrid.operators.series import FIRST_WEEK, LAST_WEEK, weekly_max
 from tidegrid.operators.windows import decay_fill, forward_fill, observation_lags, persistence, rolling_past
 from tidegrid.plans import backtest
-from tidegrid.plans.base import KEY, RAW, RESULTS, SERIES, WEEKLY, Catalogue, cell_counts, iso, q6, r6, raw, results, series, weekly
+from tidegrid.plans.base import KEY, PN, RAW, RESULTS, SERIES, WEEKLY, Catalogue, cell_counts, iso, q6, r6, raw, results, series, weekly
 from tidegrid.plans.relational import _ANCHORS, _at_every_week
 from tidegrid.runtime import table
 from tidegrid.streaming.pipelines import alert_stream, delayed_month_stream, persistence_stream, run_once, run_updates, weekly_max_stream
@@ -407,9 +407,21 @@ def model20_permutation_importance(spark: SparkSession, d: str) -> DataFrame:
     return E.linear_sensitivity(table(spark, d, "lineitem"), "l_extendedprice", ["l_quantity"]).select("feature", r6("slope"), r6("permutation"))
 
 
-@query()
+_PLANE = f"""{WEEKLY}, l AS (SELECT da_raw AS y, lag(da_raw) OVER (PARTITION BY site ORDER BY week) AS previous, month(week) AS month FROM weekly),
+v AS (SELECT var_pop(y) AS vy, var_pop(previous) AS v1, var_pop(month) AS v2, covar_pop(previous, month) AS c, covar_pop(previous, y) AS c1, covar_pop(month, y) AS c2,
+      max(previous) - min(previous) AS r1, max(month) - min(month) AS r2 FROM l WHERE previous IS NOT NULL),
+b AS (SELECT *, (c1 * v2 - c2 * c) / (v1 * v2 - c * c) AS b1, (c2 * v1 - c1 * c) / (v1 * v2 - c * c) AS b2 FROM v),
+p AS (SELECT 'previous' AS feature, b1 AS slope, 2 * b1 ** 2 * v1 / vy AS permutation, (b1 * r1) ** 2 / ((b1 * r1) ** 2 + (b2 * r2) ** 2) AS first_order FROM b
+      UNION ALL SELECT 'month', b2, 2 * b2 ** 2 * v2 / vy, (b2 * r2) ** 2 / ((b1 * r1) ** 2 + (b2 * r2) ** 2) FROM b)"""
+
+
+@query(f"WITH {_PLANE} SELECT feature, {q6('slope')} AS slope, {q6('permutation')} AS permutation, {q6('first_order')} AS first_order FROM p")
 def model21_first_order_indices(spark: SparkSession, d: str) -> DataFrame:
-    return E.linear_sensitivity(table(spark, d, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"])
+    """How the weekly maximum depends on the one before and on the month."""
+    before = F.lag("da_raw").over(Window.partitionBy("site").orderBy("week"))
+    rows = weekly(spark, d).withColumns({"previous": before, "month": F.month("week")})
+    found = E.linear_sensitivity(rows, "da_raw", ["previous", "month"])
+    return found.select("feature", r6("slope"), r6("permutation"), r6("first_order"))
 
 
 # -- experiments ---------------------------------------------------------------------------------
@@ -444,6 +456,35 @@ def exp07_precompute(spark: SparkSession, d: str) -> DataFrame:
 # -- service queries -----------------------------------------------------------------------------
 
 
+_PAIRS = (("da_raw", "pn"), ("da_raw", "month"), ("pn", "month"))
+_VARIES = "count(*) FILTER (WHERE {0} IS NOT NULL AND {1} IS NOT NULL) >= 3 AND var_pop({0}) FILTER (WHERE {1} IS NOT NULL) > 1e-12 AND var_pop({1}) FILTER (WHERE {0} IS NOT NULL) > 1e-12"
+_CELLS = " UNION ALL ".join(
+    f"SELECT site, '{a}' AS a, '{b}' AS b, count(*) FILTER (WHERE {a} IS NOT NULL AND {b} IS NOT NULL) AS n, "
+    f"{q6(f'CASE WHEN {_VARIES.format(a, b)} THEN covar_pop({a}, {b}) / sqrt(var_pop({a}) FILTER (WHERE {b} IS NOT NULL) * var_pop({b}) FILTER (WHERE {a} IS NOT NULL)) END')} AS r FROM both_series GROUP BY site"
+    for a, b in _PAIRS)
+
+
+@query(f"""WITH {SERIES}, {PN}, wpn AS (SELECT site, CAST(date_trunc('week', date) AS DATE) AS week, max(pn) AS pn FROM pn GROUP BY 1, 2),
+both_series AS (SELECT site, da_raw, pn, month(week)::DOUBLE AS month FROM series LEFT JOIN wpn USING (site, week)) {_CELLS}""")
+def api_correlation(spark: SparkSession, d: str) -> DataFrame:
+    """Correlations of each site's series: toxin, cells and month."""
+    both = series(spark, d).join(weekly_max(cell_counts(spark, d), "pn"), ["site", "week"], "left").withColumn("month", F.month("week"))
+    return A.correlations_by(both, ["site"], ["da_raw", "pn", "month"]).select("site", "a", "b", "n", r6("r"))
+
+
+@query(f"WITH {WEEKLY} SELECT site, week::VARCHAR AS week, da_raw FROM (SELECT * FROM weekly WHERE week BETWEEN DATE '2010-01-01' AND DATE '2015-12-31' ORDER BY week DESC, site LIMIT 1000)")
+def api_historical_all(spark: SparkSession, d: str) -> DataFrame:
+    return historical(weekly(spark, d), first=date(2010, 1, 1), last=date(2015, 12, 31), limit=1000).select("site", iso("week").alias("week"), "da_raw")
+
+
+def historical(rows: DataFrame, *, site: str | None = None, first: date | None = None, last: date | None = None, limit: int | None = None) -> DataFrame:
+    """The latest ``limit`` weeks of one site or of all, between two dates, both included; None leaves a bound out."""
+    kept = rows
+    for column, condition in ((site, F.col("site") == site), (first, F.col("week") >= F.lit(first)), (last, F.col("week") <= F.lit(last))):
+        kept = kept if column is None else kept.where(condition)
+    return kept if limit is None else kept.orderBy(F.desc("week"), "site").limit(limit)
+
+
 @query(f"WITH {RAW} SELECT site, replace(site, ' ', '-') AS slug, count(*) AS n FROM raw GROUP BY 1")
 def api_sites(spark: SparkSession, d: str) -> DataFrame:
     return raw(spark, d).groupBy("site").agg(F.count("*").alias("n")).select("site", F.replace(F.col("site"), F.lit(" "), F.lit("-")).alias("slug"), "n")
@@ -451,8 +492,8 @@ def api_sites(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {WEEKLY} SELECT site, week::VARCHAR AS week, da_raw FROM (SELECT * FROM weekly WHERE site = 'copalis' AND week BETWEEN DATE '2005-01-01' AND DATE '2020-12-31' ORDER BY week DESC LIMIT 1000)")
 def api_historical_site(spark: SparkSession, d: str) -> DataFrame:
-    rows = weekly(spark, d).where("site = 'copalis' AND week BETWEEN DATE '2005-01-01' AND DATE '2020-12-31'")
-    return rows.orderBy(F.desc("week")).limit(1000).select("site", iso("week").alias("week"), "da_raw")
+    rows = historical(weekly(spark, d), site="copalis", first=date(2005, 1, 1), last=date(2020, 12, 31), limit=1000)
+    return rows.select("site", iso("week").alias("week"), "da_raw")
 
 
 @query(f"""WITH {RAW}, latest AS (SELECT site, arg_max(da_raw, (t, sample_id)) AS da FROM raw GROUP BY site), place AS (SELECT {KEY} AS site, avg(lat) AS lat, avg(lon) AS lon FROM site_profiles WHERE lat IS NOT NULL AND lon IS NOT NULL GROUP BY 1)

@@ -21,6 +21,10 @@ CATALOGUE = Catalogue()
 query = CATALOGUE.add
 
 
+_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_CORR = ", ".join(f"round(corr({a}, {b}) + 1e-9, 6) AS \"{a}|{b}\"" for a in _NUM for b in _NUM)
+
+
 # -- sources and sinks -------------------------------------------------------------------------
 
 
@@ -133,6 +137,19 @@ def src14_load_or_run(spark: SparkSession, d: str) -> DataFrame:
     return cache.load_or_run(spark, wanted, lambda: run().limit(0))
 
 
+@query(f"WITH m AS (SELECT {_CORR} FROM lineitem) SELECT string_split(pair, '|')[1] AS a, string_split(pair, '|')[2] AS b, r FROM (UNPIVOT m ON COLUMNS(*) INTO NAME pair VALUE r)")
+def src15_matrix_to_long(spark: SparkSession, d: str) -> DataFrame:
+    """A stored correlation matrix, a row and a column per name, read back and unpivoted."""
+    found = A.correlation_matrix(table(spark, d, "lineitem").select(*_NUM)).groupBy("a").pivot("b", _NUM).agg(F.first("r"))
+    stored = spark.read.schema(found.schema).json(files.write_json(found, files.scratch(spark, "matrix")))
+    return A.matrix_to_long(stored, "a").select("a", "b", r6("r"))
+
+
+@query()
+def agg28_total_size(spark: SparkSession, d: str) -> DataFrame:
+    return cache.manifest(spark, d).agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"))
+
+
 @query()
 def src16_manifest(spark: SparkSession, d: str) -> DataFrame:
     return cache.manifest(spark, d)
@@ -438,10 +455,6 @@ def agg12_mean_across_sites(spark: SparkSession, d: str) -> DataFrame:
     return series(spark, d).groupBy(iso("week").alias("week")).agg(F.count("da_raw").alias("n"), r6(F.avg("da_raw"), "mean"))
 
 
-_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-_CORR = ", ".join(f"round(corr({a}, {b}) + 1e-9, 6) AS \"{a}|{b}\"" for a in _NUM for b in _NUM)
-
-
 @query(f"WITH m AS (SELECT {_CORR} FROM lineitem) SELECT string_split(pair, '|')[1] AS a, string_split(pair, '|')[2] AS b, r FROM (UNPIVOT m ON COLUMNS(*) INTO NAME pair VALUE r)")
 def agg15_correlation_matrix(spark: SparkSession, d: str) -> DataFrame:
     return A.correlation_matrix(table(spark, d, "lineitem").select(*_NUM)).select("a", "b", r6("r"))
@@ -463,9 +476,6 @@ def agg19_class_weights(spark: SparkSession, d: str) -> DataFrame:
     return A.balanced_weights(weekly(spark, d).select(C.category_right_closed(F.col("da_raw")).alias("category")), "category").select("category", "n", r6("weight"))
 
 
-_IMPORTANCE = """long AS (SELECT site, sampling_plan AS feature, spike_threshold AS gain FROM site_profiles WHERE sampling_plan IS NOT NULL)"""
-
-
 def _maps(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "site_profiles").where("sampling_plan IS NOT NULL")
     per = rows.groupBy("site", "sampling_plan").agg(F.avg("spike_threshold").alias("g"))
@@ -619,7 +629,7 @@ def fn17_clip(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""SELECT response_id, {q6("CASE WHEN xgb_prediction IS NOT NULL AND rf_prediction IS NOT NULL THEN 0.56 * xgb_prediction + 0.44 * rf_prediction WHEN xgb_prediction IS NOT NULL THEN xgb_prediction ELSE rf_prediction END")} AS blended,
        CASE WHEN spike_probability IS NOT NULL OR prediction IS NOT NULL THEN coalesce(spike_probability >= 0.10, false) OR coalesce(prediction >= 12, false) END AS alert FROM forecast_responses""")
 def fn18_blend_and_alert(spark: SparkSession, d: str) -> DataFrame:
-    blended = C.blend((F.col("xgb_prediction"), F.lit(0.56)), (F.col("rf_prediction"), F.lit(0.44)))
+    blended = C.blend((F.col("xgb_prediction"), F.lit(0.56)), (F.col("rf_prediction"), F.lit(0.44)), (F.col("naive_prediction"), F.lit(0.0)))
     return table(spark, d, "forecast_responses").select("response_id", r6(blended, "blended"), C.hybrid_alert(F.col("spike_probability"), F.col("prediction")).alias("alert"))
 
 

@@ -14,7 +14,7 @@ from tidegrid.operators import experiments as E
 from tidegrid.operators import metrics as M
 from tidegrid.operators.windows import observation_lags
 from tidegrid.plans import backtest
-from tidegrid.plans.analysis import _TRANSIT
+from tidegrid.plans.analysis import _ROWS, _TRANSIT
 from tidegrid.plans.relational import _PER, _maps
 from tidegrid.plans.base import KEY, PN, RESULTS, SERIES, WEEKLY, Catalogue, cell_counts, iso, q6, r6, raw, results, series, weekly
 from tidegrid.operators.series import on_lattice, weekly_max
@@ -41,13 +41,20 @@ def proj16_named_rename(spark: SparkSession, d: str) -> DataFrame:
     return K.rename(rows, {"xgb_prediction": "boosted", "rf_prediction": "forest"})
 
 
-_SUBSETS = {"Copalis": ["weekly", "seasonal"], "Long Beach": ["weekly"]}
+_KEPT = ("last_observed", "prev_obs_1", "roll_mean_4", "month")
+_SUBSETS = {name: own.features for name, own in SITES.items() if own.features}
+_LISTED = ", ".join(f"('{n}', '{f}')" for n, features in _SUBSETS.items() for f in features)
 
 
-@query(f"""WITH {_PER} SELECT site, feature, g FROM per WHERE site NOT IN ('Copalis', 'Long Beach') OR (site = 'Copalis' AND feature IN ('weekly', 'seasonal')) OR (site = 'Long Beach' AND feature = 'weekly')""")
+@query(f"""WITH {SERIES}, {_ROWS}, wide AS (SELECT s.site, s.week, k.last_observed, k.prev_obs_1, k.roll_mean_4, month(s.week)::DOUBLE AS month FROM series s JOIN known k ON k.site = s.site AND k.anchor = s.week - 7),
+long AS ({' UNION ALL '.join(f"SELECT site, week, '{c}' AS feature, {c} AS value FROM wide" for c in _KEPT)}), own(site, feature) AS (VALUES {_LISTED})
+SELECT site, week::VARCHAR AS week, feature, {q6('value')} AS value FROM long l WHERE site NOT IN (SELECT site FROM own) OR EXISTS (SELECT 1 FROM own o WHERE o.site = l.site AND o.feature = l.feature)""")
 def proj19_site_features(spark: SparkSession, d: str) -> DataFrame:
-    kept = K.keep_site_features(_maps(spark, d), "feature_importance", _SUBSETS)
-    return kept.select("site", F.explode("feature_importance").alias("feature", "g"))
+    """Each week's features, cut to those that its site is configured to use."""
+    rows = backtest.training_frame(raw(spark, d), cell_counts(spark, d))
+    entries = F.create_map(*[x for c in _KEPT for x in (F.lit(c), F.col(c).cast("double"))])
+    kept = K.keep_site_features(rows.select("site", "week", entries.alias("features")), "features", _SUBSETS)
+    return kept.select("site", iso("week").alias("week"), F.explode("features").alias("feature", "value")).select("site", "week", "feature", r6("value"))
 
 
 @query("SELECT coalesce(prediction, 0.0) AS prediction, 0.0::DOUBLE AS absent, coalesce(rf_prediction, 0.0) AS rf_prediction FROM forecast_responses")

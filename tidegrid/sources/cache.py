@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +41,10 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS"))
 
 
+def _stored(config: dict) -> str:
+    return "result-" + hashlib.sha256(json.dumps(config, sort_keys=True, default=str).encode()).hexdigest()[:24]
+
+
 def load_or_run(
     spark: SparkSession, config: dict, run: Callable[[], DataFrame], *, root: str | None = None, refresh: bool = False, keep: bool = True
 ) -> DataFrame:
@@ -48,8 +52,7 @@ def load_or_run(
 
     Without ``keep`` what is stored goes with the session.
     """
-    name = hashlib.sha256(json.dumps(config, sort_keys=True, default=str).encode()).hexdigest()[:24]
-    path = f"{(root or shared_dir(spark)).rstrip('/')}/result-{name}"
+    path = f"{(root or shared_dir(spark)).rstrip('/')}/{_stored(config)}"
     if refresh or not _exists(spark, path):
         run().write.mode("overwrite").parquet(path)
         if not keep:
@@ -57,6 +60,20 @@ def load_or_run(
     return spark.read.parquet(path)
 
 
+def tiered(spark: SparkSession, config: dict, run: Callable[[], DataFrame], roots: Sequence[str]) -> DataFrame:
+    """The table stored for this configuration in the first root that has it, the fastest first; if none has, it is run.
+
+    What is found or run is written through to all roots before the one it came from.
+    """
+    name = _stored(config)
+    held = next((i for i, root in enumerate(roots) if _exists(spark, f"{root.rstrip('/')}/{name}")), None)
+    found = run() if held is None else spark.read.parquet(f"{roots[held].rstrip('/')}/{name}")
+    for root in reversed(roots[:held]):
+        found.write.mode("overwrite").parquet(f"{root.rstrip('/')}/{name}")
+        found = spark.read.parquet(f"{root.rstrip('/')}/{name}")
+    return found
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """(file, bytes) of the files under a path, without reading them."""
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
