@@ -239,6 +239,20 @@ def test_single_forecast_and_configuration(spark, raw):
         EngineConfig(test_fraction=0)
 
 
+def test_options_given_as_text():
+    base = EngineConfig()
+    found = base.with_options({
+        "lags": "1,3", "per_site": "false", "clip_quantile": "none", "forest": '{"depth": 16, "trees": 600}', "features": "minimal", "drop_features": "month, pn_log",
+        "holdout_from": "2019-01-01", "seed": "7", "test_fraction": "0.5",
+    })
+    assert (found.lags, found.per_site, found.clip_quantile, found.forest.trees, found.seed, found.test_fraction) == ((1, 3), False, None, 600, 7, 0.5)
+    assert found.drop_features == ("month", "pn_log") and found.holdout_from == date(2019, 1, 1) and found.sites["kalaloch"].cap is None
+    assert base.with_options({"lags": "none"}).lags == () and base.with_options({}) == base
+    for wrong in ({"no_such": "1"}, {"lags": "0"}, {"per_site": "perhaps"}, {"clip_quantile": "2"}, {"features": "some"}, {"horizon_weeks": "0"}):
+        with pytest.raises((ValueError, KeyError)):
+            base.with_options(wrong)
+
+
 def test_site_features_and_bounds(spark, raw):
     rows = backtest.training_frame(raw, None, SMALL).where("site = 'copalis'").toPandas()
     names = backtest.feature_columns(backtest.training_frame(raw, None, SMALL), SMALL)

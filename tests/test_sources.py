@@ -1,5 +1,6 @@
 import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidegrid.sources import cache, files
@@ -18,8 +19,26 @@ def test_measurement_files(spark, tmp_path):
 
 def test_count_files(spark, tmp_path):
     a = tmp_path / "long-beach-pn.csv"
-    a.write_text('Date,Pseudo-nitzschia count (Cells/L)\n01/10/02,"4,000"\n1/3/2003, 50\n,\n', encoding="utf-8")
-    assert sorted((str(r["date"]), r["pn"]) for r in files.read_counts(spark, [str(a)]).collect()) == [("2002-01-10", 4000.0), ("2003-01-03", 50.0)]
+    a.write_text('\ufeffDate,Pseudo-nitzschia count (Cells/L)\n01/10/02,"4,000"\n1/3/2003, 50\n,\n1/4/2003,"5\nshort\n', encoding="utf-8")
+    b = tmp_path / "newport-pn.csv"
+    b.write_text("Total Pseudo-nitzschia,Note,DATE\n7,x,2/30/2003\n8,,3/1/2003\n", encoding="utf-8")
+    (tmp_path / "other-pn.csv").write_text("a,b\n1/1/2003,5\n", encoding="utf-8")
+    got = files.read_counts(spark, [str(x) for x in (a, b, tmp_path / "other-pn.csv")]).collect()
+    assert sorted((str(r["date"]), r["site"], r["pn"]) for r in got) == [("2002-01-10", "Long Beach", 4000.0), ("2003-01-03", "Long Beach", 50.0), ("2003-03-01", "Newport", 8.0)]
+    with pytest.raises(ValueError):
+        files.read_counts(spark, [])
+
+
+def test_a_failed_chunk_costs_no_other(spark):
+    def fetch(address):
+        if address.startswith("bad"):
+            raise OSError("gone")
+        return address.encode()
+
+    tasks = spark.createDataFrame([(1, "good/1"), (2, "bad/2"), (3, None), (4, "good/4")], "n int, url string")
+    got = {r["n"]: (r["body"] and bytes(r["body"]), r["error"]) for r in files.fetch_chunks(tasks, "url", fetch, attempts=2).collect()}
+    assert got == {1: (b"good/1", None), 2: (None, "OSError: gone"), 3: (None, "no address"), 4: (b"good/4", None)}
+    assert files.fetch_chunks(tasks.limit(0), "url", fetch).count() == 0
 
 
 def test_flow_json(spark):

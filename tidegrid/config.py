@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
 from datetime import date
 
@@ -117,7 +119,7 @@ class EngineConfig:
     history_fraction: float = 0.33
     min_history: int = 10
     holdout_from: date | None = None
-    clip_quantile: float = 0.99
+    clip_quantile: float | None = 0.99
     anchor_max_age_days: int = 28
     lags: tuple[int, ...] = (1, 2, 3, 4)
     da_decay: float = 0.2
@@ -131,13 +133,51 @@ class EngineConfig:
     use_interpolated: bool = True
     monotone: bool = True
     derived_features: bool = True
+    drop_features: tuple[str, ...] = ()
     sites: dict[str, SiteSettings] = field(default_factory=lambda: dict(SITES))
 
     def __post_init__(self) -> None:
         if not 0 < self.test_fraction <= 1 or not 0 <= self.history_fraction <= 1:
             raise ValueError("fractions must lie within 0 and 1")
-        if self.horizon_weeks < 1 or self.min_training < 2:
-            raise ValueError("the horizon must be a week at least and a training set two rows")
+        if self.horizon_weeks < 1 or self.min_training < 2 or self.min_history < 1:
+            raise ValueError("the horizon and history must be one at least and a training set two rows")
+        if self.clip_quantile is not None and not 0 < self.clip_quantile <= 1:
+            raise ValueError("the clip quantile must lie within 0 and 1")
+        if any(k < 1 for k in self.lags) or len(set(self.lags)) != len(self.lags):
+            raise ValueError("lags must be distinct and one at least")
+        if min(self.da_decay, self.pn_decay) < 0 or self.bootstrap_rounds < 0:
+            raise ValueError("decay rates and rounds must not be negative")
+
+    def with_options(self, options: Mapping[str, str]) -> EngineConfig:
+        """The configuration with options given as text, as an environment holds them; an unknown name is an error.
+
+        ``lags`` are numbers or ``none``, ``clip_quantile`` a number or ``none`` (then at single sites too),
+        ``forest`` a JSON object of ForestSettings, ``features`` is ``all`` or ``minimal`` for single sites,
+        ``drop_features`` names, ``holdout_from`` a date; the others are numbers, ``true`` or ``false``.
+        """
+        config = self
+        for name, text in options.items():
+            text = text.strip()
+            if name == "lags":
+                config = config.but(lags=() if text == "none" else tuple(int(k) for k in text.split(",")))
+            elif name == "clip_quantile":
+                quantile = None if text == "none" else float(text)
+                config = config.at_sites(clip_quantile=quantile, cap=None).but(clip_quantile=quantile)
+            elif name == "forest":
+                config = config.but(forest=replace(config.forest, **json.loads(text)))
+            elif name == "features":
+                config = config.at_sites(features={"all": (), "minimal": MINIMAL}[text])
+            elif name == "drop_features":
+                config = config.but(drop_features=tuple(f.strip() for f in text.split(",") if f.strip()))
+            elif name == "holdout_from":
+                config = config.but(holdout_from=date.fromisoformat(text))
+            elif isinstance(getattr(config, name, None), bool):
+                config = config.but(**{name: {"true": True, "false": False}[text.lower()]})
+            elif isinstance(getattr(config, name, None), (int, float)):
+                config = config.but(**{name: type(getattr(config, name))(text)})
+            else:
+                raise ValueError(f"no such option: {name}")
+        return config
 
     def site(self, name: str) -> SiteSettings:
         return self.sites.get(name, SiteSettings()) if self.per_site else SiteSettings()

@@ -20,7 +20,8 @@ from tidegrid.operators.windows import decay_fill, forward_fill, observation_lag
 from tidegrid.plans import backtest
 from tidegrid.plans.base import KEY, PN, RAW, RESULTS, SERIES, WEEKLY, Catalogue, cell_counts, iso, q6, r6, raw, results, series, weekly
 from tidegrid.plans.relational import _ANCHORS, _at_every_week
-from tidegrid.runtime import table
+from tidegrid.runtime import discard_at_end, table
+from tidegrid.sources.files import scratch
 from tidegrid.streaming.pipelines import alert_stream, delayed_month_stream, persistence_stream, run_once, run_updates, weekly_max_stream
 
 CATALOGUE = Catalogue()
@@ -447,10 +448,20 @@ def exp01_against_baseline(spark: SparkSession, d: str) -> DataFrame:
     return E.against_baseline(found, "model", "blend", "mae").select("model", "mae", r6("delta"), "verdict")
 
 
-@query(f"""WITH {RESULTS} SELECT task, coalesce(model, 'ensemble') AS model, count(*) AS n, {q6('avg(abs(actual - naive_prediction))')} AS mae FROM results GROUP BY 1, 2""")
+_STORED = {"ensemble": "prediction", "xgboost": "xgb_prediction", "rf": "rf_prediction", "naive": "naive_prediction"}
+_COMBINED = " UNION ALL ".join(f"SELECT '{t}' AS task, '{m}' AS model, actual, {c} AS p FROM results WHERE {c} IS NOT NULL" for t in ("regression", "classification") for m, c in _STORED.items())
+
+
+@query(f"""WITH {RESULTS}, c AS ({_COMBINED}) SELECT task, model, count(*) AS n, {q6('avg(abs(actual - p))')} AS mae,
+count(*) FILTER (WHERE p > 20) AS high_or_more FROM c GROUP BY 1, 2""")
 def exp07_precompute(spark: SparkSession, d: str) -> DataFrame:
-    rows = results(spark, d).groupBy("task", F.coalesce("model", F.lit("ensemble")).alias("model"))
-    return rows.agg(F.count("*").alias("n"), r6(F.avg(F.abs(F.col("actual") - F.col("naive_prediction"))), "mae"))
+    """All tasks and models of the stored forecasts, written by both and summed up from what was written."""
+    rows = results(spark, d).withColumnRenamed("date", "test_date")
+    path = scratch(spark, "precomputed")
+    stored = backtest.precompute(rows, _STORED, path)
+    discard_at_end(spark, path)
+    return stored.groupBy("task", "model").agg(
+        F.count("*").alias("n"), r6(F.avg(F.abs(F.col("actual") - F.col("predicted"))), "mae"), F.count_if(F.col("predicted_category") >= 2).alias("high_or_more"))
 
 
 # -- service queries -----------------------------------------------------------------------------

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegrid.functions.scalars import count_value
-from tidegrid.operators.dirty_rows import MONTHS, is_header, parse_lines, valid_rows
-from tidegrid.runtime import shared_dir
+from tidegrid.operators.dirty_rows import MONTHS, QuotingError, is_header, parse_lines, read_fields, valid_rows
+from tidegrid.runtime import discard_at_end, fits, shared_dir
 
 
 def scratch(spark: SparkSession, label: str) -> str:
@@ -20,6 +22,8 @@ def scratch(spark: SparkSession, label: str) -> str:
 
 def _write(df: DataFrame, kind: str, path: str, **options) -> str:
     df.write.mode("overwrite").format(kind).options(**options).save(path)
+    if path.startswith(shared_dir(df.sparkSession)):
+        discard_at_end(df.sparkSession, path)
     return path
 
 
@@ -105,21 +109,69 @@ def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def read_counts(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(date, site, pn) of cell-count files; the count's column is the one that names the genus."""
-    parts = []
-    for path in paths:
-        rows = spark.read.option("header", True).csv(path).withColumn("site", site_title(F.lit(path)))
-        count = next((c for c in rows.columns if "pseudo" in c.lower() and "nitzschia" in c.lower()), None)
-        day = next((c for c in rows.columns if c.lstrip("﻿").strip().lower() == "date"), None)
-        if count is None or day is None:
-            raise ValueError(f"{path} has no date or no count column: {rows.columns}")
-        parts.append(rows.select(lenient_date(F.col(f"`{day}`")).alias("date"), "site", count_value(F.col(f"`{count}`")).alias("pn")).dropna())
-    if not parts:
+    """(date, site, pn) of cell-count files; the count's column is the one that names the genus.
+
+    All files are read in one scan of lines. A file's header is its first line that names a date and the
+    genus, and says where both stand; lines with bad quotes, too few fields, no date or no number, and files
+    without header have no rows.
+    """
+    if not paths:
         raise ValueError("no count file given")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
+    names = F.lower("line")
+    headers = lines.where(names.contains("date") & names.contains("pseudo") & names.contains("nitzschia")).groupBy("file").agg(F.min("line").alias("header"))
+    met = lines.join(F.broadcast(headers) if fits(headers) else headers, "file").where("line <> header").select("file", "line", "header")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places: dict[str, tuple[int, int] | None] = {}
+        for batch in batches:
+            rows = []
+            for file, line, header in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if header not in places:
+                    fields = [f.lstrip("\ufeff").strip().lower() for f in read_fields(header)]
+                    count = next((i for i, f in enumerate(fields) if "pseudo" in f and "nitzschia" in f), None)
+                    places[header] = (fields.index("date"), count) if "date" in fields and count is not None else None
+                if places[header] is None:
+                    continue
+                try:
+                    fields = read_fields(line)
+                except QuotingError:
+                    continue
+                if len(fields) > max(places[header]):
+                    rows.append((file, *(fields[i] for i in places[header])))
+            columns = list(zip(*rows)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["file", "day", "count"])
+
+    typed = met.mapInArrow(cut, "file string, day string, count string")
+    return typed.select(lenient_date(F.col("day")).alias("date"), site_title(F.col("file")).alias("site"), count_value(F.col("count")).alias("pn")).dropna()
+
+
+def fetch_chunks(tasks: DataFrame, url: str, fetch: Callable[[str], bytes], attempts: int = 3) -> DataFrame:
+    """The download tasks with (body, error): each URL is fetched on an executor, a failed one again and then passed over.
+
+    ``fetch`` gives the bytes of a URL or raises. A chunk that fails every time has a NULL body and the last
+    error, so one bad chunk costs no other; a NULL URL is an error of its own. Tasks are spread evenly, as
+    they have few rows and long waits.
+    """
+    spread = tasks.repartition(4 * tasks.sparkSession.sparkContext.defaultParallelism)
+    at = spread.columns.index(url)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bodies, errors = [], []
+            for address in batch.column(at).to_pylist():
+                body, error = None, "no address"
+                for _ in range(attempts if address is not None else 0):
+                    try:
+                        body, error = fetch(address), None
+                        break
+                    except Exception as failure:  # whatever a source may raise
+                        error = f"{type(failure).__name__}: {failure}"
+                bodies.append(body)
+                errors.append(error)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bodies, pa.binary()), pa.array(errors, pa.string())], [*batch.schema.names, "body", "error"])
+
+    return spread.mapInArrow(run, T.StructType([*spread.schema.fields, T.StructField("body", T.BinaryType()), T.StructField("error", T.StringType())]))
 
 
 def month_chunks(pairs: DataFrame, first: str, last: str, url: Column) -> DataFrame:
