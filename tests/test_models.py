@@ -131,9 +131,14 @@ def test_bootstrap_is_independent_of_partitions_and_covers(spark):
     a = RNG.gamma(2, 5, 400)
     pdf = pd.DataFrame({"id": np.arange(400), "a": a, "p": a + RNG.normal(0, 2, 400), "q": a + RNG.normal(0, 4, 400)})
     df = spark.createDataFrame(pdf)
-    run = lambda x: {(r["model"], r["metric"]): tuple(round(r[c], 9) for c in ("low", "mid", "high")) for r in metrics.bootstrap_intervals(x, key="id", actual="a", models=["p", "q"], replicates=200).collect()}
+    run = lambda x: {(r["model"], r["metric"]): tuple(None if r[c] is None else round(r[c], 9) for c in ("low", "mid", "high")) for r in metrics.bootstrap_intervals(x, key="id", actual="a", models=["p", "q"], replicates=200).collect()}
     one = run(df)
     assert one == run(df.repartition(3))
+    # a model's gaps cost the other nothing but where both are compared
+    holes = df.withColumn("q", F.when(F.col("id") % 3 > 0, F.col("q")))
+    part = run(holes)
+    assert part["p", "mae"] == one["p", "mae"] and part["p", "r2"] == one["p", "r2"] and part["q", "mae"] == run(holes.where("q IS NOT NULL"))["q", "mae"]
+    assert part["q", "delta_r2"] == run(holes.where("q IS NOT NULL"))["q", "delta_r2"] and run(df.withColumn("q", F.lit(None).cast("double")))["q", "r2"] == (None,) * 3
     low, mid, high = one["p", "mae"]
     assert low < np.abs(pdf["p"] - a).mean() < high and one["q", "delta_r2"][0] > 0
 
