@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegrid.functions import classes as C
@@ -490,9 +490,9 @@ def agg23_importance_means(spark: SparkSession, d: str) -> DataFrame:
     return A.map_means(_maps(spark, d), "feature_importance").select(F.col("key").alias("feature"), r6("mean_present"), r6("mean_zero_filled"))
 
 
-@query(f"WITH {_PER} SELECT feature, site, {q6('g')} AS importance FROM per WHERE feature IN (SELECT feature FROM per GROUP BY feature ORDER BY avg(g) DESC, feature LIMIT 2)")
+@query(f"WITH {_PER} SELECT feature, site, {q6('g')} AS importance FROM per WHERE feature IN (SELECT feature FROM per GROUP BY feature ORDER BY avg(g) DESC, feature LIMIT 15)")
 def agg25_importance_matrix(spark: SparkSession, d: str) -> DataFrame:
-    return A.map_matrix(_maps(spark, d), "site", "feature_importance", 2).select(F.col("key").alias("feature"), "site", r6("value", "importance"))
+    return A.map_matrix(_maps(spark, d), "site", "feature_importance", 15).select(F.col("key").alias("feature"), "site", r6("value", "importance"))
 
 
 @query(f"WITH {WEEKLY} SELECT CASE WHEN site IN ('copalis', 'long beach') THEN 'north' ELSE 'south' END AS region, {q6('avg(da_raw)')} AS mean, count(*) AS n FROM weekly GROUP BY 1")
@@ -651,6 +651,23 @@ def fn24_waterfall(spark: SparkSession, d: str) -> DataFrame:
     return weekly(spark, d).join(lats, "site").select("site", iso("week").alias("week"), r6(3 * F.col("lat") + 0.01 * F.col("da_raw"), "y"))
 
 
+#: Levels of the bars, the day of the middle one, the days between bars, and what every second row is moved by.
+_BARS, _MIDDLE, _APART, _MOVED = (20, 50, 100), "2012-01-01", 120, 500
+
+
+@query(f"""WITH lats AS (SELECT lat, row_number() OVER (ORDER BY lat DESC) - 1 AS i FROM (SELECT DISTINCT lat FROM site_profiles WHERE lat IS NOT NULL)),
+bars AS (SELECT unnest([{', '.join(map(str, _BARS))}]) AS level, unnest([-{_APART}, 0, {_APART}]) AS away)
+SELECT lat, level::INTEGER AS level, (DATE '{_MIDDLE}' + (away + CASE WHEN i % 2 = 1 THEN {_MOVED} ELSE 0 END)::INTEGER)::VARCHAR AS day, {q6('3 * lat')} AS base, {q6('3 * lat + 0.01 * level')} AS top FROM lats, bars""")
+def fn24_reference_bars(spark: SparkSession, d: str) -> DataFrame:
+    """Three bars of known height at each latitude of the waterfall, those of every second row moved aside."""
+    lats = table(spark, d, "site_profiles").where("lat IS NOT NULL").select("lat").distinct()
+    rows = lats.withColumn("i", F.row_number().over(Window.orderBy(F.desc("lat"))) - 1)
+    bars = F.array(*[F.struct(F.lit(level).alias("level"), F.lit((n - 1) * _APART).alias("away")) for n, level in enumerate(_BARS)])
+    each = rows.select("lat", "i", F.explode(bars).alias("b")).select("lat", "b.level", (F.col("b.away") + F.when(F.col("i") % 2 == 1, _MOVED).otherwise(0)).alias("away"))
+    base = 3 * F.col("lat")
+    return each.select("lat", "level", iso(F.date_add(F.lit(_MIDDLE).cast("date"), F.col("away"))).alias("day"), r6(base, "base"), r6(base + 0.01 * F.col("level"), "top"))
+
+
 @query(f"""WITH b AS (SELECT response_id, prediction AS q50, prediction * 0.5 AS lo, prediction * 1.8 AS hi FROM forecast_responses WHERE prediction IS NOT NULL),
 s AS (SELECT *, unnest(range(0, 30)) AS i FROM b), e AS (SELECT *, lo + (hi - lo) * (i + 0.5) / 30 AS mid, greatest(q50 - lo, hi - q50) AS far FROM s)
 SELECT response_id, CAST(i AS INTEGER) AS segment, {q6('mid')} AS mid, {q6('least(greatest(1 - sqrt(abs(mid - q50) / far), 0.1), 0.9)')} AS opacity FROM e""")
