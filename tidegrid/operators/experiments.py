@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions.classes import SPIKE
 from tidegrid.operators.joins import asof_join
-from tidegrid.operators.windows import NO_SPIKE_WEEKS
 
 
 def autocorrelation(df: DataFrame, value: str, day: str) -> DataFrame:
