@@ -109,22 +109,26 @@ class _ByWords(dict):
         return _Reading(np.array([len(p) for p in parts]), flat, np.array(self.template, np.uint64)[index], np.array(self.slots, np.uint64)[index])
 
 
-class _ByTerms:
+class _ByTerms(dict):
     """Numbers, names and units of any number of words as one term each, decided by the text at hand.
 
     A run of capitalised words is a name. The first word of a sentence is part of it unless it is
     known: one that stands in lower case in some item. A word in lower case after a number is a unit.
+    As a dict, token -> number of its kind and digest, forgotten when there are too many.
     """
 
     salt, literals = np.uint64(0xA0761D6478BD642F), LITERALS
 
     def __init__(self, known: frozenset[str]):
-        self.known, self.tokens, self.names = known, {}, {}
+        super().__init__()
+        self.known = known
+        self._forget()
+
+    def _forget(self) -> None:
+        self.clear()
+        self.kinds, self.words, self.digests, self.names = [], [], [], {}
 
-    def _learn(self, token: str) -> tuple[int, str, int]:
-        """(kind, wording, digest) of a token, kept until there are too many."""
-        if len(self.tokens) > 200_000:
-            self.tokens.clear()
+    def __missing__(self, token: str) -> int:
         word, first = token.lower(), token[0]
         symbol = first in "°%"
         if not first.isalnum() and not symbol:
@@ -135,12 +139,14 @@ class _ByTerms:
             kind = _KNOWN_CAPITAL if word in self.known else _CAPITAL
         else:
             kind = _ALWAYS_UNIT if symbol or word in UNITS else _PLAIN if word in NO_UNITS else _PERHAPS_UNIT
-        self.tokens[token] = found = kind, word, xxhash.xxh3_64_intdigest(word)
-        return found
+        self.kinds.append(kind)
+        self.words.append(word)
+        self.digests.append(xxhash.xxh3_64_intdigest(word))
+        self[token] = at = len(self.kinds) - 1
+        return at
 
     def _name(self, words: list[str]) -> tuple[str, int]:
-        if len(self.names) > 200_000:
-            self.names.clear()
+        """A name of several words and its digest."""
         wording = " ".join(words)
         found = self.names.get(wording)
         if found is None:
@@ -148,41 +154,46 @@ class _ByTerms:
         return found
 
     def read(self, texts: list[str]) -> _Reading:
-        lengths, wording, template, slots = [], [], [], []
-        tokens, learn = self.tokens, self._learn
-        say, shape, fill = wording.append, template.append, slots.append
-        number, name_code, unit = int(_NUMBER), int(_NAME), int(_UNIT)
-        for text in texts:
-            before, name, initial, counted = len(wording), [], True, False
-            for token in _TERM.findall(text):
-                kind, word, value = tokens.get(token) or learn(token)
-                if kind == _CAPITAL or (kind == _KNOWN_CAPITAL and not initial):
-                    name.append(word)
-                    initial = counted = False
-                    continue
-                if name:
-                    run, digest = self._name(name)
-                    say(run), shape(name_code), fill(digest)
-                    name = []
-                if kind == _MARK:
-                    counted = False
-                    continue
-                if kind == _END:
-                    initial, counted = True, False
-                    continue
-                say(word)
-                if kind == _COUNT:
-                    shape(number), fill(value)
-                elif kind == _ALWAYS_UNIT or (kind == _PERHAPS_UNIT and counted):
-                    shape(unit), fill(value)
-                else:
-                    shape(value), fill(0)
-                initial, counted = False, kind == _COUNT
-            if name:
-                run, digest = self._name(name)
-                say(run), shape(name_code), fill(digest)
-            lengths.append(len(wording) - before)
-        return _Reading(np.array(lengths, np.int64), wording, np.array(template, np.uint64), np.array(slots, np.uint64))
+        if len(self) + len(self.names) > 200_000:
+            self._forget()
+        parts = [_TERM.findall(text) for text in texts]
+        sizes = np.array([len(p) for p in parts])
+        index = np.fromiter((at for part in parts for at in map(self.__getitem__, part)), np.int64, int(sizes.sum()))
+        if not len(index):
+            return _Reading(np.zeros(len(texts), np.int64), [], np.empty(0, np.uint64), np.empty(0, np.uint64))
+        kind = np.array(self.kinds, np.int8)[index]
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        opens = np.ones(len(index), bool)
+        opens[1:] = owner[1:] != owner[:-1]
+        spoken = np.flatnonzero((kind != _MARK) & (kind != _END))
+        # an end of a sentence, or the begin of the text, since the term before
+        ends = np.cumsum((kind == _END) | opens)
+        initial = np.ones(len(spoken), bool)
+        initial[1:] = ends[spoken[1:]] > ends[spoken[:-1]]
+        kinds, tokens = kind[spoken], index[spoken]
+        next_to = np.zeros(len(spoken), bool)
+        next_to[1:] = (spoken[1:] == spoken[:-1] + 1) & ~opens[spoken[1:]]
+        counted = np.zeros(len(spoken), bool)
+        counted[1:] = next_to[1:] & (kinds[:-1] == _COUNT)
+        name = (kinds == _CAPITAL) | ((kinds == _KNOWN_CAPITAL) & ~initial)
+        unit = (kinds == _ALWAYS_UNIT) | ((kinds == _PERHAPS_UNIT) & counted)
+        # capitalised words side by side are one term
+        joins = np.zeros(len(spoken), bool)
+        joins[1:] = next_to[1:] & name[1:] & name[:-1]
+        begins = np.flatnonzero(~joins)
+        stops = np.append(begins[1:], len(spoken))
+        first = tokens[begins]
+        words = self.words
+        terms = [words[i] for i in first.tolist()]
+        digests = np.array(self.digests, np.uint64)[first]
+        for at in np.flatnonzero(stops - begins > 1).tolist():
+            terms[at], digests[at] = self._name([words[i] for i in tokens[begins[at] : stops[at]].tolist()])
+        template = digests.copy()
+        for which, code in ((kinds == _COUNT, _NUMBER), (name, _NAME), (unit, _UNIT)):
+            template[which[begins]] = code
+        held = (kinds == _COUNT) | name | unit
+        slots = np.where(held[begins], digests, np.uint64(0))
+        return _Reading(np.bincount(owner[spoken[begins]], minlength=len(texts)), terms, template, slots)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
