@@ -317,14 +317,14 @@ def join05_site_week(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {RESULTS}, pairs AS (SELECT a.response_id AS a_id, b.response_id AS b_id, a.xgb_prediction AS p, b.naive_prediction AS q
 FROM results a JOIN results b ON a.site = b.site AND a.date = b.date WHERE a.model = 'ensemble' AND b.model = 'naive' AND a.task = 'regression' AND b.task = 'regression')
-SELECT * FROM pairs WHERE (SELECT count(*) FROM pairs) >= 10""")
+SELECT *, (SELECT count(*) FROM pairs) >= 10 AS enough FROM pairs""")
 def join06_paired_models(spark: SparkSession, d: str) -> DataFrame:
     rows = results(spark, d).where("task = 'regression'")
     a = rows.where("model = 'ensemble'").select("site", "date", F.col("response_id").alias("a_id"), F.col("xgb_prediction").alias("p"))
     b = rows.where("model = 'naive'").select("site", "date", F.col("response_id").alias("b_id"), F.col("naive_prediction").alias("q"))
     pairs = a.join(b, ["site", "date"])
     # fewer pairs than ten say nothing of either model
-    return pairs.where(F.lit(pairs.limit(10).count() >= 10)).select("a_id", "b_id", "p", "q")
+    return pairs.select("a_id", "b_id", "p", "q", F.lit(pairs.limit(10).count() >= 10).alias("enough"))
 
 
 @query("""SELECT r.response_id, r.model AS model_response, q.model AS model_request, q.task AS task_request FROM forecast_responses r LEFT JOIN forecast_requests q ON r.request_id = q.request_id""")
