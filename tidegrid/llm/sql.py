@@ -21,7 +21,7 @@ SELECT {id} AS id, list_slice(w, i, i + 11) AS twelve FROM (
 
 _STRETCHES = """
 stretches AS (
-  SELECT doc_id, i, hash(substring(text, i, 300)) AS h FROM (
+  SELECT doc_id, i, md5_number(substring(text, i, 300)) AS h FROM (
     SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE length(text) >= 300
   )
 ), common AS (SELECT h FROM stretches GROUP BY h HAVING min(doc_id) <> max(doc_id)),
