@@ -118,3 +118,10 @@ def test_sample_and_history(spark, weeks):
     assert sorted(map(tuple, drawn.collect())) == sorted(map(tuple, hashed_sample(weeks.repartition(3), group="site", key=["site", "week"], fraction=0.33, seed=1).collect()))
     counted = history_counts(weeks.unionByName(weeks), "week", 7)
     assert {(r["week"] - date(2015, 1, 5)).days // 7 * 2 == r["n_history"] for r in counted.collect()} == {True}
+
+
+def test_lattice_is_never_broadcast(spark, weeks):
+    # the filter makes the join an inner one, whose lattice looks as small as the sites before they are exploded
+    rows = on_lattice(weeks).where("da_raw IS NOT NULL")
+    assert len(rows.collect()) == weeks.count()
+    assert "BroadcastHashJoin" not in rows._jdf.queryExecution().executedPlan().toString()

@@ -41,8 +41,12 @@ def lattice(sites: DataFrame, first: date = FIRST_WEEK, last: date = LAST_WEEK)
 
 
 def on_lattice(weekly: DataFrame, first: date = FIRST_WEEK, last: date = LAST_WEEK) -> DataFrame:
-    """The weekly series on its lattice; unobserved weeks have NULL values, weeks outside are cut."""
-    return lattice(weekly, first, last).join(weekly, ["site", "week"], "left")
+    """The weekly series on its lattice; unobserved weeks have NULL values, weeks outside are cut.
+
+    The sides are merged: sizes are estimated from the sites before they are exploded, so that a lattice of any size
+    could be broadcast where a filter on the value makes the join an inner one.
+    """
+    return lattice(weekly, first, last).hint("merge").join(weekly, ["site", "week"], "left")
 
 
 def month_shift(day: Column, months: int) -> Column:

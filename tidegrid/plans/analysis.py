@@ -15,12 +15,12 @@ from tidegrid.operators import aggregates as A
 from tidegrid.operators import experiments as E
 from tidegrid.operators import metrics as M
 from tidegrid.operators import spectral as S
-from tidegrid.operators.series import FIRST_WEEK, LAST_WEEK, weekly_max
+from tidegrid.operators.series import FIRST_WEEK, LAST_WEEK, on_lattice, weekly_max
 from tidegrid.operators.windows import decay_fill, forward_fill, observation_lags, persistence, rolling_past
 from tidegrid.plans import backtest
 from tidegrid.plans.base import KEY, PN, RAW, RESULTS, SERIES, WEEKLY, Catalogue, cell_counts, iso, q6, r6, raw, results, series, weekly
 from tidegrid.plans.relational import _ANCHORS, _at_every_week
-from tidegrid.runtime import discard_at_end, table
+from tidegrid.runtime import discard_at_end, materialise, table
 from tidegrid.sources.files import scratch
 from tidegrid.streaming.pipelines import alert_stream, delayed_month_stream, persistence_stream, run_once, run_updates, weekly_max_stream
 
@@ -78,9 +78,9 @@ def win08_decay_fill(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {SERIES}, m AS (SELECT median(da_raw) AS m FROM series) SELECT site, week::VARCHAR AS week, coalesce(last_value(da_raw IGNORE NULLS) OVER ({_SO_FAR}), (SELECT m FROM m)) AS filled FROM series")
 def win09_forward_fill(spark: SparkSession, d: str) -> DataFrame:
-    rows = series(spark, d)
-    middle = A.exact_quantile(rows, "da_raw")
-    return forward_fill(rows, "da_raw").select("site", iso("week").alias("week"), F.coalesce("da_raw", F.lit(middle)).alias("filled"))
+    rows = materialise(weekly(spark, d), "weekly")
+    middle = A.exact_quantile(rows.where(F.col("week").between(FIRST_WEEK, LAST_WEEK)), "da_raw")
+    return forward_fill(on_lattice(rows), "da_raw").select("site", iso("week").alias("week"), F.coalesce("da_raw", F.lit(middle)).alias("filled"))
 
 
 @query(f"""WITH {WEEKLY}, l AS (SELECT site, da_raw AS x, lag(da_raw) OVER (PARTITION BY site ORDER BY week) AS y FROM weekly)
