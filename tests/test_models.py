@@ -1,6 +1,7 @@
 """Learners, spectra, metrics and the backtest against direct computation."""
 
 import json
+import threading
 from datetime import date, timedelta
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from tidegrid.config import GRID, SITES, BoostSettings, EngineConfig, ForestSettings
 from tidegrid.functions import classes as C
 from tidegrid.operators import experiments, metrics, spectral, trees
-from tidegrid.operators.trees import Boosted, BoostedClasses, Forest, Ridge, Scaler, Softmax, TreeSettings
+from tidegrid.operators.trees import Boosted, BoostedClasses, Forest, Ridge, Scaler, Shared, Softmax, TreeSettings, boosted_shared
 from tidegrid.plans import backtest
 
 RNG = np.random.default_rng(0)
@@ -333,6 +334,40 @@ def test_spikes_are_pooled_over_sites(spark):
     assert not set(backtest.SPIKE_LEAKS) - set(rows.columns)
 
 
+def test_spikes_of_a_single_forecast_are_fitted_by_all_tasks(spark):
+    rng = np.random.default_rng(6)
+    weeks = [date(2015, 1, 5) + timedelta(weeks=i) for i in range(90)]
+    raw = spark.createDataFrame([(s, w, float(rng.gamma(0.7, 15))) for s in "abcd" for w in weeks], "site string, date date, da_raw double")
+    rows = backtest.training_frame(raw, None, SMALL)
+    asked = backtest._asked(spark, "a", weeks[70], SMALL)
+    several = backtest.spike_probabilities_of_few(asked, rows.where("site = 'a'"), rows, SMALL)
+    assert several._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1 and several.rdd.getNumPartitions() == 4
+    one, few = backtest.spike_probabilities(asked, rows, SMALL).collect(), several.collect()
+    assert len(few) == 1 and few[0][:2] == one[0][:2] == ("a", weeks[70]) and 0 < few[0][2] < 1
+    # the same rows in parts give the trees of one task
+    names = [n for n in backtest.feature_columns(rows, SMALL) if n not in backtest.SPIKE_LEAKS]
+    pool = backtest.pooled_rows(rows, names).where(F.col("safe") & (F.col("week") <= weeks[69])).orderBy("week", "features").collect()
+    x, y = np.array([r["features"] for r in pool], float), np.array([r["spike"] for r in pool], float)
+    learner, weight = backtest._spike_learner(SMALL), np.where(y > 0, 2.0, 0.7)
+    expected, parts, met, found = learner.fit(x, y, weight).predict(x[:9]), [None] * 3, threading.Barrier(3), [None] * 3
+
+    def fit(rank: int) -> None:
+        def gather(own: bytes) -> list[bytes]:
+            parts[rank] = own
+            met.wait()
+            all_parts = list(parts)
+            met.wait()
+            return all_parts
+
+        part = slice(*(len(y) * k // 3 for k in (rank, rank + 1)))
+        found[rank] = boosted_shared(learner, x[part], y[part], weight[part], x[:9], Shared(gather, rank))
+
+    threads = [threading.Thread(target=fit, args=(k,)) for k in range(3)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert np.ptp(expected) > 0 and np.abs(np.array(found) - expected).max() < 1e-9
+
+
 def test_bootstrap_refits_the_blend(spark, raw):
     config = small(4, 3, bootstrap_rounds=7)
     rows = backtest.training_frame(raw, None, config)
