@@ -334,6 +334,19 @@ def test_spikes_are_pooled_over_sites(spark):
     assert not set(backtest.SPIKE_LEAKS) - set(rows.columns)
 
 
+def test_sums_by_cell_of_bins_of_one_byte(monkeypatch):
+    monkeypatch.setattr(trees, "BLOCK_ROWS", 30)
+    rng = np.random.default_rng(7)
+    x = rng.random((100, 4))
+    x[:, 2] = np.nan
+    binner = trees.Binner.fit(x)
+    bins, cells, where, weight = binner(x), binner.cells(), rng.integers(0, 3, 100), rng.random(100)
+    expected = np.zeros((3, len(cells.column)))
+    for row, node, w in zip(bins, where, weight):
+        expected[node, cells.start + row] += w
+    assert bins.dtype == np.uint8 and np.allclose(trees._sums(where, bins, (weight,), 3, cells)[0], expected)
+
+
 def test_spikes_of_a_single_forecast_are_fitted_by_all_tasks(spark):
     rng = np.random.default_rng(6)
     weeks = [date(2015, 1, 5) + timedelta(weeks=i) for i in range(90)]
