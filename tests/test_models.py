@@ -2,6 +2,7 @@
 
 import json
 import threading
+from dataclasses import replace
 from datetime import date, timedelta
 
 import numpy as np
@@ -13,7 +14,7 @@ from tidegrid.config import GRID, SITES, BoostSettings, EngineConfig, ForestSett
 from tidegrid.functions import classes as C
 from tidegrid.operators import experiments, metrics, spectral, trees
 from tidegrid.operators.trees import Boosted, BoostedClasses, Forest, Ridge, Scaler, Shared, Softmax, TreeSettings, boosted_shared
-from tidegrid.plans import backtest
+from tidegrid.plans import backtest, base, registry
 
 RNG = np.random.default_rng(0)
 
@@ -283,6 +284,50 @@ def test_tuning_and_experiments(spark, raw):
     assert len(backtest.seeded(tiny, (1, 2))) == 4
 
 
+def test_tuning_runs_over_every_anchor(spark, sf, monkeypatch):
+    """The registered tuning has every measured week with enough history, and no sample of at most 20 a site."""
+    given = []
+    monkeypatch.setattr(backtest, "tune", lambda anchors, rows: given.append(anchors) or spark.createDataFrame([], "site string, best string, r2 double"))
+    registry.queries()["model14_tuned_sites"](spark, sf)
+    found = sorted((r["site"], r["test_date"]) for r in given[0].collect())
+    measured = base.raw(spark, sf).groupBy("site", F.to_date(F.date_trunc("week", "date")).alias("week"), "date").count().collect()
+    days, expected = {}, []
+    for r in measured:
+        days.setdefault(r["site"], []).append((r["week"], r["date"], r["count"]))
+    for site, rows in days.items():
+        n = sum(k for _, _, k in rows)
+        for week in {w for w, _, _ in rows}:
+            first = min(d for w, d, _ in rows if w == week)
+            if sum(k for _, d, k in rows if d <= first - timedelta(days=7)) >= max(np.ceil(0.33 * n), 10):
+                expected.append((site, week))
+    assert found == sorted(expected) and max(sum(s == site for s, _ in found) for site in days) > 20
+
+
+def test_tuning_scores_are_those_of_all_anchors(spark, raw, monkeypatch):
+    monkeypatch.setattr(backtest, "TUNED_A_TASK", 12)
+    tiny, grid = small(3, 2), ({"rounds": 3, "depth": 2}, {"rounds": 6, "rate": 0.2})
+    anchors = backtest.test_anchors(raw, tiny.but(test_fraction=1.0))
+    rows = backtest.training_frame(raw, None, tiny)
+    names, weeks, expected = backtest.feature_columns(rows, tiny), rows.toPandas(), {}
+    asked = anchors.withColumn("hash", F.xxhash64("test_date")).toPandas()
+    for site, own in asked.groupby("site"):
+        tasks = int(np.ceil(len(own) / 12))
+        assert len(own) > 20 and own["hash"].mod(tasks).nunique() > 1
+        for changes in grid:
+            tried, both = tiny.but(boosted=replace(tiny.boosted_at(site), **changes)), []
+            of = weeks[weeks["site"] == site].sort_values("week")
+            for _, some in own.groupby(own["hash"].mod(tasks)):
+                pairs = [(a.actual, backtest.Training(of, names, site, a.test_date, a.anchor, tried)) for a in some.itertuples()]
+                pairs = [(actual, p) for actual, p in pairs if p.usable]
+                both += [(actual, p) for (actual, _), (p, _) in zip(pairs, backtest.boosted_together([p for _, p in pairs], monotone=True))]
+            assert len(both) == len(own)
+            actual, predicted = np.array(both).T
+            r2 = 1 - ((actual - predicted) ** 2).sum() / ((actual - actual.mean()) ** 2).sum()
+            expected[site] = max(expected.get(site, (-np.inf, "")), (r2, json.dumps(changes, sort_keys=True)))
+    got = {r["site"]: (r["r2"], r["best"]) for r in backtest.tune(anchors, rows, tiny, grid).collect()}
+    assert got.keys() == expected.keys() and all(got[s][1] == best and abs(got[s][0] - r2) < 1e-9 for s, (r2, best) in expected.items())
+
+
 def test_runs_are_judged_by_the_noise_of_the_seeds(spark):
     rows = [("seed1_site", None, 0.5), ("seed2_site", None, 0.6), ("seed1_global", None, 0.4), ("seed2_global", None, 0.7),
             ("seed1_site", "a", 0.3), ("seed1_global", "a", 0.1), ("seed2_site", "a", 0.2), ("seed2_global", "a", 0.1),
